@@ -21,15 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def page_rows(lines: DataFrame, blocks: DataFrame, block_filter=None) -> DataFrame:
+def page_rows(lines: DataFrame, blocks: DataFrame, block_filter=None, extra: str | None = None) -> DataFrame:
     """Lines (typ 0) and blocks (typ 1) of each page next to each other, sorted by number.
 
     Rows with a null in their key and lines with a null text carry nothing and are left out
-    before the exchange. Extra columns are pruned away.
+    before the exchange. Other columns are pruned away, but for the line column named as extra (a float).
     """
     left = lines.where("doc_id is not null and page_no is not null and line_id is not null and text is not null").select(
         "doc_id", "page_no", F.lit(0).alias("typ"), F.col("line_id").cast("int").alias("num"), "text",
-        F.lit(None).cast("string").alias("kind"), F.lit(None).cast("array<int>").alias("ids"),
+        F.lit(None).cast("string").alias("kind"), F.lit(None).cast("array<int>").alias("ids"), *([F.col(extra).cast("float").alias("extra")] if extra else []),
     )
     right = blocks.where("doc_id is not null and page_no is not null and block_no is not null and line_ids is not null")
     if block_filter is not None:
@@ -38,6 +38,8 @@ def page_rows(lines: DataFrame, blocks: DataFrame, block_filter=None) -> DataFra
         "doc_id", "page_no", F.lit(1).alias("typ"), F.col("block_no").cast("int").alias("num"), F.lit(None).cast("string").alias("text"),
         "kind", F.col("line_ids").cast("array<int>").alias("ids"),
     )
+    if extra:
+        right = right.withColumn("extra", F.lit(None).cast("float"))
     both = left.unionByName(right)
     return both.repartition("doc_id", "page_no").sortWithinPartitions("doc_id", "page_no", "typ", "num", "text")
 
@@ -46,6 +48,7 @@ def page_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, d
     """(doc_id, page_no, text by line, blocks in order) of each page of a sorted partition; None after each input batch.
 
     A repeated line or block counts once; where copies of a line differ, the smallest text holds.
+    With an extra column, the value of a line is the pair (text, extra).
     """
     doc = page = None
     lines: dict[int, str] = {}
@@ -53,6 +56,8 @@ def page_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, d
     last = None
     for batch in batches:
         cols = [batch.column(i).to_pylist() for i in range(7)]
+        if batch.num_columns > 7:
+            cols[4] = list(zip(cols[4], batch.column(7).to_pylist()))
         for d, p, typ, num, text, kind, ids in zip(*cols):
             if p != page or d != doc:
                 if doc is not None:
@@ -86,6 +91,14 @@ def page_kernel(fn: Callable[[int, int, dict[int, str], list], Iterator[tuple]],
     return run
 
 
+def small_set(df: DataFrame, most: int) -> list:
+    """Rows of a dimension table of fixed size, on the driver; more than most rows are refused, never cut."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a dimension table of more than {most} rows can't be sent to all tasks")
+    return rows
+
+
 def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     cols = list(zip(*rows)) if rows else [[] for _ in schema]
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, schema)], schema=schema)

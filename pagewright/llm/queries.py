@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sentences
+from . import lookalike, quality, sentences
 from .common import table
 
 
@@ -14,5 +14,21 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.find_sentence_ends(table(spark, d, "text_lines"), table(spark, d, "layout_blocks"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.find_lookalikes(table(spark, d, "text_lines"))
+
+
+def p5_unified(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.unify_lines(table(spark, d, "text_lines"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality.find_not_prose(*(table(spark, d, n) for n in ("ocr_docs", "text_lines", "layout_blocks", "common_words")))
+
+
+def p6_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return quality.text_statistics(*(table(spark, d, n) for n in ("ocr_docs", "text_lines", "layout_blocks", "common_words")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: fn for name, fn in globals().items() if name[0] == "p" and name[1:2].isdigit()}
