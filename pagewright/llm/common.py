@@ -7,6 +7,8 @@ No group is ever collected by the JVM, and a file of any number of pages spreads
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -102,3 +104,18 @@ def small_set(df: DataFrame, most: int) -> list:
 def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     cols = list(zip(*rows)) if rows else [[] for _ in schema]
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, schema)], schema=schema)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share; in tests, where none is set, a folder of this machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = f"file://{tempfile.gettempdir()}/pagewright-shared"
+    return found
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df written as a table in the shared folder and read again: a cut of the lineage that outlives executors, for what is used twice."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

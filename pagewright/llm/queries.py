@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lookalike, quality, sentences
+from . import lookalike, quality, scan_noise, sentences
 from .common import table
 
 
@@ -14,6 +14,10 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.find_sentence_ends(table(spark, d, "text_lines"), table(spark, d, "layout_blocks"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return scan_noise.find_noise(table(spark, d, "text_lines"), table(spark, d, "layout_blocks"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.find_lookalikes(table(spark, d, "text_lines"))
 
