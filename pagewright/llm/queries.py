@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lookalike, quality, scan_noise, sentences
+from . import langid, lookalike, pii, quality, scan_noise, sentences
 from .common import table
 
 
@@ -14,10 +14,26 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.find_sentence_ends(table(spark, d, "text_lines"), table(spark, d, "layout_blocks"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.find_pii(table(spark, d, "text_lines"), table(spark, d, "layout_blocks"), table(spark, d, "person_names"))
+
+
+def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redact(table(spark, d, "text_lines"), table(spark, d, "layout_blocks"), table(spark, d, "person_names"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return scan_noise.find_noise(table(spark, d, "text_lines"), table(spark, d, "layout_blocks"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return langid.find_languages(*(table(spark, d, n) for n in ("text_lines", "layout_blocks", "export_options", "language_models", "documents")))
+
+
+def p4_languages(spark: SparkSession, d: str) -> DataFrame:
+    return langid.languages(*(table(spark, d, n) for n in ("text_lines", "layout_blocks", "documents")))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.find_lookalikes(table(spark, d, "text_lines"))
 
