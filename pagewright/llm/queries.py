@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, lookalike, pii, quality, scan_noise, sentences
+from . import encode, langid, leakage, lookalike, pii, quality, scan_noise, sentences, shared_spans
 from .common import table
 
 
@@ -50,5 +50,21 @@ def p6_statistics(spark: SparkSession, d: str) -> DataFrame:
     return quality.text_statistics(*(table(spark, d, n) for n in ("ocr_docs", "text_lines", "layout_blocks", "common_words")))
 
 
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode.encode_corpus(table(spark, d, "documents"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_matches(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.find_matches(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return shared_spans.find_pairs(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: fn for name, fn in globals().items() if name[0] == "p" and name[1:2].isdigit()}
