@@ -220,6 +220,7 @@ class Filter:
     def __init__(self, packed: bytes):
         self.bits = zlib.decompress(packed)
         self.known: dict[str, bool] = {}
+        self.tokens: dict[str, int] = {}
 
     def __contains__(self, key: str) -> bool:
         found = self.known.get(key)
@@ -230,11 +231,32 @@ class Filter:
             found = self.known[key] = all(bits[p >> 3] >> (p & 7) & 1 for p in _positions(key))
         return found
 
-
-def _read_otherwise(form: str, known: Filter) -> bool:
-    if not form or f"g:{form}" in known:
-        return False
-    return f"m:{form}" in known or (form.rstrip("!") != form and f"s:{skeleton(form)}" in known)
+    def token(self, token: str) -> int:
+        """0: a good word, or no word; 1: misread; 2: unknown."""
+        code = self.tokens.get(token)
+        if code is None:
+            if len(self.tokens) > 500_000:
+                self.tokens.clear()
+            code = self.tokens[token] = self._judge(token)
+        return code
+
+    def _judge(self, token: str) -> int:
+        if "@" not in token and not token.isupper() and _STRAY_IN.search(token):
+            bare = token_form(_STRAY_IN.sub("", token))
+            if bare and (f"g:{bare}" in self or f"s:{skeleton(bare)}" in self):
+                return 1
+        form = token_form(token)
+        if not form:
+            return 2 if token.isalpha() else 0
+        if f"g:{form}" in self:
+            return 0
+        if f"m:{form}" in self:
+            return 1
+        if "!" in token.rstrip("!"):
+            word = token.strip(_EDGE).lower()
+            if f"s:{skeleton(word)}" in self and _FORM.match(word):
+                return 1
+        return 2
 
 
 def misread_lines(texts: list[str], known: Filter) -> set[int]:
@@ -258,45 +280,48 @@ def misread_lines(texts: list[str], known: Filter) -> set[int]:
                     hit.add(owner[i])
         return hit
     head = ""  # what the line before leaves of a divided word
+    judge = known.token
     for k, text in enumerate(texts):
         tokens = text.split()
-        divided = _DIVIDES.search(tokens[-1]) if tokens and k + 1 < len(texts) else None
-        forms = [token_form(t) for t in tokens]
-        for i, form in enumerate(forms):
-            if i == 0 and head:
-                whole = token_form(head + tokens[0])
-                if whole and f"g:{whole}" not in known and f"g:{token_form(head + '-' + tokens[0])}" not in known:
-                    if f"m:{whole}" in known or (f"s:{skeleton(_STRAY_IN.sub('', whole))}" in known and not _ALPHA.match(tokens[0].strip(_EDGE) or "a")):
-                        hit.add(k if not _ALPHA.match(tokens[0].strip(_EDGE)) else k - 1 if not _ALPHA.match(head.strip(_EDGE)) else _side(head, tokens[0], k, known))
-                continue
-            if divided and i == len(forms) - 1:
-                continue
-            if form and (f"g:{form}" in known):
-                pass
-            elif form and f"m:{form}" in known:
+        if not tokens:
+            continue
+        divided = _DIVIDES.search(tokens[-1]) if tokens[-1][-1] in "-‐¬\xad" and k + 1 < len(texts) else None
+        first, last = 1 if head else 0, len(tokens) - (divided is not None)
+        if head:
+            whole = token_form(head + tokens[0])
+            if whole and f"g:{whole}" not in known and f"g:{token_form(head + '-' + tokens[0])}" not in known:
+                start, end = head.strip(_EDGE), tokens[0].strip(_EDGE)
+                if f"m:{whole}" in known or (f"s:{skeleton(_STRAY_IN.sub('', whole))}" in known and not _ALPHA.match(start + end)):
+                    hit.add(k if not _ALPHA.match(end) else k - 1 if not _ALPHA.match(start) else _side(head, tokens[0], k, known))
+        codes = [judge(t) for t in tokens]
+        if any(codes):
+            if 1 in codes[first:last]:
                 hit.add(k)
-                continue
-            elif "!" in tokens[i].rstrip("!") or tokens[i].endswith("!") and i + 1 < len(tokens) and tokens[i + 1][:1].islower():
-                word = tokens[i].strip(_EDGE).lower()
-                if f"g:{word.rstrip('!')}" not in known and f"s:{skeleton(word)}" in known and _FORM.match(word):
-                    hit.add(k)
-                    continue
-            if form and i + 1 < len(forms) and tokens[i][-1:].isalpha() and not (divided and i + 1 == len(forms) - 1):
-                a, b = tokens[i].strip(_EDGE).lower(), forms[i + 1] or tokens[i + 1].strip(_EDGE).lower()
-                if b.isalpha() and tokens[i + 1][:1].islower() and f"g:{unify(a) + b}" in known and not (f"g:{form}" in known and f"g:{b}" in known and len(b) > 1):
-                    hit.add(k)
-            elif not form and i + 1 < len(forms) and tokens[i].isalpha():
-                b = forms[i + 1]
-                if b and tokens[i + 1][:1].islower() and f"g:{tokens[i].lower() + b}" in known and f"g:{b}" not in known:
-                    hit.add(k)
-            if _STRAY_IN.search(tokens[i]) and "@" not in tokens[i] and not tokens[i].isupper():
-                bare = token_form(_STRAY_IN.sub("", tokens[i]))
-                if bare and (f"g:{bare}" in known or f"s:{skeleton(bare)}" in known):
-                    hit.add(k)
+            else:
+                for i in range(first, last):
+                    if codes[i] and _marked(tokens, i, known) or i + 1 < last and (codes[i] or codes[i + 1]) and _split(tokens[i], tokens[i + 1], known):
+                        hit.add(k)
+                        break
         head = tokens[-1][: divided.start(2)].lstrip(_EDGE) if divided else ""
     return hit
 
 
+def _marked(tokens: list[str], i: int, known: Filter) -> bool:
+    """A letter read as an exclamation mark at the end of a word, before a word in lower case."""
+    if not tokens[i].endswith("!") or not tokens[i + 1 : i + 2] or not tokens[i + 1][0].islower():
+        return False
+    word = tokens[i].strip(_EDGE).lower()
+    return f"g:{word.rstrip('!')}" not in known and f"s:{skeleton(word)}" in known and _FORM.match(word) is not None
+
+
+def _split(a: str, b: str, known: Filter) -> bool:
+    """Whether two tokens are one good word with a blank inside."""
+    if not a[-1].isalpha() or not b[0].islower():
+        return False
+    x, y = unify(a).strip(_EDGE).lower(), unify(b).strip(_EDGE).lower()
+    return x.replace("-", "").isalpha() and y.replace("-", "").isalpha() and f"g:{x}{y}" in known and not (f"g:{x}" in known and f"g:{y}" in known)
+
+
 def _side(head: str, rest: str, k: int, known: Filter) -> int:
     """The line that holds the wrong letter of a divided word: the one whose part alone no longer fits."""
     return k - 1 if any(x in head.lower() for x in ("rn", "cl", "ri", "ii", "vv")) else k
@@ -351,7 +376,7 @@ def _page(packed):
                     continue
                 if kind != "Paragraph" or is_junk(text):
                     continue
-                wrong = bool(misread_lines([text], known)) if not is_table_row(text) or not text.isascii() or re.search("[A-Za-z]", text) else False
+                wrong = bool(misread_lines([text], known))
                 if (k < 2 or k > len(blocks) - 3) and len(text) < 120 and not (is_list_item(text) or is_table_row(text) or is_contact(text)):
                     yield doc, page_no, i, "maybe", running_key(text), wrong
                 elif wrong:
@@ -383,15 +408,16 @@ def find_noise(lines: DataFrame, blocks: DataFrame) -> DataFrame:
     rows = common.page_rows(lines, blocks).mapInArrow(common.page_kernel(_page(packed), _ROWS), "doc_id bigint, page_no int, line_id int, noise string, key string, misread boolean")
     rows = common.staged(rows, "scan_noise")
     maybe = rows.where("noise = 'maybe'")
-    size = F.when(F.length("key") < 16, 5).otherwise(8)  # a misread letter leaves one end of the title as it is
+    size = F.lit(5)  # a misread letter leaves one end of the title as it is
     ends = F.explode(F.array(F.concat(F.lit("<"), F.left("key", size)), F.concat(F.lit(">"), F.right("key", size))))
     keys = maybe.where("length(key) >= 8").groupBy("doc_id", "key").agg(F.count_distinct("page_no").alias("pages"))
-    titles = keys.withColumn("end", ends).groupBy("doc_id", "end").agg(F.sum("pages").alias("pages"), F.max_by("key", F.struct("pages", "key")).alias("key")).where("pages >= 2")
-    titles = titles.groupBy("doc_id").agg(F.array_sort(F.collect_set("key")).alias("titles"))
-    near = F.filter("titles", lambda t: (t == F.col("key")) | (F.levenshtein(t, F.col("key")) * 6 <= F.length(t)))
-    judged = maybe.join(titles, "doc_id", "left").withColumn("title", F.try_element_at(near, F.lit(1))).drop("titles")
-    repeated = judged.where("title is not null").groupBy("doc_id", "title").agg(F.count_distinct("page_no").alias("pages")).where("pages >= 2")
-    judged = judged.join(repeated, ["doc_id", "title"], "left").withColumn("noise", F.when(F.col("pages") >= 2, "running").when(F.col("misread"), "misread"))
+    ended = keys.withColumn("end", ends)
+    titles = ended.groupBy("doc_id", "end").agg(F.sum("pages").alias("n"), F.max_by("key", F.struct("pages", "key")).alias("title")).where("n >= 2").drop("n")
+    near = (F.col("title") == F.col("key")) | (F.levenshtein("title", "key") * 6 <= F.length("title"))
+    named = ended.join(titles, ["doc_id", "end"]).where(near).groupBy("doc_id", "key").agg(F.min("title").alias("title"))
+    judged = maybe.join(named, ["doc_id", "key"], "left")
+    repeated = judged.where("title is not null").groupBy("doc_id", "title").agg((F.min("page_no") != F.max("page_no")).alias("repeated"))
+    judged = judged.join(repeated, ["doc_id", "title"], "left").withColumn("noise", F.when(F.col("repeated"), "running").when(F.col("misread"), "misread"))
     hyphen_of_title = judged.where("noise = 'running'").select("doc_id", "page_no", "line_id")
     sure = rows.where("noise != 'maybe'")
     sure = sure.where("noise != 'hyphen'").unionByName(sure.where("noise = 'hyphen'").join(hyphen_of_title, ["doc_id", "page_no", "line_id"], "left_anti"))
