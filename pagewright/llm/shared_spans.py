@@ -93,22 +93,22 @@ def minimizers(texts: list[str], k: int = K, window: int = WINDOW) -> Iterator[t
             yield t, own - starts[t], hashes[own].astype(np.int64), labels.astype(np.int64)
 
 
-_OCC = pa.schema([("fp", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32()), ("prev_fp", pa.int64()), ("edge_in", pa.int64()), ("edge_out", pa.int64())])
-_OCC_DDL = "fp bigint, doc_id bigint, pos int, prev_fp bigint, edge_in bigint, edge_out bigint"
+_OCC = pa.schema([("fp", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32()), ("edge_in", pa.int64()), ("edge_out", pa.int64())])
+_OCC_DDL = "fp bigint, doc_id bigint, pos int, edge_in bigint, edge_out bigint"
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def close() -> Iterator[pa.RecordBatch]:
-        cols: list[list[np.ndarray]] = [[] for _ in range(5)]
+        cols: list[list[np.ndarray]] = [[] for _ in range(4)]
         docs: list[np.ndarray] = []
         for t, places, fps, labels in minimizers(texts):
             gap = np.zeros(1, dtype=np.int64)  # 0: no edge
-            for col, x in zip(cols, (fps, places.astype(np.int32), np.concatenate([gap, fps[:-1]]), np.concatenate([gap, labels]), np.concatenate([labels, gap]))):
+            for col, x in zip(cols, (fps, places.astype(np.int32), np.concatenate([gap, labels]), np.concatenate([labels, gap]))):
                 col.append(x)
             docs.append(np.full(len(fps), ids[t], dtype=np.int64))
         if docs:
-            fp, pos, prev, ein, eout = map(np.concatenate, cols)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (fp, np.concatenate(docs), pos, prev, ein, eout)], schema=_OCC)
+            fp, pos, ein, eout = map(np.concatenate, cols)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (fp, np.concatenate(docs), pos, ein, eout)], schema=_OCC)
 
     ids: list[int] = []
     texts: list[str] = []
@@ -125,7 +125,7 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def occurrences(documents: DataFrame) -> DataFrame:
-    """One row for each occurrence of a node, with its edges (0: none)."""
+    """One row for each occurrence of a node, with the labels of its edges (0: none)."""
     return documents.mapInArrow(_nodes, _OCC_DDL)
 
 
@@ -133,10 +133,10 @@ def path_heads(occ: DataFrame) -> DataFrame:
     """(fp) of the nodes in two or more texts that open a nonbranching path."""
     one = lambda c: (F.min(c) == F.max(c)) & (F.min(c) != 0)
     nodes = occ.groupBy("fp").agg(
-        F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.max("prev_fp").alias("prev_fp"), one("edge_in").alias("one_in"), one("edge_out").alias("one_out")
+        F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.max("edge_in").alias("edge"), F.max("edge_out").alias("out"), one("edge_in").alias("one_in"), one("edge_out").alias("one_out")
     ).where("a != b")
-    sources = nodes.where("one_out").select(F.col("fp").alias("prev_fp"))
-    inner = nodes.where("one_in and prev_fp != fp").join(sources, "prev_fp", "left_semi").select("fp")
+    sources = nodes.where("one_out").select(F.col("out").alias("edge"))
+    inner = nodes.where("one_in").join(sources, "edge", "left_semi").select("fp")
     return nodes.select("fp").join(inner, "fp", "left_anti")
 
 
