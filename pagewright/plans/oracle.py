@@ -1,5 +1,125 @@
-"""SQL for the queries over the reference's own operators."""
+"""SQL for the queries over the reference's own operators. Folds and the like, which SQL can't say, are tested by brute force instead."""
 
+from __future__ import annotations
 
-def oracle_sql():
-    return {}
+from ..functions import text as T
+
+_L = """L AS (SELECT doc_id, page_no, line_id, text, confidence, CAST(bounds.l AS DOUBLE) AS l, CAST(bounds.t AS DOUBLE) AS t, CAST(bounds.r AS DOUBLE) AS r, CAST(bounds.b AS DOUBLE) AS b,
+  style.size_pt AS size_pt, style.bold AS bold, style.color AS color, in_figure, edited
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no, line_id ORDER BY loaded_at, text) AS rn FROM text_lines WHERE bounds IS NOT NULL) WHERE rn = 1)"""
+_B = """B AS (SELECT doc_id, page_no, block_no, kind, line_ids, CAST(bounds.l AS DOUBLE) AS l, CAST(bounds.t AS DOUBLE) AS t, CAST(bounds.r AS DOUBLE) AS r, CAST(bounds.b AS DOUBLE) AS b,
+  heading_level, ordered_list, section_no, column_no
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no, block_no ORDER BY kind, space_before NULLS FIRST) AS rn FROM layout_blocks WHERE bounds IS NOT NULL) WHERE rn = 1)"""
+_P = "P AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY loaded_at NULLS FIRST) AS rn FROM doc_pages) WHERE rn = 1)"
+_BL = """BL AS (SELECT B.doc_id, B.page_no, B.block_no, B.kind, B.pos, L.line_id, L.text, L.l, L.t, L.r, L.b, L.size_pt, L.bold
+  FROM (SELECT doc_id, page_no, block_no, kind, i - 1 AS pos, line_ids[i] AS line_id FROM (SELECT *, unnest(generate_series(1, len(line_ids))) AS i FROM B)) B
+  JOIN L ON L.doc_id = B.doc_id AND L.page_no = B.page_no AND L.line_id = B.line_id)"""
+_CJK = "[" + "".join(f"\\x{{{a}}}-\\x{{{b}}}" for a, b in (("3040", "30FF"), ("3400", "4DBF"), ("4E00", "9FFF"), ("F900", "FAFF"), ("FF00", "FFEF"))) + "]"
+_FLOW = f"replace(regexp_replace(regexp_replace(regexp_replace(raw, '([\\p{{L}}])-\\n([\\p{{Ll}}])', '\\1\\2', 'g'), '({_CJK})\\n', '\\1', 'g'), '\\n({_CJK})', '\\1', 'g'), chr(10), ' ')"
+_X = f"""X AS (SELECT doc_id, page_no, block_no, kind, CASE WHEN kind = 'Heading' THEN replace(raw, chr(10), ' ') WHEN kind = 'Paragraph' THEN {_FLOW} ELSE raw END AS text
+  FROM (SELECT doc_id, page_no, block_no, kind, string_agg(text, chr(10) ORDER BY pos, text) AS raw FROM BL WHERE text IS NOT NULL GROUP BY ALL))"""
+_PT = "PT AS (SELECT doc_id, page_no, string_agg(text, chr(10) || chr(10) ORDER BY block_no) AS text FROM X WHERE kind <> 'Figure' AND text <> '' GROUP BY doc_id, page_no)"
+_W = "OVER (PARTITION BY doc_id, page_no ORDER BY t, l, line_id)"
+_BULLET, _ORDERED = T.BULLET_MARKER.replace("'", "''"), T.ORDERED_MARKER.replace("'", "''")
+_MED = lambda x: f"list_sort(list({x}) FILTER ({x} IS NOT NULL))[CAST(floor(count({x}) / 2) AS INT) + 1]"
+_COVER = "greatest(least(a.r, x.r) - greatest(a.l, x.l), 0.0) * greatest(least(a.b, x.b) - greatest(a.t, x.t), 0.0) * 10 > (a.r - a.l) * (a.b - a.t) * "
+_ON = "a.doc_id = x.doc_id AND a.page_no = x.page_no"
+
+
+def _with(*parts: str) -> str:
+    return "WITH " + ", ".join(parts) + " "
+
+
+def oracle_sql() -> dict[str, str]:
+    l, b, bl = _with(_L), _with(_B), _with(_L, _B, _BL)  # noqa: E741
+    x = _with(_L, _B, _BL, _X)
+    return {
+        "list_marker_classify": l + f"""SELECT doc_id, marker_kind, count(*) AS n, count(DISTINCT m) AS markers FROM (SELECT doc_id, regexp_extract(text, '{_ORDERED}', 1) AS m,
+            CASE WHEN regexp_extract(text, '{_BULLET}', 1) || regexp_extract(text, '{_BULLET}', 2) <> '' THEN 'bullet' WHEN regexp_extract(text, '{_ORDERED}', 1) <> '' THEN 'ordered' ELSE 'none' END AS marker_kind
+            FROM L WHERE regexp_matches(text, '\\S')) GROUP BY doc_id, marker_kind""",
+        "page_median_height": l + f"SELECT doc_id, page_no, {_MED('(b - t)')} AS h_med, count(*) AS n_lines FROM L GROUP BY doc_id, page_no",
+        "body_font_size": l + """, S AS (SELECT doc_id, page_no, CAST(round_even(CAST(size_pt AS DOUBLE) * 2, 0) AS BIGINT) AS half_pt, sum(length(coalesce(text, ''))) AS w, min(line_id) AS f FROM L WHERE size_pt IS NOT NULL GROUP BY ALL)
+            SELECT doc_id, page_no, half_pt, w AS weight FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY w DESC, f) AS k FROM S) WHERE k = 1""",
+        "bbox_union": l + "SELECT doc_id, page_no, min(l) AS l, min(t) AS t, max(r) AS r, max(b) AS b FROM L GROUP BY doc_id, page_no",
+        "mean_confidence": l + """SELECT doc_id, page_no, count(confidence) AS n, CASE WHEN count(confidence) > 0 THEN CAST(sum(CAST(round_even(CASE WHEN CAST(confidence AS DOUBLE) > 1 THEN CAST(confidence AS DOUBLE) * 10 ELSE CAST(confidence AS DOUBLE) * 1000 END, 0) AS BIGINT)) AS DOUBLE) / count(confidence) ELSE 0.0 END AS mean_thousandths FROM L GROUP BY doc_id, page_no""",
+        "confidence_filter": l + f"SELECT doc_id, page_no, line_id, row_number() {_W} AS new_id FROM L WHERE regexp_matches(text, '\\S') AND confidence >= 0.5 AND confidence <= 1",
+        "uncertain_lines": l + "SELECT doc_id, count(*) AS uncertain FROM L WHERE NOT edited AND CAST(confidence AS DOUBLE) < 0.75 GROUP BY doc_id",
+        "band_islands": l + """SELECT doc_id, page_no, line_id, sum(opens) OVER (PARTITION BY doc_id, page_no ORDER BY t, l, line_id) AS band FROM (SELECT *, CASE WHEN m IS NULL OR t >= m THEN 1 ELSE 0 END AS opens FROM
+            (SELECT *, max(b) OVER (PARTITION BY doc_id, page_no ORDER BY t, l, line_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM L))""",
+        "line_gaps": l + f"SELECT doc_id, page_no, line_id, t - lag(b) {_W} AS gap, t - lag(t) {_W} AS step FROM L",
+        "line_spacing": l + f""", D AS (SELECT doc_id, page_no, b - t AS h, t - lag(t) {_W} AS s, t - lag(b) {_W} AS g FROM L)
+            SELECT doc_id, page_no, coalesce({_MED('s')}, 1.2 * {_MED('h')}) AS spacing, coalesce({_MED('g')}, 0.3 * {_MED('h')}) AS median_gap FROM D GROUP BY doc_id, page_no""",
+        "space_before": b + "SELECT doc_id, page_no, block_no, coalesce(greatest(t - lag(b) OVER (PARTITION BY doc_id, page_no, section_no, column_no ORDER BY block_no), CASE WHEN lag(b) OVER (PARTITION BY doc_id, page_no, section_no, column_no ORDER BY block_no) IS NULL THEN NULL ELSE 0.0 END), 0.0) AS space_before FROM B",
+        "renumber": l + f"SELECT doc_id, page_no, line_id, row_number() {_W} AS new_id FROM L",
+        "cluster_mean": l + """, D AS (SELECT DISTINCT doc_id, page_no, l FROM L), F AS (SELECT *, CASE WHEN l - lag(l) OVER (PARTITION BY doc_id, page_no ORDER BY l) <= 8.0 THEN 0 ELSE 1 END AS o FROM D),
+            G AS (SELECT *, sum(o) OVER (PARTITION BY doc_id, page_no ORDER BY l) AS grp FROM F) SELECT doc_id, page_no, grp, sum(l) / count(*) AS center, count(*) AS n FROM G GROUP BY doc_id, page_no, grp""",
+        "gutters": l + """, D AS (SELECT *, max(r) OVER (PARTITION BY doc_id, page_no ORDER BY l, r, line_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM L)
+            SELECT doc_id, page_no, reach AS gap_start, min(l) AS gap_end FROM D WHERE l > reach GROUP BY doc_id, page_no, reach""",
+        "heading_levels": bl + """, S AS (SELECT doc_id, page_no, block_no, CAST(max(size_pt) AS DOUBLE) AS size FROM BL WHERE kind = 'Heading' GROUP BY ALL HAVING max(size_pt) IS NOT NULL),
+            C AS (SELECT doc_id, page_no, count(*) AS n, count(*) FILTER (kind = 'Heading') AS k FROM B GROUP BY ALL)
+            SELECT S.doc_id, S.page_no, block_no, least(3, dense_rank() OVER (PARTITION BY S.doc_id, S.page_no ORDER BY round_even(size, 0) DESC)) AS level FROM S JOIN C ON S.doc_id = C.doc_id AND S.page_no = C.page_no WHERE NOT (n > 4 AND k * 10 > n * 6)""",
+        "bold_majority": bl + """, D AS (SELECT *, length(coalesce(text, '')) AS n FROM BL), R AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no, block_no ORDER BY n DESC, pos) AS k FROM D)
+            SELECT doc_id, page_no, block_no, sum(CASE WHEN bold THEN n ELSE 0 END) * 2 > sum(n) AS bold, CAST(max(size_pt) FILTER (k = 1) AS DOUBLE) AS size_pt FROM R GROUP BY doc_id, page_no, block_no""",
+        "align_detect": bl + """, D AS (SELECT doc_id, page_no, block_no, max(l) - min(l) AS left_spread, max(r) - min(r) AS right_spread, max(l + r) - min(l + r) AS center2 FROM BL GROUP BY ALL HAVING count(*) > 1)
+            SELECT *, CASE WHEN left_spread <= 6 AND right_spread <= 6 THEN 'Justify' WHEN left_spread <= 6 THEN 'Left' WHEN right_spread <= 6 THEN 'Right' WHEN center2 <= 12 THEN 'Center' ELSE 'Left' END AS align FROM D""",
+        "numbered_runs": b + """, K AS (SELECT *, kind || '/' || CAST(coalesce(ordered_list, false) AS VARCHAR) AS key FROM B),
+            O AS (SELECT *, CASE WHEN key = lag(key) OVER (PARTITION BY doc_id, page_no ORDER BY block_no) THEN 0 ELSE 1 END AS o FROM K), R AS (SELECT *, sum(o) OVER (PARTITION BY doc_id, page_no ORDER BY block_no) AS run FROM O),
+            N AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no, run ORDER BY block_no) AS item_no FROM R) SELECT doc_id, page_no, block_no, run, item_no, coalesce(ordered_list, false) AS ordered FROM N WHERE kind = 'ListItem'""",
+        "section_groups": b + """, S AS (SELECT doc_id, page_no, section_no, max(column_no) AS c FROM B GROUP BY ALL), O AS (SELECT *, CASE WHEN c = 0 AND lag(c) OVER (PARTITION BY doc_id, page_no ORDER BY section_no) = 0 THEN 0 ELSE 1 END AS o FROM S)
+            SELECT doc_id, page_no, section_no, c + 1 AS columns, sum(o) OVER (PARTITION BY doc_id, page_no ORDER BY section_no) AS grp FROM O""",
+        "table_line_assign": _with(_L, _B) + f"SELECT a.doc_id, a.page_no, a.line_id, min(x.block_no) AS block_no FROM L a JOIN B x ON {_ON} AND {_COVER} 5 WHERE x.kind = 'Table' GROUP BY ALL",
+        "figure_lines": _with(_L, _B) + f"SELECT a.doc_id, a.page_no, a.line_id FROM L a WHERE EXISTS (SELECT 1 FROM B x WHERE x.kind = 'Figure' AND {_ON} AND {_COVER} 7)",
+        "flow_items": _with(_L, _B) + f"""SELECT doc_id, page_no, 'line' AS item, line_id AS item_no, l, t, r, b FROM L a WHERE NOT EXISTS (SELECT 1 FROM B x WHERE x.kind = 'Table' AND {_ON} AND {_COVER} 5)
+            AND NOT EXISTS (SELECT 1 FROM B x WHERE x.kind = 'Figure' AND {_ON} AND {_COVER} 7) UNION ALL SELECT doc_id, page_no, lower(kind), block_no, l, t, r, b FROM B WHERE kind IN ('Table', 'Figure')""",
+        "nearest_table": _with(_L, _B) + f""", D AS (SELECT a.doc_id, a.page_no, a.line_id, x.block_no, greatest(x.l - (a.l + a.r) / 2, (a.l + a.r) / 2 - x.r, 0.0) + greatest(x.t - (a.t + a.b) / 2, (a.t + a.b) / 2 - x.b, 0.0) AS distance FROM L a JOIN B x ON {_ON} WHERE x.kind = 'Table')
+            SELECT doc_id, page_no, line_id, block_no, distance FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no, line_id ORDER BY distance, block_no) AS k FROM D) WHERE k = 1""",
+        "grid_columns": _with(_L, _B) + f""", E AS (SELECT doc_id, page_no, e, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY e) AS i FROM (SELECT DISTINCT doc_id, page_no, l AS e FROM B)),
+            J AS (SELECT a.doc_id, a.page_no, a.line_id, a.l, a.r, x.e, x.i FROM L a JOIN E x ON {_ON})
+            SELECT doc_id, page_no, line_id, count(*) FILTER (e <= l + 4.0) AS asof_col, arg_min(i, abs(e - r) * 1000000 + i) AS near_col, count(*) FILTER (e <= (l + r) / 2) AS bucket FROM J GROUP BY doc_id, page_no, line_id""",
+        "rule_intersections": b + """, R AS (SELECT doc_id, page_no, block_no * 4 + s AS rule, s < 2 AS h, CASE s WHEN 0 THEN t WHEN 1 THEN b WHEN 2 THEN l ELSE r END AS pos, CASE WHEN s < 2 THEN l ELSE t END AS a, CASE WHEN s < 2 THEN r ELSE b END AS z
+            FROM B, (SELECT unnest([0, 1, 2, 3]) AS s) WHERE kind IN ('Table', 'Figure'))
+            SELECT h.doc_id, h.page_no, h.rule AS h_rule, v.rule AS v_rule FROM R h JOIN R v ON h.doc_id = v.doc_id AND h.page_no = v.page_no AND h.h AND NOT v.h AND v.pos >= h.a - 6 AND v.pos <= h.z + 6 AND h.pos >= v.a - 6 AND h.pos <= v.z + 6""",
+        "flow_text": x + "SELECT doc_id, page_no, block_no, text FROM X WHERE kind = 'Paragraph'",
+        "page_plain_text": _with(_L, _B, _BL, _X, _PT) + "SELECT * FROM PT",
+        "document_text_parts": _with(_L, _B, _BL, _X, _PT) + "SELECT doc_id, page_no, CASE WHEN page_no > 1 THEN chr(12) || chr(10) ELSE '' END || text || chr(10) AS part FROM PT",
+        "html_blocks": x + """, H AS (SELECT X.doc_id, X.page_no, X.block_no, X.kind, CAST(least(greatest(coalesce(B.heading_level, 1), 1), 3) AS VARCHAR) AS lv, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS s
+            FROM X JOIN B ON X.doc_id = B.doc_id AND X.page_no = B.page_no AND X.block_no = B.block_no)
+            SELECT doc_id, page_no, block_no, CASE kind WHEN 'Heading' THEN '<h' || lv || '>' || s || '</h' || lv || '>' WHEN 'ListItem' THEN '<li>' || s || '</li>' WHEN 'Table' THEN '<pre>' || s || '</pre>' ELSE '<p>' || replace(s, chr(10), '<br>') || '</p>' END AS html FROM H WHERE kind <> 'Figure'""",
+        "layout_dump": x + "SELECT doc_id, page_no, block_no, '[' || kind || '] ' || array_to_string(list_slice(regexp_extract_all(text, '(?s).'), 1, 60), '') AS line FROM X",
+        "table_to_text": """WITH C AS (SELECT n_regionkey AS row, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS col, n_name AS text FROM nation UNION ALL SELECT r_regionkey, 0, r_name FROM region),
+            G AS (SELECT r.row, c.col FROM (SELECT unnest(generate_series(0, (SELECT max(row) FROM C))) AS row) r, (SELECT unnest(generate_series(0, (SELECT max(col) FROM C))) AS col) c),
+            R AS (SELECT G.row, string_agg(coalesce(C.text, ''), chr(9) ORDER BY G.col) AS text FROM G LEFT JOIN C ON C.row = G.row AND C.col = G.col GROUP BY G.row) SELECT 0 AS table_no, string_agg(text, chr(10) ORDER BY row) AS text FROM R""",
+        "parse_numbers": bl + f""", C AS (SELECT doc_id, page_no, line_id, i - 1 AS cell, parts[i] AS c FROM (SELECT *, unnest(generate_series(1, len(parts))) AS i FROM (SELECT *, string_split_regex(text, '\\t| {{2,}}') AS parts FROM BL WHERE kind = 'Table' AND text IS NOT NULL))),
+            V AS (SELECT *, regexp_matches(c, '{T.NUMBER_CELL}') AS ok, TRY_CAST(regexp_replace(c, '[,%+]', '', 'g') AS DECIMAL(28, 6)) AS v, c LIKE '%\\%' ESCAPE '\\' AS pc, contains(c, '.') AS dec, contains(c, ',') AS grp FROM C)
+            SELECT doc_id, page_no, line_id, cell, CASE WHEN ok THEN CAST(CASE WHEN pc THEN CAST(v AS DECIMAL(28, 8)) * 0.01 ELSE v END AS DOUBLE) END AS value,
+            CASE WHEN NOT ok THEN NULL WHEN pc AND dec THEN 10 WHEN pc THEN 9 WHEN grp AND dec THEN 4 WHEN grp THEN 3 WHEN dec THEN 2 ELSE 1 END AS format_id FROM V""",
+        "column_names": """SELECT i, CASE WHEN i <= 26 THEN chr(CAST(64 + i AS INT)) WHEN i <= 702 THEN chr(CAST(65 + (i - 27) // 26 AS INT)) || chr(CAST(65 + (i - 27) % 26 AS INT))
+            ELSE chr(CAST(65 + (i - 703) // 676 AS INT)) || chr(CAST(65 + ((i - 703) // 26) % 26 AS INT)) || chr(CAST(65 + (i - 703) % 26 AS INT)) END AS name FROM (SELECT CAST(p_partkey AS INT) AS i FROM part) WHERE i <= 18278""",
+        "natural_sort_rank": """SELECT doc_id, station, row_number() OVER (PARTITION BY station ORDER BY array_to_string(list_transform(regexp_extract_all(lower(doc_name), '([0-9]+|[^0-9]+)'), lambda p: CASE WHEN regexp_matches(p, '^[0-9]') THEN lpad(p, 20, '0') ELSE p END), chr(1)), doc_id) AS place
+            FROM (SELECT doc_id, doc_name, coalesce(station, '') AS station FROM ocr_docs WHERE doc_name IS NOT NULL)""",
+        "file_kinds": """SELECT doc_id, ext, CASE WHEN ext = 'pdf' THEN 'pdf' WHEN ext IN ('png', 'jpg', 'jpeg', 'bmp', 'gif', 'tif', 'tiff', 'webp', 'jfif', 'dib', 'jpe', 'ico') THEN 'image' WHEN ext IS NULL THEN 'rejected' ELSE 'rejected' END AS file_kind
+            FROM (SELECT doc_id, lower(regexp_extract(doc_name, '\\.([A-Za-z0-9]+)$', 1)) AS ext FROM ocr_docs)""",
+        "image_sequence_pages": _with(_P) + """, D AS (SELECT DISTINCT image_path AS path FROM P WHERE image_path IS NOT NULL), F AS (SELECT path, regexp_extract(path, '^(.*)[\\\\/][^\\\\/]*$', 1) AS folder, regexp_extract(path, '([^\\\\/]*)$', 1) AS name FROM D
+            WHERE lower(regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1)) IN ('png', 'jpg', 'jpeg', 'bmp', 'gif', 'tif', 'tiff', 'webp', 'jfif', 'dib', 'jpe', 'ico'))
+            SELECT folder, path, row_number() OVER (PARTITION BY folder ORDER BY array_to_string(list_transform(regexp_extract_all(lower(name), '([0-9]+|[^0-9]+)'), lambda p: CASE WHEN regexp_matches(p, '^[0-9]') THEN lpad(p, 20, '0') ELSE p END), chr(1)), path) AS page_no FROM F""",
+        "effective_dpi": _with(_P) + """, K AS (SELECT DISTINCT doc_id, kind FROM ocr_docs) SELECT P.doc_id, page_no, round(CASE WHEN kind = 'Pdf' OR CAST(dpi AS DOUBLE) BETWEEN 150 AND 1200 THEN CAST(dpi AS DOUBLE)
+            WHEN greatest(width, height) >= 1600 AND crop IS NULL THEN least(600.0, greatest(96.0, CAST(greatest(width, height) AS DOUBLE) / 11.3)) ELSE coalesce(CAST(dpi AS DOUBLE), 96.0) END, 6) AS dpi FROM P JOIN K ON P.doc_id = K.doc_id""",
+        "page_units": _with(_B, _P) + """, U AS (SELECT B.doc_id, B.page_no, B.block_no, B.r - B.l AS w, CAST(P.dpi AS DOUBLE) AS dpi FROM B JOIN P ON P.doc_id = B.doc_id AND P.page_no = B.page_no WHERE P.dpi IS NOT NULL)
+            SELECT doc_id, page_no, block_no, round(w * 72 / dpi, 6) AS width_pt, CAST(round_even(w * 1440 / dpi, 0) AS BIGINT) AS width_twips, CAST(round_even(w * 914400 / dpi, 0) AS BIGINT) AS width_emu FROM U""",
+        "line_colors": l + """SELECT '#' || lower(lpad(to_hex(c & 16777215), 6, '0')) AS css, ((c >> 16) & 255) + ((c >> 8) & 255) + (c & 255) AS from_black, count(*) AS n FROM (SELECT CAST(color AS BIGINT) AS c FROM L WHERE color IS NOT NULL) GROUP BY ALL""",
+        "language_lookup": """WITH N AS (SELECT DISTINCT lang, lower(unnest([lang, ocr_language, display_name, culture])) AS label FROM language_models), O AS (SELECT DISTINCT doc_id, ocr_language FROM export_options)
+            SELECT doc_id, O.ocr_language, coalesce(N.lang, 'en') AS lang, N.lang IS NULL AS fallback FROM O LEFT JOIN N ON lower(trim(O.ocr_language)) = N.label""",
+        "missing_models": """SELECT DISTINCT path FROM (SELECT unnest([rec_model, dictionary, 'det\\det.onnx', 'cls\\cls.onnx']) AS path FROM language_models) WHERE path IS NOT NULL AND path NOT IN (SELECT p FROM (SELECT unnest([rec_model, dictionary]) AS p FROM language_models WHERE lang IN ('en', 'de', 'fr')) WHERE p IS NOT NULL)""",
+        "unique_paths": """WITH H AS (SELECT entry_id, regexp_replace(output_path, '[<>:"|?*]', '_', 'g') AS c FROM (SELECT *, row_number() OVER (PARTITION BY entry_id ORDER BY logged_at NULLS FIRST) AS k FROM history_entries WHERE output_path IS NOT NULL) WHERE k = 1),
+            N AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY entry_id) AS n FROM H) SELECT entry_id, CASE WHEN n = 1 THEN c ELSE regexp_extract(c, '^(.*?)(\\.[A-Za-z0-9]+)?$', 1) || ' (' || n || ')' || regexp_extract(c, '^(.*?)(\\.[A-Za-z0-9]+)?$', 2) END AS unique_name FROM N""",
+        "history_top500": """SELECT entry_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY entry_id ORDER BY logged_at NULLS FIRST) AS k FROM history_entries WHERE happened_at IS NOT NULL) WHERE k = 1 ORDER BY happened_at DESC, entry_id DESC LIMIT 500""",
+        "batch_totals": """SELECT coalesce(regexp_replace(lower(trim(out_format)), '^\\.', ''), '?') AS format, count(*) AS entries, CAST(sum(page_count) AS BIGINT) AS pages, CAST(sum(CASE WHEN round(elapsed_s * 100, 0) >= 0 THEN round(elapsed_s * 100, 0) END) AS BIGINT) AS hundredths, count(*) FILTER (round(elapsed_s * 100, 0) < 0) AS bad_times
+            FROM (SELECT *, row_number() OVER (PARTITION BY entry_id ORDER BY logged_at NULLS FIRST) AS k FROM history_entries) WHERE k = 1 GROUP BY ALL""",
+        "edit_overlay": l + """SELECT doc_id, page_no, line_id, CASE WHEN edited THEN coalesce('> ' || text, text) ELSE text END AS text, CASE WHEN edited AND text IS NOT NULL THEN 1000 ELSE CAST(round_even(CAST(confidence AS DOUBLE) * 1000, 0) AS BIGINT) END AS thousandths, edited FROM L""",
+        "stale_results": _with(_P) + "SELECT DISTINCT d.doc_id, d.page_no, d.page_version FROM doc_pages d JOIN P ON P.doc_id = d.doc_id AND P.page_no = d.page_no AND P.page_version = d.page_version",
+        "remove_pages": _with(_P) + "SELECT doc_id, page_no, row_number() OVER (PARTITION BY doc_id ORDER BY page_no) AS new_page_no FROM P WHERE rotation IS NULL OR rotation <> 180",
+        "pages_to_process": _with(_P) + "SELECT doc_id, page_no FROM P WHERE NOT EXISTS (SELECT 1 FROM text_lines t WHERE t.doc_id = P.doc_id AND t.page_no = P.page_no)",
+        "text_layer_pages": l + "SELECT doc_id, page_no, CAST(sum(length(regexp_replace(coalesce(text, ''), '[\\x00-\\x20\\x{FFFD}\\x{FFFE}]', '', 'g'))) AS BIGINT) AS visible, sum(length(regexp_replace(coalesce(text, ''), '[\\x00-\\x20\\x{FFFD}\\x{FFFE}]', '', 'g'))) >= 16 AS enough FROM L GROUP BY doc_id, page_no",
+        "ctc_decode": """WITH S AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events WHERE event_type IS NOT NULL)
+            SELECT user_id, string_agg(substr(event_type, 1, 1), '' ORDER BY event_id) AS text, count(*) AS runs FROM S WHERE (p IS NULL OR p <> event_type) AND event_type <> 'error' GROUP BY user_id""",
+    }
