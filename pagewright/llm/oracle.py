@@ -1,7 +1,17 @@
-"""SQL for the queries of the subpackage that SQL can express."""
+"""SQL for the queries of the subpackage that SQL can express; the others are tested by brute force."""
 
 from __future__ import annotations
 
 
+def _stretches(key: str, column: str, source: str) -> str:
+    """All stretches of twelve words of a column."""
+    words = f"regexp_extract_all(lower({column}), '[\\p{{L}}\\p{{N}}]+')"
+    return f"""SELECT {key}, array_to_string(list_slice(w, i, i + 11), ' ') AS g FROM (SELECT {key}, w, unnest(generate_series(1, len(w) - 11)) AS i FROM (SELECT {key}, {words} AS w FROM {source}) WHERE len(w) >= 12)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p8_found": f"SELECT DISTINCT doc_id, item_id FROM ({_stretches('doc_id', 'text', 'documents')}) d JOIN ({_stretches('item_id', 'passage', 'eval_items')}) i ON d.g = i.g",
+        "p9_found": """WITH W AS (SELECT DISTINCT doc_id, hash(substr(text, i, 200)) AS h FROM (SELECT doc_id, text, unnest(generate_series(1, length(text) - 199)) AS i FROM documents WHERE length(text) >= 200))
+            SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM W a JOIN W b ON a.h = b.h AND a.doc_id < b.doc_id""",
+    }
