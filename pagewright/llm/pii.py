@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .linekinds import is_junk
-from .lookalike import _FOREIGN, _PLAIN_CASES, LATTICE, _script, foreign_tokens
+from .lookalike import _PLAIN_CASES, foreign_tokens
 
 # --- fixed values -------------------------------------------------------------------------------
 FILE_ENDS = frozenset("png jpg jpeg tif tiff pdf gif bmp docx doc xlsx txt html htm zip".split())
@@ -44,9 +44,11 @@ PHONE = re.compile(
     "|(?<=电话)[\\d()+ -]{9,}\\d|(?<=電話は)[\\d()+ -]{9,}\\d)(?![\\w]|[-/.]\\d)",
     re.ASCII,
 )
-PROTECTED_ID = re.compile(f"{_B}(?:\\d{{11}}|[A-Z]{{2}} ?\\d{{2}} ?\\d{{2}} ?\\d{{2}} ?[A-Z]|[A-Z]{{2}}\\d{{7}}|\\d{{3}}\\.\\d{{3}}\\.\\d{{3}}/[\\dA-Z]){_E}")
-AMBIGUOUS_ID = re.compile(f"{_B}\\d{{2}}-\\d{{5}}-\\d{_E}")
-INNOCENT_ID = re.compile(f"{_B}(?:\\d{{8}}|\\d{{4}} \\d{{5}}|\\d{{2}}-\\d{{6}}-\\d|\\d{{5}}/\\d{{2}}|[A-Z]\\d{{3}}-\\d{{2,3}}|[A-Z]-\\d{{5}}){_E}")
+#: Numbers of protected (p), ambiguous (a) and innocent (i) shape.
+NUMBERS = re.compile(
+    f"{_B}(?=[A-Z\\d])(?:(?P<p>\\d{{11}}|[A-Z]{{2}} ?\\d{{2}} ?\\d{{2}} ?\\d{{2}} ?[A-Z]|[A-Z]{{2}}\\d{{7}}|\\d{{3}}\\.\\d{{3}}\\.\\d{{3}}/[\\dA-Z])|(?P<a>\\d{{2}}-\\d{{5}}-\\d)"
+    f"|(?P<i>\\d{{8}}|\\d{{4}} \\d{{5}}|\\d{{2}}-\\d{{6}}-\\d|\\d{{5}}/\\d{{2}}|[A-Z]\\d{{3}}-\\d{{2,3}}|[A-Z]-\\d{{5}})){_E}"
+)
 _CITY = "[A-ZÀ-Þ][\\w'’-]+"
 ADDRESS_LATIN = re.compile(
     f"(?:(?:Flat|Apt\\.?|Unit|Suite) \\d{{1,4}}, )?(?<![\\w.-])\\d{{1,4}}[a-z]? {_CITY}(?: {_CITY})? (?:{STREETS_EN})(?![\\w])(?:, {_CITY}(?: {_CITY})?(?: \\d{{5}}(?!\\d))?)?"
@@ -62,56 +64,64 @@ ADDRESS_CJK = re.compile(
     "|(?<![가-힣])[가-힣]{1,5}(?:시|군|구|읍) [가-힣]{1,6}(?:로|길) ?(?:\\d{1,4}번길 ?)?\\d{1,4}(?!\\d)"
 )
 _QUICK = re.compile("[\\d@\\[(]")
+_AT = re.compile("@|[\\[({]\\s?(?:at|AT|ät|arroba|собака)\\s?[\\])}]")
+_LONG_NUMBER = re.compile("\\d[\\d.()/+ -]{3}")
+_LATIN_HINT = re.compile("Box|\\d[a-z]? [A-ZÀ-Þ]")
+_EAST = re.compile("[〒市县区都道府県시군구읍]")
 _CUE = re.compile("([^\\W\\d_]+\\.?)?[^\\w]{0,3}([^\\W\\d_]+)[^\\w]{0,4}$")
 _CJK = re.compile("[぀-ヿ㐀-䶿一-鿿]")
-TO_CYRILLIC = str.maketrans({a: next((x for x in sorted(s) if _script(x) == "C"), a) for a, s in LATTICE.items() if _script(a) in "LG"})
+_MARKS_AT_END = frozenset("-‐¬\xad")
+_DIVIDED = re.compile("(?<=[^\\W\\d_])[-‐¬\xad]\\s*$")
 _INVISIBLE = re.compile("[­​-‏⁠﻿]")
 
 
-def flatten(lines: list[str]) -> tuple[str, list[int], list[int]]:
-    """Text of a block in one line and one form; for each of its characters the line, and the place in that line."""
+def flatten(lines: list[str]) -> tuple[str, list[int], list[list[int] | None]]:
+    """Text of a block in one line and one form; where each line starts in it, and for lines that changed the places of their characters."""
     spaceless = _CJK.search("".join(lines)) is not None
-    chars: list[str] = []
-    owner: list[int] = []
-    place: list[int] = []
-    for k, line in enumerate(lines):
-        text = line
-        if k + 1 < len(lines):
-            m = re.search("(?<=[^\\W\\d_])[-‐¬\xad]\\s*$", text)
+    parts: list[str] = []
+    starts: list[int] = []
+    maps: list[list[int] | None] = []
+    size = 0
+    for k, text in enumerate(lines):
+        blank = "" if spaceless or k + 1 == len(lines) else " "
+        if blank and text.rstrip()[-1:] in _MARKS_AT_END:
+            m = _DIVIDED.search(text)
             if m:
-                text = text[: m.start()]
-        odd = not text.isascii() and (_PLAIN_CASES.search(text) or re.search(f"[{_FOREIGN}]", text))
-        if not odd:
-            chars.append(text)
-            owner += [k] * len(text)
-            place += range(len(text))
-        else:
-            piece: list[str] = []
-            at: list[int] = []
-            for i, ch in enumerate(text):
-                if _INVISIBLE.match(ch):
-                    continue
-                if unicodedata.combining(ch) and piece:
-                    both = unicodedata.normalize("NFC", piece[-1] + ch)
-                    if len(both) == 1:
-                        piece[-1] = both
-                        continue
-                new = unicodedata.normalize("NFKC", ch) if _PLAIN_CASES.match(ch) else ch
-                for c in new or " ":
-                    piece.append(" " if c.isspace() else c)
-                    at.append(i)
-            joined = "".join(piece)
-            for s, e, best in foreign_tokens(joined):
+                text, blank = text[: m.start()], ""
+        at = None
+        if not text.isascii():
+            if _PLAIN_CASES.search(text):
+                text, at = _one_form(text)
+            for s, e, best in foreign_tokens(text):
                 if len(best) == e - s:
-                    piece[s:e] = best
-            chars.append("".join(piece))
-            owner += [k] * len(piece)
-            place += at
-        if k + 1 < len(lines) and text is line and not spaceless:
-            chars.append(" ")
-            owner.append(k)
-            place.append(len(line) - 1 if line else 0)
-    return "".join(chars), owner, place
+                    text = text[:s] + best + text[e:]
+        starts.append(size)
+        maps.append(at)
+        parts += (text, blank)
+        size += len(text) + len(blank)
+    return "".join(parts), starts, maps
+
+
+def _one_form(text: str) -> tuple[str, list[int]]:
+    """Text without invisible characters, composed and in ordinary widths; for each of its characters the place in the original."""
+    piece: list[str] = []
+    at: list[int] = []
+    for i, ch in enumerate(text):
+        if ch.isascii():
+            piece.append(ch)
+            at.append(i)
+            continue
+        if _INVISIBLE.match(ch):
+            continue
+        if unicodedata.combining(ch) and piece:
+            both = unicodedata.normalize("NFC", piece[-1] + ch)
+            if len(both) == 1:
+                piece[-1] = both
+                continue
+        for c in (unicodedata.normalize("NFKC", ch) if _PLAIN_CASES.match(ch) else ch) or " ":
+            piece.append(" " if c.isspace() else c)
+            at.append(i)
+    return "".join(piece), at
 
 
 class Names:
@@ -214,29 +224,34 @@ def _cue(text: str, s: int) -> str:
 def find_items(text: str, names: Names) -> list[tuple[int, int, str, str | None, int]]:
     """(start, end, type, term, shape) of the items in a block's text; shape: 2 no number, 1 protected, 0 ambiguous, -1 innocent."""
     out: list[tuple[int, int, str, str | None, int]] = []
-    emails: list[tuple[int, int]] = []
     if _QUICK.search(text):
-        if "@" in text or "[" in text or "(" in text:
+        if _AT.search(text):
+            clear = text
             for m in EMAIL.finditer(text):
                 end = re.split("[^A-Za-z0-9]+", m.group().rstrip("])} "))[-1].lower()
                 if end in FILE_ENDS or not re.search("[A-Za-z]{2}", end):
                     continue
-                out.append((*m.span(), "email", None, 2))
-                emails.append(m.span())
-        clear = text
-        for s, e in emails:
-            clear = clear[:s] + "\0" * (e - s) + clear[e:]
-        for m in PHONE.finditer(clear):
-            if sum(map(str.isdigit, m.group())) >= 7 and clear[max(0, m.start() - 1) : m.start()] != "〒":
-                out.append((*m.span(), "phone", None, 2))
-                clear = clear[: m.start()] + "\0" * (m.end() - m.start()) + clear[m.end() :]
-        for rx in (ADDRESS_LATIN, ADDRESS_RU, ADDRESS_CJK):
-            for m in rx.finditer(clear):
-                out.append((*m.span(), "address", None, 2))
-        for rx, shape in ((PROTECTED_ID, 1), (AMBIGUOUS_ID, 0), (INNOCENT_ID, -1)):
-            for m in rx.finditer(clear):
-                out.append((*m.span(), "national_id", _cue(clear, m.start()), shape))
-        text = clear
+                s, e = m.span()
+                out.append((s, e, "email", None, 2))
+                clear = clear[:s] + "\0" * (e - s) + clear[e:]
+            text = clear
+        if _LONG_NUMBER.search(text):
+            clear = text
+            for m in PHONE.finditer(text):
+                s, e = m.span()
+                if sum(map(str.isdigit, m.group())) >= 7 and text[max(0, s - 1) : s] != "〒":
+                    out.append((s, e, "phone", None, 2))
+                    clear = clear[:s] + "\0" * (e - s) + clear[e:]
+            text = clear
+            for m in NUMBERS.finditer(text):
+                out.append((*m.span(), "national_id", _cue(text, m.start()), 1 if m["p"] else 0 if m["a"] else -1))
+        if _LATIN_HINT.search(text):
+            out += [(*m.span(), "address", None, 2) for m in ADDRESS_LATIN.finditer(text)]
+        if not text.isascii():
+            if "д." in text or "дом" in text:
+                out += [(*m.span(), "address", None, 2) for m in ADDRESS_RU.finditer(text)]
+            if _EAST.search(text):
+                out += [(*m.span(), "address", None, 2) for m in ADDRESS_CJK.finditer(text)]
     for s, e in names.people(text):
         out.append((s, e, "name", None, 2))
     return out
@@ -267,25 +282,25 @@ def _page(parts: list[tuple[str, str]]):
             if not own or len(own) == 1 and is_junk(own[0][1]):
                 continue
             if len(own) == 1 and own[0][1].isascii():
-                text, owner, place = own[0][1], None, None
+                text, starts, maps = own[0][1], [0], [None]
             else:
-                text, owner, place = flatten([t for _, t in own])
+                text, starts, maps = flatten([t for _, t in own])
             for s, e, kind, term, shape in find_items(text, names):
-                if owner is None:
-                    yield doc, page_no, own[0][0], s, e, kind, term, shape
-                    continue
                 while s < e and text[s].isspace():
                     s += 1
                 while e > s and text[e - 1].isspace():
                     e -= 1
                 a = s
                 while a < e:  # one row for each line that holds a part
-                    k = owner[a]
-                    b = bisect_right(owner, k, a, e)
+                    k = bisect_right(starts, a) - 1
+                    b = min(e, starts[k + 1]) if k + 1 < len(starts) else e
                     last = b - 1
                     while last > a and text[last].isspace():
                         last -= 1
-                    yield doc, page_no, own[k][0], place[a], place[last] + 1, kind, term, shape
+                    start, stop = a - starts[k], last - starts[k]
+                    if maps[k]:
+                        start, stop = maps[k][start], maps[k][min(stop, len(maps[k]) - 1)]
+                    yield doc, page_no, own[k][0], start, stop + 1, kind, term, shape
                     a = b
 
     return page
