@@ -9,12 +9,14 @@ gains the script-consistent character n-grams of the line.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import to_batch
@@ -91,33 +93,54 @@ _MARKS = "̀-゙゚ͯᄀ-ᇿ"
 _FOREIGN = "ɐ-ʯͰ-ϿЀ-ԯ"
 _PLAIN_CASES = re.compile(f"[{_INVISIBLE}](?!\\s*$)|[{_BLANKS}]|[{_COMPAT}]|[{_MARKS}]")
 _TOKEN = re.compile("[^\\W\\d_]+(?:[-'’][^\\W\\d_]+)*")
-#: JVM pre-filter of lines that may need a change; all others are left as they are.
-SUSPICIOUS = "[" + "".join(x for x in (_INVISIBLE, _BLANKS, _COMPAT.replace("\U0001d400-\U0001d7ff", "\\x{1d400}-\\x{1d7ff}").replace("\U0002f800-\U0002fa1f", "\\x{2f800}-\\x{2fa1f}"), _MARKS)) + "ɐ-ʯͰ-Ͽ]|(?=.*[Ѐ-ԯ])(?=.*[A-Za-z])"
+#: Characters of which one alone may need a change; lines with letters of two scripts may need one too, all others are left as they are.
+SUSPICIOUS = "[" + "".join(x for x in (_INVISIBLE, _BLANKS, _COMPAT.replace("\U0001d400-\U0001d7ff", "\\x{1d400}-\\x{1d7ff}").replace("\U0002f800-\U0002fa1f", "\\x{2f800}-\\x{2fa1f}"), _MARKS)) + "ɐ-ʯͰ-Ͽ]"
 _LETTERS = re.compile("[^\\W\\d_]+")
 _IGNORABLE = re.compile(f"[{_INVISIBLE}]")
 _BLANK = re.compile(f"[{_BLANKS}]")
-#: What a step from one script to another costs, and what a letter other than the written one costs.
-SWITCH, CHANGE = 4.0, 1.0
-
-
-def best_path(token: str, base: str) -> str:
-    """The cheapest path through the look-alike lattice of token, in a line whose other words are written in base."""
-    states: dict[str, tuple[float, str]] = {"": (0.0, "")}
+#: What a step from one script to another costs, a letter other than the written one, and a letter of another script than the line's.
+SWITCH, CHANGE, FOREIGN = 4.0, 1.0, 1.1
+#: Cost of a pair of letters that the fitted lines don't have.
+UNSEEN = 8.0
+#: Lines that the costs of pairs are fitted on, about (drawn by a hash of their text).
+FIT_LINES = 20_000
+
+
+def fit_pairs(texts: Iterator[str]) -> dict[str, float]:
+    """Cost (minus the logarithm of its share) of each pair of letters, word ends included, in words of one script."""
+    pairs: Counter[str] = Counter()
+    for text in texts:
+        for w in _LETTERS.findall(text):
+            if len({_script(c) for c in w}) == 1 and _script(w[0]) in "LC":
+                pairs.update(map("".join, zip(f"^{w.lower()}", f"{w.lower()}$")))
+    heads: Counter[str] = Counter()
+    for p, n in pairs.items():
+        heads[p[0]] += n
+    return {p: -math.log(n / heads[p[0]]) for p, n in pairs.items()}
+
+
+def best_path(token: str, base: str, scores: dict[str, float] | None = None) -> str:
+    """The cheapest path through the look-alike lattice of token, in a line whose other words are written in base.
+
+    Without scores all pairs of letters of one script cost the same.
+    """
+    pair = (lambda a, b: scores.get((a + b).lower(), UNSEEN)) if scores else (lambda a, b: 0.0)
+    states: dict[str, tuple[float, str]] = {"^": (0.0, "")}
     for ch in token:
         options = LATTICE.get(ch, {ch})
         nxt: dict[str, tuple[float, str]] = {}
         for alt in sorted(options | {ch}):
             sc = _script(alt)
-            sc = {"I": "L" if len(options) > 1 else "I"}.get(sc, sc)
-            if alt != ch and _script(alt) == "I":
+            if alt != ch and sc == "I":
                 continue
-            cost = (CHANGE if alt != ch else 0.0) + (1.5 if _script(alt) == "I" and len(options) > 1 else 0.0) + (0.0 if sc == base or sc == "?" else 1.1)
-            for prev, (c, s) in states.items():
-                total = c + cost + (SWITCH if prev not in ("", sc, "?") and sc != "?" else 0.0)
-                if sc not in nxt or (total, s + alt) < nxt[sc]:
-                    nxt[sc] = (total, s + alt)
+            own = (CHANGE if alt != ch else 0.0) + (0.0 if sc in (base, "?") else FOREIGN)
+            for prev, (c, path) in states.items():
+                before = _script(prev) if path else sc
+                step = UNSEEN * bool(scores) + SWITCH if before != sc and "?" not in (before, sc) else pair(prev, alt) if sc != "?" else 0.0
+                if alt not in nxt or (c + own + step, path + alt) < nxt[alt]:
+                    nxt[alt] = (c + own + step, path + alt)
         states = nxt
-    return min(states.values())[1]
+    return min((c + (pair(last, "$") if _script(last) != "?" else 0.0), path) for last, (c, path) in states.items())[1]
 
 
 def compose(text: str) -> str:
@@ -130,7 +153,7 @@ def compose(text: str) -> str:
     return text
 
 
-def foreign_tokens(text: str) -> Iterator[tuple[int, int, str]]:
+def foreign_tokens(text: str, scores: dict[str, float] | None = None) -> Iterator[tuple[int, int, str]]:
     """(start, end, best form) of the tokens that hold look-alikes; text is composed."""
     if text.isascii() or not re.search(f"[{_FOREIGN}]", text):
         return
@@ -157,47 +180,64 @@ def foreign_tokens(text: str) -> Iterator[tuple[int, int, str]]:
             if strong:
                 k = sum(_script(c) == "C" for c in strong)
                 base = "C" if k * 2 > len(strong) else "L"
-        best = best_path(token, base)
+        best = best_path(token, base, scores)
         if best != token:
             yield m.start(), m.end(), best
 
 
-def unify(text: str) -> str:
+def unify(text: str, scores: dict[str, float] | None = None) -> str:
     """The one form of a line."""
     out = compose(text)
     parts, at = [], 0
-    for s, e, best in foreign_tokens(out):
+    for s, e, best in foreign_tokens(out, scores):
         parts += [out[at:s], best]
         at = e
     return "".join([*parts, out[at:]]) if parts else out
 
 
-def is_case(text: str) -> bool:
+def is_case(text: str, scores: dict[str, float] | None = None) -> bool:
     """Whether a line holds a character that stands for another one that looks the same."""
     if not text.strip() or is_junk(text):
         return False
     if _PLAIN_CASES.search(text):
         return True
-    return next(foreign_tokens(text), None) is not None
+    return next(foreign_tokens(text, scores), None) is not None
+
+
+def suspicious(text: Column) -> Column:
+    return text.rlike(SUSPICIOUS) | (text.rlike("[Ѐ-ԯ]") & text.rlike("[A-Za-z]"))
 
 
 def candidates(lines: DataFrame) -> DataFrame:
     rows = lines.where("doc_id is not null and page_no is not null and line_id is not null and text is not null")
-    return rows.select("doc_id", "page_no", F.col("line_id").cast("int").alias("line_id"), "text").where(F.col("text").rlike(SUSPICIOUS))
+    return rows.select("doc_id", "page_no", F.col("line_id").cast("int").alias("line_id"), "text").where(suspicious(F.col("text")))
 
 
 _KEY = pa.schema([("doc_id", pa.int64()), ("page_no", pa.int32()), ("line_id", pa.int32())])
 
 
-def _cases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        keep = [is_case(t) for t in b.column(3).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(i).cast(_KEY[i].type).filter(pa.array(keep)) for i in range(3)], schema=_KEY)
+def pair_scores(lines: DataFrame) -> dict[str, float]:
+    """fit_pairs of about FIT_LINES lines, in one task; the alphabets bound its size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = fit_pairs(t for b in batches for t in b.column(0).to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.float64())], names=["pair", "cost"])
+
+    texts = lines.where("text is not null").select("text")
+    share = max(1, -(-texts.count() // FIT_LINES))
+    return dict(texts.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).repartition(1).mapInArrow(run, "pair string, cost double").collect())
 
 
 def find_lookalikes(lines: DataFrame) -> DataFrame:
     """(doc_id, page_no, line_id) of the lines that are not in the one form. Null, empty, blank and junk lines are no cases; repeated rows count once."""
-    return candidates(lines).mapInArrow(_cases, "doc_id bigint, page_no int, line_id int").distinct()
+    scores = pair_scores(lines)
+
+    def cases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = pa.array([is_case(t, scores) for t in b.column(3).to_pylist()], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(i).cast(_KEY[i].type).filter(keep) for i in range(3)], schema=_KEY)
+
+    return candidates(lines).mapInArrow(cases, "doc_id bigint, page_no int, line_id int").distinct()
 
 
 def unify_lines(lines: DataFrame) -> DataFrame:
@@ -206,13 +246,14 @@ def unify_lines(lines: DataFrame) -> DataFrame:
     Rows without a complete key are left out.
     """
     schema = pa.schema([*_KEY, ("text", pa.string())])
+    scores = pair_scores(lines)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols = [b.column(i).to_pylist() for i in range(4)]
-            yield to_batch(list(zip(*cols[:3], map(unify, cols[3]))), schema)
+            yield to_batch(list(zip(*cols[:3], [unify(t, scores) for t in cols[3]])), schema)
 
     rows = lines.where("doc_id is not null and page_no is not null and line_id is not null").select("doc_id", "page_no", F.col("line_id").cast("int").alias("line_id"), "text")
-    odd = F.col("text").rlike(SUSPICIOUS)
+    odd = suspicious(F.col("text"))
     changed = candidates(lines).mapInArrow(run, "doc_id bigint, page_no int, line_id int, text string")
     return rows.where(odd.isNull() | ~odd).unionByName(changed).groupBy("doc_id", "page_no", "line_id").agg(F.min("text").alias("text"))
