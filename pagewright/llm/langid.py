@@ -37,7 +37,7 @@ BLOCK_GRAMS, BLOCK_LEAD = 10, 0.2
 _WORDS = re.compile("[^\\W\\d_]+")
 _WIDE = re.compile("[぀-ヿ㐀-䶿一-鿿]")
 _SENTENCE = re.compile("[.!?…。！？][”“»\"'’」）)]*\\s*$|.{70}|[、，。]")
-_ADDRESS = re.compile("\\S*(?:@|\\[at\\]|\\.(?:png|pdf|tif|docx|jpg)\\b)\\S*")
+_ADDRESS = re.compile("[!-~]*(?:@|\\[at\\]|\\.(?:png|pdf|tif|docx|jpg)\\b)[!-~]*")
 
 
 def grams(word: str) -> list[str]:
