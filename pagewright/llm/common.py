@@ -7,6 +7,8 @@ No group is ever collected by the JVM, and a file of any number of pages spreads
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -106,11 +108,17 @@ def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, schema)], schema=schema)
 
 
+_OWN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share; in tests, where none is set, a folder of this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = f"file://{tempfile.gettempdir()}/pagewright-shared"
+        if not _OWN:
+            _OWN.append(tempfile.mkdtemp(prefix="pagewright-"))
+            atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
+        found = f"file://{_OWN[0]}"
     return found
 
 
