@@ -26,6 +26,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return scan_noise.find_noise(table(spark, d, "text_lines"), table(spark, d, "layout_blocks"))
 
 
+def p3_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return scan_noise.find_paragraphs(table(spark, d, "text_lines"), table(spark, d, "layout_blocks"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return langid.find_languages(*(table(spark, d, n) for n in ("text_lines", "layout_blocks", "export_options", "language_models", "documents")))
 

@@ -7,6 +7,8 @@
 3. A second pass goes page by page over the blocks in reading order: division marks at line ends,
    misread words, page numbers, and single lines that may be running titles.
 4. Running titles are lines that, with digits masked, stand on two or more pages of a file.
+5. Windows over one small row for each page bring the ends of neighbouring pages together: they decide marks
+   at page ends and which blocks are one paragraph. Its text is reflowed with the words as printed.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
@@ -161,8 +164,10 @@ def verdicts(group: dict[str, int]) -> Iterator[str]:
         return
     good: list[tuple[str, int]] = []
     for f, n in sorted(group.items(), key=lambda x: (-x[1], x[0])):
-        if any(v >= RATIO * n and derives(g, f) for g, v in good):
+        printed = next((g for g, v in good if v >= RATIO * n and derives(g, f)), None)
+        if printed is not None:
             yield f"m:{f}"
+            yield f"p:{f}>{printed}"
         elif n >= LEAST and _ALPHA.match(f):
             good.append((f, n))
             yield f"g:{f}"
@@ -221,6 +226,7 @@ class Filter:
         self.bits = zlib.decompress(packed)
         self.known: dict[str, bool] = {}
         self.tokens: dict[str, int] = {}
+        self.fixed: dict[tuple[str, bool], str] = {}
 
     def __contains__(self, key: str) -> bool:
         found = self.known.get(key)
@@ -259,6 +265,13 @@ class Filter:
         return 2
 
 
+def _wrong_glyph(line: str, i: int, known: Filter) -> bool:
+    ch = line[i]
+    left, right = f"<{line[i - 2 : i]}{ch}" if i > 1 else "", f">{line[i + 1 : i + 3]}{ch}" if i + 2 < len(line) else ""
+    bad = (left and f"c:{left}" in known) or (right and f"c:{right}" in known)
+    return bool(bad) and not (left and f"k:{left}" in known) and not (right and f"k:{right}" in known)
+
+
 def misread_lines(texts: list[str], known: Filter) -> set[int]:
     """Indices of the lines of a block that hold a misread word."""
     hit: set[int] = set()
@@ -273,11 +286,8 @@ def misread_lines(texts: list[str], known: Filter) -> set[int]:
                 hit.add(k)
         line = "".join(flat)
         for i, ch in enumerate(line):
-            if ch in GLYPH:
-                left, right = f"<{line[i - 2 : i]}{ch}" if i > 1 else "", f">{line[i + 1 : i + 3]}{ch}" if i + 2 < len(line) else ""
-                bad = (left and f"c:{left}" in known) or (right and f"c:{right}" in known)
-                if bad and not (left and f"k:{left}" in known) and not (right and f"k:{right}" in known):
-                    hit.add(owner[i])
+            if ch in GLYPH and _wrong_glyph(line, i, known):
+                hit.add(owner[i])
         return hit
     head = ""  # what the line before leaves of a divided word
     judge = known.token
@@ -328,7 +338,7 @@ def _side(head: str, rest: str, k: int, known: Filter) -> int:
 
 
 def divides(tail: str, rest: str, known: Filter) -> bool:
-    """Whether the mark at the end of tail only divides the word that goes on as rest ('' if that is on another page)."""
+    """Whether the mark at the end of tail only divides the word that goes on as rest ('' if that is not known)."""
     m = _DIVIDES.search(tail)
     if m is None:
         return False
@@ -355,59 +365,261 @@ def running_key(text: str) -> str:
     return re.sub("[\\W_]+", "", re.sub("\\d+", "", unify(text).lower()))
 
 
-_ROWS = pa.schema([("doc_id", pa.int64()), ("page_no", pa.int32()), ("line_id", pa.int32()), ("noise", pa.string()), ("key", pa.string()), ("misread", pa.bool_())])
+#: What a printed glyph is read as, the other way round.
+_PRINTED_AS: dict[str, list[str]] = {}
+for _printed, _alts in CONFUSIONS.items():
+    for _alt in _alts:
+        _PRINTED_AS.setdefault(_alt, []).append(_printed)
+
+
+def printed_forms(read: str) -> list[set[str]]:
+    """The forms that a read one derives from: by one confusion, and by two (from ten letters on)."""
+    found: list[set[str]] = []
+    todo = {(read, 0)}  # what is before the place is settled
+    for edits in (1, 2):
+        nxt: set[tuple[str, int]] = set()
+        for form, start in todo:
+            for j in range(start, len(form)):
+                if form[j] in STRAY:
+                    nxt.add((form[:j] + form[j + 1 :], j))
+                for k in (1, 2):
+                    for printed in _PRINTED_AS.get(form[j : j + k], ()) if j + k <= len(form) else ():
+                        nxt.add((form[:j] + printed + form[j + k :], j + len(printed)))
+        found.append({f for f, _ in nxt if edits == 1 or len(f) >= 10})
+        todo = nxt
+    return found
+
+
+def _like(word: str, model: str) -> str:
+    """word in the case of model."""
+    return word.upper() if len(model) > 1 and model.isupper() else word[:1].upper() + word[1:] if model[:1].isupper() else word
+
+
+def printed_word(word: str, known: Filter) -> str:
+    """The printed form of a word (lower case, no marks around); the word itself where none is sure."""
+    if f"g:{word}" in known:
+        return word
+    steps = printed_forms(word)
+    for forms in steps:
+        own = sorted(f for f in forms if f"p:{word}>{f}" in known)
+        if own:
+            return own[0]
+    for forms in steps:
+        own = sorted(f for f in forms if f"g:{f}" in known)
+        if own:
+            return own[0] if len(own) == 1 else word
+    return word
+
+
+def corrected(token: str, known: Filter, after: str = "") -> str:
+    """A token as it was printed; marks around it stay. after: the next token."""
+    memo = known.fixed
+    code = known.token(token)
+    marked = code and _marked([token, after] if after else [token], 0, known)
+    if code == 0 or code == 2 and not marked:
+        return token
+    found = memo.get((token, marked))
+    if found is None:
+        if len(memo) > 200_000:
+            memo.clear()
+        plain = token if token.isascii() else unify(token)
+        edge = _EDGE if marked or "!" in plain.rstrip("!") else _EDGE + "!"
+        core = plain.strip(edge)
+        at = plain.find(core) if core else 0
+        word = _STRAY_IN.sub("", core).lower()
+        word = printed_word(core.lower() if f"m:{core.lower()}" in known and f"g:{word}" not in known else word, known)
+        found = memo[(token, marked)] = plain[:at] + _like(word, core) + plain[at + len(core) :] if core else token
+    return found
+
+
+def joined(head: str, mark: str, rest: str, known: Filter) -> str:
+    """The word that a line end cuts: without the mark where that only divides it."""
+    bare = rest.strip(_EDGE)
+    word = head + ("" if divides(head + mark, rest, known) else mark) + rest
+    return corrected(word, known) if bare else word
+
+
+def _cut(text: str) -> tuple[str, str, str] | None:
+    """(text before the last token, its head, its mark) of a text that ends in a mark between the parts of a word."""
+    stripped = text.rstrip()
+    at = max(stripped.rfind(" "), stripped.rfind("\t"), stripped.rfind("\u3000")) + 1
+    m = _DIVIDES.search(stripped[at:])
+    return None if m is None else (stripped[:at], stripped[at : at + m.start(2)], m.group(2))
+
+
+def _spaceless_lines(texts: list[str], known: Filter) -> list[str]:
+    """Lines of a block in a spaceless script with the printed glyphs and without stray marks."""
+    plain = [compose(t) for t in texts]
+    line = re.sub("\\d", "9", "".join(plain))
+    fixed = list("".join(plain))
+    for m in _GLYPH_IN.finditer(line):
+        if _wrong_glyph(line, m.start(), known):
+            fixed[m.start()] = GLYPH[m.group()]
+    whole, at, out = "".join(fixed), 0, []
+    for t in plain:
+        out.append(_STRAY_IN.sub("", whole[at : at + len(t)]))
+        at += len(t)
+    return out
+
+
+def append(text: str, more: str, known: Filter) -> str:
+    """A paragraph that goes on with more: words cut at its end joined, no blank between spaceless characters."""
+    text, more = text.rstrip(" \t\r\n"), more.lstrip()
+    if not text or not more:
+        return text or more
+    cut = _cut(text) if text[-1] in "-‐¬\xad" else None
+    if cut is not None:
+        first = more.split(maxsplit=1)[0]
+        return cut[0] + joined(cut[1], cut[2], first, known) + more[len(first) :]
+    return text + ("" if _CJK_EDGE.match(text[-1]) or _CJK_EDGE.match(more[0]) else " ") + more
+
+
+_GLYPH_IN = re.compile(f"[{''.join(GLYPH)}]")
+_CJK_EDGE = re.compile("[\u3000-\u303f々\u3040-\u30ff㇀-ㇿ㐀-䶿一-鿿豈-\ufaff\uff00-\uffef]")
+
+
+def reflow(texts: list[str], known: Filter, open_start: bool = False, open_end: bool = False) -> str:
+    """The lines of a block as one text: divided words joined, misread words as printed, split ones whole.
+
+    open_start, open_end: the first or last token may be a part of a word and stays as it is.
+    """
+    lines = [t for t in texts if t.strip()]
+    if _CJK.search("".join(lines)):
+        text = ""
+        for t in _spaceless_lines(lines, known):
+            text = append(text, t, known)
+        return text
+    tokens: list[str] = []
+    whole: list[bool] = []  # joined at a line end, and corrected then
+    for t in lines:
+        own = t.split()
+        cut = _cut(tokens[-1]) if tokens and tokens[-1][-1] in "-‐¬\xad" else None
+        if cut is not None:
+            tokens[-1], whole[-1] = joined(cut[1], cut[2], own[0], known), True
+            own = own[1:]
+        tokens += own
+        whole += [False] * len(own)
+    judge = known.token
+    codes = [judge(t) for t in tokens]
+    if not any(codes):
+        return " ".join(tokens)
+    out: list[str] = []
+    i, n = 0, len(tokens)
+    while i < n:
+        t, more = tokens[i], i + 1 < n
+        if codes[i] or more and codes[i + 1]:
+            rough = whole[i] or (i == 0 and open_start) or (i == n - 1 and open_end and _cut(t) is not None)
+            if not rough and more and not whole[i + 1] and _split(t, tokens[i + 1], known) and not is_junk(t):
+                t, i = t + tokens[i + 1], i + 1
+                t = corrected(t, known, tokens[i + 1] if i + 1 < n else "")
+            elif not rough and codes[i]:
+                t = corrected(t, known, tokens[i + 1] if more else "")
+        out.append(t)
+        i += 1
+    return " ".join(out)
+
+
+_TERMINATED = re.compile("[.!?…。！？:：;][\\s\"'“”„«»‘’」』)\\]]*$")
+
 
+def begins(head: str) -> int:
+    """How a block begins: 0 as a list item, 2 in lower case, as only the rest of a paragraph does, 1 otherwise."""
+    return 0 if is_list_item(head) else 2 if head.lstrip()[0].islower() else 1
 
-def _page(packed):
+
+_ROWS = pa.schema([
+    ("doc_id", pa.int64()), ("page_no", pa.int32()), ("line_id", pa.int32()), ("noise", pa.string()), ("key", pa.string()), ("misread", pa.bool_()),
+    ("block_no", pa.int32()), ("edge", pa.bool_()), ("flows", pa.bool_()), ("head", pa.string()), ("begins", pa.int32()), ("open", pa.bool_()), ("text", pa.string()),
+])
+_ROWS_DDL = "doc_id bigint, page_no int, line_id int, noise string, key string, misread boolean, block_no int, edge boolean, flows boolean, head string, begins int, open boolean, text string"
+_NO_BLOCK = (None,) * 7
+
+
+def _page(packed, with_text: bool = False):
+    """Rows of a page: noise; "maybe" a running title; "cut", a mark at the end of the last block; "block", at the ends of the page.
+
+    with_text: instead "maybe", and "block" for all Paragraph blocks, with their text.
+    """
     state: list[Filter] = []
 
     def page(doc: int, page_no: int, lines: dict[int, str], blocks: list) -> Iterator[tuple]:
         if not state:
             state.append(Filter(packed.value))
         known = state[0]
-        for k, (_, kind, ids) in enumerate(blocks):
+        body = []  # number, kind, lines, whether it may be a running title
+        for k, (no, kind, ids) in enumerate(blocks):
             own = [(i, lines[i]) for i in dict.fromkeys(ids) if i in lines and lines[i].strip()]
-            if not own:
+            if not own or len(own) == 1 and is_page_number(own[0][1]):
+                if own and not with_text:
+                    yield doc, page_no, own[0][0], "page_no", None, False, *_NO_BLOCK
                 continue
-            if len(own) == 1:
-                i, text = own[0]
-                if is_page_number(text):
-                    yield doc, page_no, i, "page_no", None, False
-                    continue
-                if kind != "Paragraph" or is_junk(text):
-                    continue
-                wrong = bool(misread_lines([text], known))
-                if (k < 2 or k > len(blocks) - 3) and len(text) < 120 and not (is_list_item(text) or is_table_row(text) or is_contact(text)):
-                    yield doc, page_no, i, "maybe", running_key(text), wrong
-                elif wrong:
-                    yield doc, page_no, i, "misread", None, False
-                if len(text) > 20 and divides(text, "", known):
-                    yield doc, page_no, i, "hyphen", None, False
+            text = own[0][1]
+            plain = is_list_item(text) or is_table_row(text) or is_contact(text) or is_junk(text)
+            maybe = len(own) == 1 and kind == "Paragraph" and (k < 2 or k > len(blocks) - 3) and len(text) < 120 and not plain
+            body.append((no, kind, own, maybe, kind == "Paragraph" and not (len(own) == 1 and plain)))
+        firm = [n for n, b in enumerate(body) if not b[3]]
+        top, bottom = (firm[0], firm[-1]) if firm else (len(body), -1)
+        for n, (no, kind, own, maybe, flows) in enumerate(body):
+            texts = [t for _, t in own]
+            last, text = own[-1]
+            if n <= top or n >= bottom or (with_text and kind == "Paragraph"):
+                shown = reflow(texts, known, n <= top, n >= bottom) if with_text and kind == "Paragraph" and not (len(own) == 1 and is_junk(text)) else "\n".join(texts) if with_text and kind == "Paragraph" else None
+                yield doc, page_no, own[0][0], "block", None, maybe, no, n <= top or n >= bottom, flows, texts[0].split()[0], begins(texts[0]), _TERMINATED.search(texts[-1]) is None, shown
+            if kind != "Paragraph" or len(own) == 1 and is_junk(text):
                 continue
-            if kind != "Paragraph":
+            if with_text:
+                if maybe:
+                    yield doc, page_no, last, "maybe", running_key(text), False, *_NO_BLOCK
                 continue
-            texts = [t for _, t in own]
-            for j in misread_lines(texts, known):
-                if not is_junk(texts[j]):
-                    yield doc, page_no, own[j][0], "misread", None, False
+            wrong = misread_lines(texts, known)
+            if maybe:
+                yield doc, page_no, last, "maybe", running_key(text), bool(wrong), *_NO_BLOCK
+            else:
+                for j in wrong:
+                    if not is_junk(texts[j]):
+                        yield doc, page_no, own[j][0], "misread", None, False, *_NO_BLOCK
             for j, (i, text) in enumerate(own):
                 if text.rstrip()[-1:] in "-‐¬\xad" or text[-1:] == "\xad":
+                    if j + 1 == len(own) and n >= bottom:
+                        if len(own) > 1 or len(text) > 20:
+                            yield doc, page_no, i, "cut", text.split()[-1] if text.split() else "", False, no, *_NO_BLOCK[1:]
+                        continue
                     rest = texts[j + 1].split() if j + 1 < len(own) else [""]
-                    if divides(text, rest[0] if rest else "", known):
-                        yield doc, page_no, i, "hyphen", None, False
+                    if (len(own) > 1 or len(text) > 20) and divides(text, rest[0] if rest else "", known):
+                        yield doc, page_no, i, "hyphen", None, False, *_NO_BLOCK
 
     return page
 
 
-def find_noise(lines: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(doc_id, page_no, line_id, noise) with noise hyphen, running, page_no or misread.
+_CUTS = pa.schema([("doc_id", pa.int64()), ("page_no", pa.int32()), ("line_id", pa.int32()), ("noise", pa.string())])
 
-    Lines that are null, blank or in no block, and junk lines, are no cases; repeated rows count once.
-    """
-    packed = lines.sparkSession.sparkContext.broadcast(build_filter(lines))
-    rows = common.page_rows(lines, blocks).mapInArrow(common.page_kernel(_page(packed), _ROWS), "doc_id bigint, page_no int, line_id int, noise string, key string, misread boolean")
-    rows = common.staged(rows, "scan_noise")
-    maybe = rows.where("noise = 'maybe'")
+
+def _judge_cuts(packed):
+    """Marks at page ends, by the first word of the next page; a misread word that the page end cuts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Filter(packed.value)
+        for b in batches:
+            out = []
+            for doc, page_no, i, tail, next_page, next_line, rest in zip(*(b.column(k).to_pylist() for k in range(7))):
+                rest = rest or ""
+                if not divides(tail, rest, known):
+                    continue
+                out.append((doc, page_no, i, "hyphen"))
+                head = tail[: _DIVIDES.search(tail).start(2)].lstrip(_EDGE)
+                if rest and f"m:{token_form(head + rest)}" in known:
+                    start, end = head.strip(_EDGE), rest.strip(_EDGE)
+                    late = not _ALPHA.match(end) or bool(_ALPHA.match(start)) and _side(head, rest, 1, known) == 1
+                    out.append((doc, next_page, next_line, "misread") if late else (doc, page_no, i, "misread"))
+            if out:
+                yield common.to_batch(out, _CUTS)
+
+    return run
+
+
+def _titles(rows: DataFrame) -> DataFrame:
+    """Lines that may be running titles, with noise running, misread or null."""
+    maybe = rows.where("noise = 'maybe'").select("doc_id", "page_no", "line_id", "key", "misread")
     size = F.lit(5)  # a misread letter leaves one end of the title as it is
     ends = F.explode(F.array(F.concat(F.lit("<"), F.left("key", size)), F.concat(F.lit(">"), F.right("key", size))))
     keys = maybe.where("length(key) >= 8").groupBy("doc_id", "key").agg(F.count_distinct("page_no").alias("pages"))
@@ -417,9 +629,91 @@ def find_noise(lines: DataFrame, blocks: DataFrame) -> DataFrame:
     named = ended.join(titles, ["doc_id", "end"]).where(near).groupBy("doc_id", "key").agg(F.min("title").alias("title"))
     judged = maybe.join(named, ["doc_id", "key"], "left")
     repeated = judged.where("title is not null").groupBy("doc_id", "title").agg((F.min("page_no") != F.max("page_no")).alias("repeated"))
-    judged = judged.join(repeated, ["doc_id", "title"], "left").withColumn("noise", F.when(F.col("repeated"), "running").when(F.col("misread"), "misread"))
-    hyphen_of_title = judged.where("noise = 'running'").select("doc_id", "page_no", "line_id")
-    sure = rows.where("noise != 'maybe'")
-    sure = sure.where("noise != 'hyphen'").unionByName(sure.where("noise = 'hyphen'").join(hyphen_of_title, ["doc_id", "page_no", "line_id"], "left_anti"))
-    both = sure.select("doc_id", "page_no", "line_id", "noise").unionByName(judged.where("noise is not null").select("doc_id", "page_no", "line_id", "noise"))
-    return both.distinct()
+    return judged.join(repeated, ["doc_id", "title"], "left").withColumn("noise", F.when(F.col("repeated"), "running").when(F.col("misread"), "misread"))
+
+
+def _page_ends(rows: DataFrame, running: DataFrame) -> DataFrame:
+    """One small row for each page: its first and last block without running titles, and the first block of the page that follows."""
+    ends = rows.where("noise = 'block' and edge").select("doc_id", "page_no", "line_id", "block_no", "flows", "head", "begins", "open").join(running, ["doc_id", "page_no", "line_id"], "left_anti")
+    first, last = F.struct("block_no", "line_id", "flows", "head", "begins"), F.struct("block_no", "flows", "open")
+    pages = ends.groupBy("doc_id", "page_no").agg(F.min_by(first, "block_no").alias("first"), F.max_by(last, "block_no").alias("last"))
+    own = W.partitionBy("doc_id").orderBy("page_no")
+    return pages.withColumn("next_page", F.lead("page_no").over(own)).withColumn("next", F.lead("first").over(own))
+
+
+def _noise(packed, rows: DataFrame) -> DataFrame:
+    titles = _titles(rows).select("doc_id", "page_no", "line_id", "noise")
+    running = titles.where("noise = 'running'").drop("noise")
+    ends = _page_ends(rows, running).select("doc_id", "page_no", F.col("last.block_no").alias("block_no"), "next_page", F.col("next.line_id").alias("next_line"), F.when(F.col("next.flows"), F.col("next.head")).alias("rest"))
+    cuts = rows.where("noise = 'cut'").select("doc_id", "page_no", "line_id", "key", "block_no").join(running, ["doc_id", "page_no", "line_id"], "left_anti")
+    cuts = cuts.join(ends, ["doc_id", "page_no", "block_no"], "left").select("doc_id", "page_no", "line_id", "key", "next_page", "next_line", "rest")
+    cuts = cuts.mapInArrow(_judge_cuts(packed), "doc_id bigint, page_no int, line_id int, noise string")
+    sure = rows.where("noise in ('page_no', 'misread', 'hyphen')").select("doc_id", "page_no", "line_id", "noise")
+    sure = sure.where("noise != 'hyphen'").unionByName(sure.where("noise = 'hyphen'").join(running, ["doc_id", "page_no", "line_id"], "left_anti"))
+    return sure.unionByName(cuts).unionByName(titles.where("noise is not null")).distinct()
+
+
+def _pass(lines: DataFrame, blocks: DataFrame, with_text: bool, name: str):
+    packed = lines.sparkSession.sparkContext.broadcast(build_filter(lines))
+    rows = common.page_rows(lines, blocks).mapInArrow(common.page_kernel(_page(packed, with_text), _ROWS), _ROWS_DDL)
+    return packed, common.staged(rows, name)
+
+
+def find_noise(lines: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(doc_id, page_no, line_id, noise) with noise hyphen, running, page_no or misread.
+
+    Lines that are null, blank or in no block, and junk lines, are no cases; repeated rows count once.
+    """
+    return _noise(*_pass(lines, blocks, False, "scan_noise"))
+
+
+_PARAGRAPHS = pa.schema([("doc_id", pa.int64()), ("page_no", pa.int32()), ("block_no", pa.int32()), ("last_page", pa.int32()), ("last_block", pa.int32()), ("text", pa.string())])
+_PARAGRAPHS_DDL = "doc_id bigint, page_no int, block_no int, last_page int, last_block int, text string"
+
+
+def _join_parts(packed):
+    """The parts of each paragraph, in order, as one text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Filter(packed.value)
+        for b in batches:
+            out = []
+            for doc, parts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                text = ""
+                for k, part in enumerate(parts):
+                    own = part["text"]
+                    if not _CJK.search(own) and "\n" not in own and (k == 0 or _cut(text) is None):  # the first token was left as it is
+                        first, _, more = own.partition(" ")
+                        own = corrected(first, known, more.split(" ", 1)[0]) + own[len(first) :]
+                    text = append(text, own, known) if k else own
+                out.append((doc, parts[0]["page_no"], parts[0]["block_no"], parts[-1]["page_no"], parts[-1]["block_no"], text))
+            if out:
+                yield common.to_batch(out, _PARAGRAPHS)
+
+    return run
+
+
+def find_paragraphs(lines: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(doc_id, page_no, block_no, last_page, last_block, text): the Paragraph blocks as continuous text without noise, one row for each paragraph.
+
+    Running titles and page numbers are gone, divided and split words whole, misread ones as printed where the
+    corpus says what that is; blocks that a page end cuts are one paragraph, placed where it begins.
+    """
+    packed, rows = _pass(lines, blocks, True, "scan_paragraphs")
+    running = _titles(rows).where("noise = 'running'").select("doc_id", "page_no", "line_id")
+    pages = _page_ends(rows, running)
+    own = W.partitionBy("doc_id").orderBy("page_no")
+    linked = F.col("last.flows") & F.col("next.flows") & (F.col("next.begins") > 0) & (F.col("last.open") | (F.col("next.begins") == 2))
+    pages = pages.withColumn("linked", F.coalesce(linked, F.lit(False)))
+    pages = pages.withColumn("entered", F.coalesce(F.lag("linked").over(own), F.lit(False)))
+    begins = ~(F.col("entered") & (F.col("first.block_no") == F.col("last.block_no")))
+    here = F.struct(F.col("page_no").alias("page"), F.col("last.block_no").alias("block"))
+    pages = pages.withColumn("anchor", F.last(F.when(begins, here), ignorenulls=True).over(own))
+    pages = pages.withColumn("start", F.lag("anchor").over(own))
+    moved = pages.where("entered").select("doc_id", "page_no", F.col("first.block_no").alias("block_no"), "start")
+    texts = rows.where("noise = 'block' and text is not null").select("doc_id", "page_no", "line_id", "block_no", "edge", "text")
+    inner = texts.where("not edge").select("doc_id", "page_no", "block_no", F.col("page_no").alias("last_page"), F.col("block_no").alias("last_block"), "text")
+    edge = texts.where("edge").join(running, ["doc_id", "page_no", "line_id"], "left_anti").join(moved, ["doc_id", "page_no", "block_no"], "left")
+    start = F.coalesce("start", F.struct(F.col("page_no").alias("page"), F.col("block_no").alias("block")))
+    parts = edge.groupBy("doc_id", start.alias("start")).agg(F.array_sort(F.collect_list(F.struct("page_no", "block_no", "text"))).alias("parts")).select("doc_id", "parts")
+    return inner.unionByName(parts.mapInArrow(_join_parts(packed), _PARAGRAPHS_DDL))

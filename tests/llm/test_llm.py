@@ -91,6 +91,30 @@ def test_scan_noise(spark):
     assert scan_noise.find_noise(lines.limit(0), spark.createDataFrame(blocks, BLOCKS)).count() == 0
 
 
+def test_paragraphs_without_noise(spark):
+    rows, blocks = [], []
+    for p in range(1, 13):
+        texts = ["Upper ledger and grey column", "The oversized template covered the figure and the modern catalo-", "gue beside the two-", "column index. The oversized tray.", f"Page {p}", "The second modern figure stood beside the oversized template and a modern fi-"]
+        if p == 2:
+            texts[3] = "column index. The ovcrsized tray."
+        for i, t in enumerate(texts, 1):
+            rows.append((1, p, i, t, 0.9))
+        # odd pages end in a cut word, even ones begin with its rest
+        rows += [(1, p, 7, "gure of the oversized tray.", 0.9), (1, p, 8, "The second tray.", 0.9)]
+        first, last = ([7, 8], []) if p % 2 == 0 else ([], [8, 6])
+        blocks += [(1, p, k, "Paragraph", ids) for k, ids in enumerate(([1], first, [2, 3, 4], last, [5]), 1) if ids]
+    rows += [(2, 1, i, "a modern figure and the modern catalogue of the two-column index", 0.9) for i in range(1, 30)]
+    blocks += [(2, 1, 1, "Paragraph", list(range(1, 30)))]
+    lines, blocks = spark.createDataFrame(rows, LINES), spark.createDataFrame(blocks, BLOCKS)
+    got = {(r.doc_id, r.page_no, r.block_no): (r.last_page, r.last_block, r.text) for r in scan_noise.find_paragraphs(lines.unionByName(lines), blocks).collect()}
+    whole = "The oversized template covered the figure and the modern catalogue beside the two-column index. The oversized tray."
+    want = {(1, p, 3): (p, 3, whole) for p in range(1, 13)}
+    want |= {(1, p, 4): (p + 1, 2, "The second tray. The second modern figure stood beside the oversized template and a modern figure of the oversized tray. The second tray.") for p in range(1, 13, 2)}
+    assert {k: v for k, v in got.items() if k[0] == 1} == want
+    noise = {tuple(r) for r in scan_noise.find_noise(lines, blocks).collect()}
+    assert {(1, p, 6, "hyphen") for p in range(1, 13, 2)} <= noise
+
+
 @pytest.mark.parametrize("printed,read,is_so", [("figure", "figurc", True), ("summarized", "surnmarized", True), ("the", "the", False), ("file", "tile", False), ("ef", "cf", True), ("et", "cf", False), ("torn", "to·rn", True)])
 def test_derives(printed, read, is_so):
     assert scan_noise.derives(printed, read) is is_so
