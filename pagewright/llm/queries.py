@@ -70,5 +70,13 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.find_pairs(table(spark, d, "documents"))
 
 
+def p9_spans(spark: SparkSession, d: str) -> DataFrame:
+    return shared_spans.find_spans(table(spark, d, "documents"))
+
+
+def p9_shared_share(spark: SparkSession, d: str) -> DataFrame:
+    return shared_spans.shared_share(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: fn for name, fn in globals().items() if name[0] == "p" and name[1:2].isdigit()}

@@ -178,6 +178,15 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["a", "b"])
 
 
+def _reaches():
+    """Keys of which two surroundings of a node share one if they share SPAN characters: left a characters, right the rest but REACH."""
+    rest = SPAN - (REACH - 1)
+    return F.array(*[
+        F.when((F.length("left") >= a) & (F.length("right") >= rest - a), F.xxhash64("fp", F.lit(a), F.right("left", F.lit(a)) if a else F.lit(""), F.left("right", F.lit(rest - a))))
+        for a in range(0, WINDOW, REACH)
+    ])
+
+
 def find_pairs(documents: DataFrame) -> DataFrame:
     """(doc_id_a, doc_id_b), a < b, of the texts with a common stretch of at least SPAN characters.
 
@@ -195,12 +204,7 @@ def find_pairs(documents: DataFrame) -> DataFrame:
     classes = around.groupBy("class").agg(F.first("fp").alias("fp"), F.first("left").alias("left"), F.first("right").alias("right"))
     members = around.select("class", "doc_id", (size >= SPAN).alias("long"))
     # two classes whose equal characters reach SPAN agree on some reach: left a characters, right the rest but REACH
-    rest = SPAN - (REACH - 1)
-    reaches = F.array(*[
-        F.when((F.length("left") >= a) & (F.length("right") >= rest - a), F.xxhash64("fp", F.lit(a), F.right("left", F.lit(a)) if a else F.lit(""), F.left("right", F.lit(rest - a))))
-        for a in range(0, WINDOW, REACH)
-    ])
-    keyed = classes.withColumn("key", F.explode(F.array_compact(reaches)))
+    keyed = classes.withColumn("key", F.explode(F.array_compact(_reaches())))
     x, y = keyed.alias("x"), keyed.alias("y")
     near = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") == F.col("y.fp")) & (F.col("x.class") < F.col("y.class")))
     near = near.select("x.class", F.col("y.class").alias("other"), "x.left", F.col("y.left").alias("left2"), "x.right", F.col("y.right").alias("right2"))
@@ -209,3 +213,91 @@ def find_pairs(documents: DataFrame) -> DataFrame:
     m = members.select("class", "doc_id")
     pairs = links.unionByName(own).join(m.select(F.col("class").alias("a"), F.col("doc_id").alias("p")), "a").join(m.select(F.col("class").alias("b"), F.col("doc_id").alias("q")), "b")
     return pairs.where("p != q").select(F.least("p", "q").alias("doc_id_a"), F.greatest("p", "q").alias("doc_id_b")).distinct()
+
+
+_CONTEXT = pa.schema([*_AROUND, ("pos", pa.int32())])
+_CONTEXT_DDL = "fp bigint, doc_id bigint, left string, right string, pos int"
+
+
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The characters around each place where they can hold a span, and the place."""
+    for b in batches:
+        out = []
+        for doc, text, at in zip(*(b.column(i).to_pylist() for i in range(3))):
+            for x in at:
+                p = x["pos"]
+                left, right = text[max(0, p - WINDOW + 1) : p], text[p : p + SPAN]
+                if len(left) + len(right) >= SPAN:
+                    out.append((x["fp"], doc, left, right, p))
+        if out:
+            yield common.to_batch(out, _CONTEXT)
+
+
+_AGREED = pa.schema([("class", pa.int64()), ("before", pa.int32()), ("after", pa.int32())])
+
+
+def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many characters before and after the place a class shares with another one, if they reach SPAN."""
+    for b in batches:
+        out = set()
+        for one, la, lb, ra, rb in zip(*(b.column(i).to_pylist() for i in range(5))):
+            after = _common(ra, rb)
+            if after >= K and (before := _common(la[::-1], lb[::-1])) + after >= SPAN:
+                out.add((one, before, after))
+        if out:
+            yield common.to_batch(list(out), _AGREED)
+
+
+_SPANS = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("length", pa.int32())])
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(start, end) of spans put together where they overlap or touch."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        out = [(doc, a, e - a) for doc, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for a, e in merged([(x["a"], x["b"]) for x in at])]
+        yield common.to_batch(out, _SPANS)
+
+
+def find_spans(documents: DataFrame) -> DataFrame:
+    """(doc_id, start, length): the characters of each text that lie in a stretch of at least SPAN that another text has too.
+
+    start counts from 0; stretches that overlap or touch are one row. A shared stretch of SPAN characters holds a node,
+    the same one at the same place in both texts, so the agreements around all shared nodes give all of them.
+    """
+    texts = documents.where(f"doc_id is not null and length(text) >= {SPAN}").select("doc_id", "text")
+    occ = common.staged(occurrences(texts).select("fp", "doc_id", "pos"), "shared_nodes")
+    nodes = occ.groupBy("fp").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a != b").select("fp")
+    places = occ.join(nodes, "fp").groupBy("doc_id").agg(F.collect_list(F.struct("fp", "pos")).alias("at"))
+    around = texts.join(places, "doc_id").mapInArrow(_contexts, _CONTEXT_DDL)
+    around = common.staged(around.withColumn("class", F.xxhash64("fp", "left", "right")), "shared_contexts")
+    members = around.select("class", "doc_id", "pos", F.length("left").alias("before"), F.length("right").alias("after"))
+    classes = around.groupBy("class").agg(*(F.first(c).alias(c) for c in ("fp", "left", "right")), F.min("doc_id").alias("doc"), (F.min("doc_id") != F.max("doc_id")).alias("many"))
+    classes = common.staged(classes, "shared_classes")
+    # a class of several texts is shared as it stands; one of a single text as far as it agrees with another class
+    whole = members.join(classes.where("many").select("class"), "class", "left_semi").select("doc_id", (F.col("pos") - F.col("before")).alias("a"), (F.col("pos") + F.col("after")).alias("b"))
+    keyed = classes.withColumn("key", F.explode(F.array_compact(_reaches())))
+    x, y = keyed.where("not many").alias("x"), keyed.alias("y")
+    near = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") == F.col("y.fp")) & (F.col("x.class") != F.col("y.class")) & (F.col("y.many") | (F.col("x.doc") != F.col("y.doc"))))
+    near = near.select("x.class", "x.left", F.col("y.left").alias("left2"), "x.right", F.col("y.right").alias("right2"))
+    agreed = near.mapInArrow(_agree, "class bigint, before int, after int").distinct()
+    part = members.select("class", "doc_id", "pos").join(agreed, "class").select("doc_id", (F.col("pos") - F.col("before")).alias("a"), (F.col("pos") + F.col("after")).alias("b"))
+    spans = whole.unionByName(part).groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("at"))
+    return spans.mapInArrow(_merge, "doc_id bigint, start int, length int")
+
+
+def shared_share(documents: DataFrame) -> DataFrame:
+    """(doc_id, n_chars, shared_chars, share) of every record; 0 where nothing, or no text, is shared."""
+    shared = find_spans(documents).groupBy("doc_id").agg(F.sum("length").alias("shared_chars"))
+    own = documents.where("doc_id is not null").select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n_chars"))
+    n = F.coalesce("shared_chars", F.lit(0))
+    return own.join(shared, "doc_id", "left").select("doc_id", "n_chars", n.alias("shared_chars"), F.when(F.col("n_chars") > 0, n / F.col("n_chars")).otherwise(0.0).alias("share"))

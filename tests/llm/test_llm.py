@@ -218,3 +218,26 @@ def test_queries_are_named_by_problem():
 
     names = set(queries.queries())
     assert all(re.match(r"p[1-9]_", n) for n in names) and {n[1] for n in names} == set("123456789") and set(oracle.oracle_sql()) <= names
+
+
+def test_shared_spans_and_share_equal_brute_force(spark):
+    rnd = random.Random(5)
+    word = lambda n: "".join(rnd.choice("abcde fgh\n") for _ in range(n))
+    one, two, head = word(900), word(400), word(230)
+    texts = [word(50) + one + word(80), word(300) + one[100:460] + word(20) + two, two[:199] + word(300) + two[200:], head + word(400), head + word(10) + head, word(150) + one[300:499] + word(100), one, one, word(500), None, ""]
+    texts += [head[k:] + word(30 + k) for k in range(0, 60, 7)]
+    docs = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id bigint, text string")
+    owners = defaultdict(set)
+    for d, t in enumerate(texts, 1):
+        for i in range(len(t or "") - 199):
+            owners[t[i : i + 200]].add(d)
+    want, share = set(), {}
+    for d, t in enumerate(texts, 1):
+        t = t or ""
+        spans = shared_spans.merged([(i, i + 200) for i in range(len(t) - 199) if len(owners[t[i : i + 200]]) > 1])
+        want |= {(d, a, b - a) for a, b in spans}
+        share[d] = (len(t), sum(b - a for a, b in spans))
+    assert {tuple(r) for r in shared_spans.find_spans(docs).collect()} == want and len(want) > 10
+    got = {r.doc_id: r for r in shared_spans.shared_share(docs).collect()}
+    assert {d: (r.n_chars, r.shared_chars) for d, r in got.items()} == share
+    assert all(r.share == (r.shared_chars / r.n_chars if r.n_chars else 0) for r in got.values())
