@@ -49,15 +49,11 @@ def number_cell(text: Column) -> tuple[Column, Column]:
 
 
 def column_name(index: Column) -> Column:
-    """Sheet column name of a 1-based index up to 18,278 (three letters)."""
-    n = index - 1
-    letter = lambda x: F.char((F.lit(65) + x).cast("int"))
-    two, three = n - 26, n - 702
-    return (
-        F.when(n < 26, letter(n % 26))
-        .when(n < 702, F.concat(letter(F.floor(two / 26) % 26), letter(two % 26)))
-        .otherwise(F.concat(letter(F.floor(three / 676) % 26), letter(F.floor(three / 26) % 26), letter(three % 26)))
-    )
+    """Sheet column name of a 1-based index of any size (bijective base 26; 14 letters hold every bigint)."""
+    start = F.struct(index.cast("bigint").alias("n"), F.lit("").alias("s"))
+    letter = lambda n: F.char((F.lit(65) + (n - 1) % 26).cast("int"))
+    step = lambda x, _: F.when(x["n"] > 0, F.struct(F.call_function("div", x["n"] - 1, F.lit(26)).cast("bigint").alias("n"), F.concat(letter(x["n"]), x["s"]).alias("s"))).otherwise(x)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(14)), start, step, lambda x: x["s"])
 
 
 def natural_key(name: Column) -> Column:

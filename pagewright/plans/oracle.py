@@ -43,6 +43,8 @@ def oracle_sql() -> dict[str, str]:
         "bbox_union": l + "SELECT doc_id, page_no, min(l) AS l, min(t) AS t, max(r) AS r, max(b) AS b FROM L GROUP BY doc_id, page_no",
         "mean_confidence": l + """SELECT doc_id, page_no, count(confidence) AS n, CASE WHEN count(confidence) > 0 THEN CAST(sum(CAST(round_even(CASE WHEN CAST(confidence AS DOUBLE) > 1 THEN CAST(confidence AS DOUBLE) * 10 ELSE CAST(confidence AS DOUBLE) * 1000 END, 0) AS BIGINT)) AS DOUBLE) / count(confidence) ELSE 0.0 END AS mean_thousandths FROM L GROUP BY doc_id, page_no""",
         "confidence_filter": l + f"SELECT doc_id, page_no, line_id, row_number() {_W} AS new_id FROM L WHERE regexp_matches(text, '\\S') AND confidence >= 0.5 AND confidence <= 1",
+        "confidence_filter_scaled": l + f"SELECT doc_id, page_no, line_id, row_number() {_W} AS new_id FROM L WHERE regexp_matches(text, '\\S') AND CASE WHEN confidence > 1 THEN CAST(confidence AS DOUBLE) / 100 ELSE confidence END >= 0.5",
+        "uncertain_lines_scaled": l + "SELECT doc_id, count(*) AS uncertain FROM L WHERE NOT edited AND CASE WHEN confidence > 1 THEN CAST(confidence AS DOUBLE) / 100 ELSE confidence END < 0.75 GROUP BY doc_id",
         "uncertain_lines": l + "SELECT doc_id, count(*) AS uncertain FROM L WHERE NOT edited AND CAST(confidence AS DOUBLE) < 0.75 GROUP BY doc_id",
         "band_islands": l + """SELECT doc_id, page_no, line_id, sum(opens) OVER (PARTITION BY doc_id, page_no ORDER BY t, l, line_id) AS band FROM (SELECT *, CASE WHEN m IS NULL OR t >= m THEN 1 ELSE 0 END AS opens FROM
             (SELECT *, max(b) OVER (PARTITION BY doc_id, page_no ORDER BY t, l, line_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM L))""",
@@ -86,6 +88,11 @@ def oracle_sql() -> dict[str, str]:
             FROM X JOIN B ON X.doc_id = B.doc_id AND X.page_no = B.page_no AND X.block_no = B.block_no)
             SELECT doc_id, page_no, block_no, CASE kind WHEN 'Heading' THEN '<h' || lv || '>' || s || '</h' || lv || '>' WHEN 'ListItem' THEN '<li>' || s || '</li>' WHEN 'Table' THEN '<pre>' || s || '</pre>' ELSE '<p>' || replace(s, chr(10), '<br>') || '</p>' END AS html FROM H WHERE kind <> 'Figure'""",
         "layout_dump": x + "SELECT doc_id, page_no, block_no, '[' || kind || '] ' || array_to_string(list_slice(regexp_extract_all(text, '(?s).'), 1, 60), '') AS line FROM X",
+        "layout_dump_full": x + """, A AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no, block_no ORDER BY kind, space_before NULLS FIRST) AS rn FROM layout_blocks WHERE bounds IS NOT NULL) WHERE rn = 1),
+            H AS (SELECT doc_id, page_no, block_no, kind, '[' || kind || CASE WHEN kind = 'Heading' THEN coalesce(CAST(heading_level AS VARCHAR), '') ELSE '' END || ' c' || coalesce(CAST(column_no AS VARCHAR), '') || ' ' || coalesce(align, '') || ' @'
+            || CAST(round_even(CAST(bounds.l AS DOUBLE), 0) AS BIGINT) || ',' || CAST(round_even(CAST(bounds.t AS DOUBLE), 0) AS BIGINT) || ' ' || CAST(round_even(CAST(bounds.r AS DOUBLE) - CAST(bounds.l AS DOUBLE), 0) AS BIGINT) || 'x' || CAST(round_even(CAST(bounds.b AS DOUBLE) - CAST(bounds.t AS DOUBLE), 0) AS BIGINT) || ']' AS head FROM A)
+            SELECT H.doc_id, H.page_no, H.block_no, CASE WHEN H.kind = 'Figure' OR X.text IS NULL THEN head WHEN H.kind = 'Table' THEN head || chr(10) || X.text ELSE head || ' ' || X.text END AS line
+            FROM H LEFT JOIN X ON H.doc_id = X.doc_id AND H.page_no = X.page_no AND H.block_no = X.block_no""",
         "table_to_text": """WITH C AS (SELECT n_regionkey AS row, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS col, n_name AS text FROM nation UNION ALL SELECT r_regionkey, 0, r_name FROM region),
             G AS (SELECT r.row, c.col FROM (SELECT unnest(generate_series(0, (SELECT max(row) FROM C))) AS row) r, (SELECT unnest(generate_series(0, (SELECT max(col) FROM C))) AS col) c),
             R AS (SELECT G.row, string_agg(coalesce(C.text, ''), chr(9) ORDER BY G.col) AS text FROM G LEFT JOIN C ON C.row = G.row AND C.col = G.col GROUP BY G.row) SELECT 0 AS table_no, string_agg(text, chr(10) ORDER BY row) AS text FROM R""",
@@ -93,6 +100,8 @@ def oracle_sql() -> dict[str, str]:
             V AS (SELECT *, regexp_matches(c, '{T.NUMBER_CELL}') AS ok, TRY_CAST(regexp_replace(c, '[,%+]', '', 'g') AS DECIMAL(28, 6)) AS v, c LIKE '%\\%' ESCAPE '\\' AS pc, contains(c, '.') AS dec, contains(c, ',') AS grp FROM C)
             SELECT doc_id, page_no, line_id, cell, CASE WHEN ok THEN CAST(CASE WHEN pc THEN CAST(v AS DECIMAL(28, 8)) * 0.01 ELSE v END AS DOUBLE) END AS value,
             CASE WHEN NOT ok THEN NULL WHEN pc AND dec THEN 10 WHEN pc THEN 9 WHEN grp AND dec THEN 4 WHEN grp THEN 3 WHEN dec THEN 2 ELSE 1 END AS format_id FROM V""",
+        "column_names_all": """WITH RECURSIVE N AS (SELECT CAST(p_partkey AS BIGINT) AS i, CAST(p_partkey AS BIGINT) AS n, '' AS name FROM part
+            UNION ALL SELECT i, (n - 1) // 26, chr(CAST(65 + (n - 1) % 26 AS INT)) || name FROM N WHERE n > 0) SELECT i, name FROM N WHERE n = 0""",
         "column_names": """SELECT i, CASE WHEN i <= 26 THEN chr(CAST(64 + i AS INT)) WHEN i <= 702 THEN chr(CAST(65 + (i - 27) // 26 AS INT)) || chr(CAST(65 + (i - 27) % 26 AS INT))
             ELSE chr(CAST(65 + (i - 703) // 676 AS INT)) || chr(CAST(65 + ((i - 703) // 26) % 26 AS INT)) || chr(CAST(65 + (i - 703) % 26 AS INT)) END AS name FROM (SELECT CAST(p_partkey AS INT) AS i FROM part) WHERE i <= 18278""",
         "natural_sort_rank": """SELECT doc_id, station, row_number() OVER (PARTITION BY station ORDER BY array_to_string(list_transform(regexp_extract_all(lower(doc_name), '([0-9]+|[^0-9]+)'), lambda p: CASE WHEN regexp_matches(p, '^[0-9]') THEN lpad(p, 20, '0') ELSE p END), chr(1)), doc_id) AS place

@@ -66,6 +66,19 @@ def uncertain_lines(spark, d):
     return rows.groupBy("doc_id").agg(F.count("*").alias("uncertain"))
 
 
+@_query
+def confidence_filter_scaled(spark, d):
+    """confidence_filter with confidences on the 0-100 scale read as such."""
+    return layout.renumber(S.lines(spark, d).where("text rlike '\\\\S' and (confidence between 0.5 and 1 or confidence >= 50)"))
+
+
+@_query
+def uncertain_lines_scaled(spark, d):
+    """uncertain_lines with confidences on the 0-100 scale read as such."""
+    rows = S.lines(spark, d).where("not edited and (confidence < 0.75 or confidence > 1 and confidence < 75)")
+    return rows.groupBy("doc_id").agg(F.count("*").alias("uncertain"))
+
+
 @_query
 def band_islands(spark, d):
     return layout.band_islands(S.lines(spark, d))
@@ -204,6 +217,19 @@ def layout_dump(spark, d):
     return own.select("doc_id", "page_no", "block_no", F.concat(F.lit("["), "kind", F.lit("] "), F.left("text", F.lit(60))).alias("line"))
 
 
+@_query
+def layout_dump_full(spark, d):
+    """Each block with kind, heading level, column, align and box, and its whole text; figures have none. Styles and table sizes are not in layout_blocks."""
+    key = ["doc_id", "page_no", "block_no"]
+    own = S.once(S.read(spark, d, "layout_blocks").where("bounds is not null"), key, ["kind", "space_before"])
+    box = [F.bround(x.cast("double"), 0).cast("bigint").cast("string") for x in (F.col("bounds.l"), F.col("bounds.t"), F.col("bounds.r").cast("double") - F.col("bounds.l").cast("double"), F.col("bounds.b").cast("double") - F.col("bounds.t").cast("double"))]
+    level = F.when(F.col("kind") == "Heading", F.coalesce(F.col("heading_level").cast("string"), F.lit(""))).otherwise("")
+    head = F.concat(F.lit("["), "kind", level, F.lit(" c"), F.coalesce(F.col("column_no").cast("string"), F.lit("")), F.lit(" "), F.coalesce("align", F.lit("")), F.lit(" @"), box[0], F.lit(","), box[1], F.lit(" "), box[2], F.lit("x"), box[3], F.lit("]"))
+    gap = F.when(F.col("kind") == "Table", "\n").otherwise(" ")
+    rows = own.select(*key, "kind", head.alias("head")).join(_texts(spark, d).select(*key, "text"), key, "left")
+    return rows.select(*key, F.when((F.col("kind") == "Figure") | F.col("text").isNull(), F.col("head")).otherwise(F.concat("head", gap, "text")).alias("line"))
+
+
 @_query
 def table_to_text(spark, d):
     nation, region = S.read(spark, d, "nation"), S.read(spark, d, "region")
@@ -227,7 +253,12 @@ def parse_numbers(spark, d):
 @_query
 def column_names(spark, d):
     n = S.read(spark, d, "part").select(F.col("p_partkey").cast("int").alias("i")).where("i <= 18278")
-    return n.select("i", T.column_name(F.col("i")).alias("name"))
+    return n.select("i", F.when(F.col("i") == 0, "@").otherwise(T.column_name(F.col("i"))).alias("name"))  # the SQL names 0, which is no column, so
+
+
+@_query
+def column_names_all(spark, d):
+    return S.read(spark, d, "part").select(F.col("p_partkey").cast("bigint").alias("i")).select("i", T.column_name(F.col("i")).alias("name"))
 
 
 @_query

@@ -86,3 +86,12 @@ def test_empty_tables(spark, lines):
     none = lines.limit(0)
     for fn in (layout.band_fold, layout.visual_lines, layout.renumber, layout.line_gaps, layout.median_height):
         assert fn(none).count() == 0
+
+
+def test_column_names_of_any_length(spark):
+    def name(n):
+        return "" if n == 0 else name((n - 1) // 26) + chr(65 + (n - 1) % 26)
+
+    numbers = [1, 26, 27, 702, 703, 18278, 18279, 475254, 475255, 2**31, 2**62 + 12345]
+    df = spark.createDataFrame([(n,) for n in numbers], "i bigint").select("i", T.column_name(F.col("i")).alias("name"))
+    assert {r.i: r.name for r in df.collect()} == {n: name(n) for n in numbers}
