@@ -1,8 +1,8 @@
 """Problem 7: token ids of a whole corpus by a public byte-pair vocabulary.
 
 A pair of bytes that stands inside no token of the vocabulary can never be merged over: between them is
-a certain cut. A text is cut there into fragments, which are encoded independently and concatenated.
-Long texts thereby take time and memory in proportion to their length.
+a certain cut. Every text is cut at all of its certain cuts, whatever its length; the fragments, most of
+them words, are encoded independently, each distinct one once for a task while it stays in the memo, and concatenated.
 
 A cut must also leave the vocabulary's word pattern alone. It does where the character before it is no
 white space (white space looks ahead) and the one behind it is no apostrophe (an apostrophe that opens
@@ -19,8 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Bytes of a fragment, about; a fragment ends at the first certain cut behind it.
-FRAGMENT = 4096
+#: Fragments whose ids a task keeps; then it begins anew.
+MEMO = 500_000
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.tiktoken") -> str:
@@ -47,35 +47,49 @@ def load(path: str):
     return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), inside
 
 
-def cut(text: str, inside: np.ndarray, size: int = FRAGMENT) -> list[str]:
-    """Fragments of a text of more than size bytes, cut at certain places."""
-    if len(text) * 4 <= size:
-        return [text]
-    raw = text.encode("utf-8")
-    if len(raw) <= size:
-        return [text]
-    data = np.frombuffer(raw, dtype=np.uint8).astype(np.int64)
-    certain = np.flatnonzero(~inside[(data[:-1] << 8) | data[1:]] & ((data[1:] & 0xC0) != 0x80)) + 1
-    out, start, at = [], 0, size
-    while at < len(raw):
-        k = int(np.searchsorted(certain, at))
-        while k < len(certain):
-            c = int(certain[k])
-            before = raw[max(start, c - 4) : c].decode("utf-8", "ignore")[-1:]
-            if before and not before.isspace() and raw[c] != 0x27:
-                break
-            k += 1
-        else:
-            break
-        out.append(raw[start:c].decode("utf-8"))
-        start, at = c, c + size
-    out.append(raw[start:].decode("utf-8"))
-    return out
+_NONE = np.zeros(1, dtype=np.uint8)
+
+
+def _white_ends(data: np.ndarray) -> np.ndarray:
+    """Flags of the bytes at which a white space of UTF-8 text ends."""
+    one = np.concatenate([_NONE, data[:-1]])
+    two = np.concatenate([_NONE, one[:-1]])
+    ascii_ = ((data >= 9) & (data <= 13)) | ((data >= 28) & (data <= 32))
+    latin = (one == 0xC2) & ((data == 0x85) | (data == 0xA0))
+    ogham = (two == 0xE1) & (one == 0x9A) & (data == 0x80)
+    general = (two == 0xE2) & (one == 0x80) & (((data >= 0x80) & (data <= 0x8A)) | (data == 0xA8) | (data == 0xA9) | (data == 0xAF))
+    others = ((two == 0xE2) & (one == 0x81) & (data == 0x9F)) | ((two == 0xE3) & (one == 0x80) & (data == 0x80))
+    return ascii_ | latin | ogham | general | others
 
 
-def encode_text(text: str | None, path: str, size: int = FRAGMENT) -> list[int]:
+def cut(raw: bytes, inside: np.ndarray) -> list[bytes]:
+    """Fragments of a UTF-8 text between all of its certain cuts."""
+    if len(raw) < 2:
+        return [raw] if raw else []
+    data = np.frombuffer(raw, dtype=np.uint8)
+    a, b = data[:-1], data[1:]
+    certain = ~inside[(a.astype(np.uint16) << 8) | b] & ((b & 0xC0) != 0x80) & (b != 0x27) & ~_white_ends(data)[:-1]
+    places = [0, *(np.flatnonzero(certain) + 1).tolist(), len(raw)]
+    return [raw[s:e] for s, e in zip(places, places[1:])]
+
+
+def encode_text(text: str | None, path: str, memo: dict[bytes, list[int]] | None = None) -> list[int]:
+    """Ids of a text; memo keeps those of fragments seen before."""
+    if not text:
+        return []
     encoding, inside = load(path)
-    return [i for part in cut(text, inside, size) for i in encoding.encode_ordinary(part)] if text else []
+    memo = {} if memo is None else memo
+    out: list[int] = []
+    for part in cut(text.encode("utf-8"), inside):
+        ids = memo.get(part)
+        if ids is None:
+            if len(memo) >= MEMO:
+                memo.clear()
+            ids = encoding.encode_ordinary(part.decode("utf-8"))
+            if len(part) <= 64:
+                memo[part] = ids
+        out += ids
+    return out
 
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
@@ -89,14 +103,12 @@ def encode_corpus(documents: DataFrame, path: str | None = None) -> DataFrame:
     place = path or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding, inside = load(place)
+        memo: dict[bytes, list[int]] = {}
         for b in batches:
             values: list[int] = []
             ends = [0]
             for text in b.column(1).to_pylist():
-                if text:
-                    for part in cut(text, inside):
-                        values += encoding.encode_ordinary(part)
+                values += encode_text(text, place, memo)
                 ends.append(len(values))
             ids = pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), pa.array(values, type=pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), ids], schema=_SCHEMA)

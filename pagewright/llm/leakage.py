@@ -1,17 +1,20 @@
 """Problem 8: passages of held-out items inside a corpus.
 
-The corpus is read as a positional inverted index, split by document: for the terms of the items, the
-places where they stand. How many documents hold each term decides which term of every stretch of
-WORDS words is the rarest; only documents with such a term are looked at further, their lists are
-intersected from the rarest term on, each shifted by the term's place in the item, and runs of
-neighbouring places give the exact matches.
+The corpus is read once and written as a positional inverted index, split by document: for each term of
+the items, the places where it stands in the text. How many texts hold each term comes from that table
+and decides which terms of every stretch of an item are the rarest. Only their places are starting
+points: the lists of the other terms, shifted by their place in the item, are intersected with them.
+Runs of neighbouring places are exact matches. Where an item has none in a text, proximity counts:
+WORDS words of WORDS + SPREAD neighbouring ones in order, within a few more words of the text.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,57 +25,58 @@ from .common import to_batch
 
 #: Words in a row that make a match.
 WORDS = 12
-#: Items are held-out test sets, of a fixed size; more than these are refused.
-MOST_ITEMS = 1_000_000
+#: A proximity match may miss so many words of the item, and hold so many others more.
+SPREAD = 3
+#: Items that one pass over the corpus looks for; more of them take several passes.
+ITEMS_A_PASS = 100_000
 
 _WORD = re.compile("[^\\W_]+")
 
 
 def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """Maximal runs of letters and digits, without case (as in caseless matching: SS is the capital of an eszett)."""
+    return _WORD.findall(text.casefold())
 
 
-def document_counts(documents: DataFrame, terms: frozenset[str]) -> dict[str, int]:
-    """How many texts hold each of the terms."""
+Item = tuple[int, list[int]]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: Counter[str] = Counter()
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                n.update(terms.intersection(words(text)))
-        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["term", "n"])
-
-    found = documents.where("text is not null").select("text").mapInArrow(run, "term string, n bigint").groupBy("term").agg(F.sum("n"))
-    return dict(found.collect())  # as many rows as the items have terms, at most
 
+def rarest_terms(items: list[Item], counts: dict[int, int], size: int, misses: int = 0) -> dict[int, list[tuple[int, int]]]:
+    """For each term that a match must hold: the items (by number) and places it stands for there.
 
-def rarest_terms(items: list[tuple[int, list[str]]], counts: dict[str, int], size: int) -> dict[str, list[tuple[int, int]]]:
-    """For each rarest term of a stretch of size words: the items (by number) and places it stands for. Stretches with a term that no text holds can't match."""
-    found: dict[str, set[tuple[int, int]]] = defaultdict(set)
+    A stretch of size + misses words, of which size must match, holds one of its misses + 1 rarest places. A place
+    whose term no text holds is never matched, so it uses up a miss and is no starting point.
+    """
+    found: dict[int, set[tuple[int, int]]] = defaultdict(set)
     for k, (_, own) in enumerate(items):
-        for s in range(len(own) - size + 1):
-            at = min(range(s, s + size), key=lambda i: (counts.get(own[i], 0), own[i], i))
-            if counts.get(own[at], 0):
-                found[own[at]].add((k, at))
+        stretch = min(size + misses, len(own))
+        if stretch < size:
+            continue
+        for s in range(len(own) - stretch + 1):
+            places = sorted(range(s, s + stretch), key=lambda i: (counts.get(own[i], 0), own[i], i))[: stretch - size + 1]
+            for at in places:
+                if counts.get(own[at], 0):
+                    found[own[at]].add((k, at))
     return {t: sorted(x) for t, x in found.items()}
 
 
-def postings(text_words: list[str], terms: frozenset[str]) -> dict[str, list[int]]:
+def postings(text_words: list[str], terms: dict[str, int]) -> dict[int, list[int]]:
     """The index of one document: places of each of the terms."""
-    out: dict[str, list[int]] = defaultdict(list)
+    out: dict[int, list[int]] = defaultdict(list)
     for i, w in enumerate(text_words):
-        if w in terms:
-            out[w].append(i)
+        t = terms.get(w)
+        if t is not None:
+            out[t].append(i)
     return out
 
 
-def runs(index: dict[str, list[int]], items: list[tuple[int, list[str]]], rare: dict[str, list[tuple[int, int]]], size: int) -> Iterator[tuple[int, int, int, int]]:
+def runs(index: dict[int, list[int]], items: list[Item], rare: dict[int, list[tuple[int, int]]], size: int) -> Iterator[tuple[int, int, int, int]]:
     """(item number, place in the item, place in the text, words) of the longest runs through each rare term."""
     starts: set[tuple[int, int]] = set()
     for term in rare.keys() & index.keys():
         for k, at in rare[term]:
             starts.update((k, pos - at) for pos in index[term])
-    sets: dict[str, frozenset[int]] = {}
+    sets: dict[int, frozenset[int]] = {}
     for k, shift in sorted(starts):
         run = 0
         own = items[k][1]
@@ -91,33 +95,130 @@ def runs(index: dict[str, list[int]], items: list[tuple[int, list[str]]], rare:
                 run = 0
 
 
-def find_matches(documents: DataFrame, items: DataFrame, size: int = WORDS) -> DataFrame:
-    """(doc_id, item_id, item_word, doc_word, words): the longest runs of at least size words of an item's passage in a text.
-
-    Case, punctuation and white space between words don't matter. Null and shorter texts and passages match nothing.
-    """
-    rows = common.small_set(items.where("item_id is not null and passage is not null").select("item_id", "passage").distinct(), MOST_ITEMS)
-    own = sorted((r[0], words(r[1])) for r in rows)
-    terms = frozenset(w for _, ws in own for w in ws)
-    rare = rarest_terms(own, document_counts(documents, terms) if terms else {}, size)
-    rare_set = frozenset(rare)
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("item_word", pa.int32()), ("doc_word", pa.int32()), ("words", pa.int32())])
+def common_words(a: list[int], b: list[int | None]) -> int:
+    """The most words that two short lists have in common in order (bits of one number stand for the places of a)."""
+    at: dict[int, int] = defaultdict(int)
+    for i, t in enumerate(a):
+        at[t] |= 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for t in b:
+        m = at.get(t, 0)
+        if m:
+            both = row & m
+            row = ((row + both) | (row - both)) & full
+    return len(a) - row.bit_count()
+
+
+def near(index: dict[int, list[int]], items: list[Item], rare: dict[int, list[tuple[int, int]]], size: int, spread: int, skip: set[int]) -> Iterator[tuple[int, int, int, int]]:
+    """(item number, place in the item, place in the text, words) of the best proximity match of each item but those to skip; of equals the first."""
+    seeds: dict[int, set[int]] = defaultdict(set)
+    for term in rare.keys() & index.keys():
+        for k, _ in rare[term]:
+            if k not in skip:
+                seeds[k].update(index[term])
+    for k, points in seeds.items():
+        own = items[k][1]
+        stretch = min(size + spread, len(own))
+        width = stretch + spread
+        word_at = {p: t for t in set(own) if t in index for p in index[t]}
+        if len(word_at) < size:
+            continue
+        places = sorted(word_at)
+        best = None
+        starts: set[int] = set()
+        for p in sorted(points):
+            lo, hi = bisect_left(places, p - width + 1), bisect_right(places, p + width - 1)
+            if hi - lo >= size and common_words(own, [word_at[q] for q in places[lo:hi]]) >= size:
+                starts.update(range(p - width + 1, p + 1))
+        for q in sorted(starts):
+            lo, hi = bisect_left(places, q), bisect_left(places, q + width)
+            if hi - lo < size:
+                continue
+            region = [word_at[x] for x in places[lo:hi]]
+            if common_words(own, region) < size:
+                continue
+            for s in range(len(own) - stretch + 1):
+                n = common_words(own[s : s + stretch], region)
+                if n >= size and (best is None or (-n, s, places[lo]) < best):
+                    best = (-n, s, places[lo])
+        if best is not None:
+            yield k, best[1], best[2], -best[0]
+
+
+_INDEX = pa.schema([("doc_id", pa.int64()), ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("places", pa.list_(pa.int32()))])
+_INDEX_DDL = "doc_id bigint, terms array<int>, counts array<int>, places array<int>"
+_MATCHES = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("kind", pa.string()), ("item_word", pa.int32()), ("doc_word", pa.int32()), ("words", pa.int32())])
+_MATCHES_DDL = "doc_id bigint, item_id bigint, kind string, item_word int, doc_word int, words int"
+
+
+def build_index(documents: DataFrame, terms: dict[str, int], size: int) -> DataFrame:
+    """The postings of all texts that hold at least size places of the terms, written as a table: one row for each text."""
+    sent = documents.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
         for b in batches:
             out = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ws = words(text)
-                if len(ws) < size or rare_set.isdisjoint(ws):
-                    continue
-                out += [(doc, own[k][0], i, j, n) for k, i, j, n in runs(postings(ws, terms), own, rare, size)]
+                index = postings(words(text), known)
+                if sum(map(len, index.values())) >= size:
+                    out.append((doc, list(index), [len(x) for x in index.values()], [p for x in index.values() for p in x]))
             if out:
-                yield to_batch(out, schema)
+                yield to_batch(out, _INDEX)
+
+    texts = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
+    return common.staged(texts.mapInArrow(run, _INDEX_DDL), "postings")
+
+
+def _one_pass(documents: DataFrame, rows: list[tuple[int, str]], size: int, spread: int | None) -> DataFrame:
+    spark = documents.sparkSession
+    texts = sorted((i, words(p)) for i, p in rows)
+    texts = [(i, ws) for i, ws in texts if len(ws) >= size]
+    terms = {w: n for n, w in enumerate(sorted({w for _, ws in texts for w in ws}))}
+    if not terms:
+        return spark.createDataFrame([], _MATCHES_DDL)
+    items: list[Item] = [(i, [terms[w] for w in ws]) for i, ws in texts]
+    index = build_index(documents, terms, size)
+    counts = dict(index.select(F.explode("terms").alias("term")).groupBy("term").count().collect())  # at most a row for each term of the items
+    rare = rarest_terms(items, counts, size)
+    wide = rarest_terms(items, counts, size, spread) if spread is not None else None
+    sent = spark.sparkContext.broadcast((items, rare, wide))
 
-    found = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
-    return found.mapInArrow(run, "doc_id bigint, item_id bigint, item_word int, doc_word int, words int").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items, rare, wide = sent.value
+        for b in batches:
+            out = []
+            for doc, own, n, flat in zip(*(b.column(i).to_pylist() for i in range(4))):
+                ends = list(accumulate(n))
+                index = {t: flat[e - c : e] for t, c, e in zip(own, n, ends)}
+                exact = list(runs(index, items, rare, size)) if not rare.keys().isdisjoint(index) else []
+                out += [(doc, items[k][0], "exact", i, j, w) for k, i, j, w in exact]
+                if wide is not None:
+                    out += [(doc, items[k][0], "near", i, j, w) for k, i, j, w in near(index, items, wide, size, spread, {x[0] for x in exact})]
+            if out:
+                yield to_batch(out, _MATCHES)
+
+    return index.mapInArrow(run, _MATCHES_DDL)
+
+
+def find_matches(documents: DataFrame, items: DataFrame, size: int = WORDS, spread: int | None = SPREAD) -> DataFrame:
+    """(doc_id, item_id, kind, item_word, doc_word, words): where a text holds an item's passage.
+
+    kind exact: the longest runs of at least size words. kind near, for items without an exact match in the text and unless
+    spread is None: the best stretch, size of size + spread neighbouring words of the item in order within size + 2 spread words
+    of the text. Case, punctuation and white space between words don't matter. Null and shorter texts and passages match nothing.
+    """
+    own = items.where("item_id is not null and passage is not null").select("item_id", "passage").distinct()
+    passes = max(1, -(-own.count() // ITEMS_A_PASS))
+    found = None
+    for k in range(passes):
+        part = own if passes == 1 else own.where(F.pmod(F.xxhash64("item_id", "passage"), F.lit(passes)) == k)
+        one = _one_pass(documents, [(r[0], r[1]) for r in part.collect()], size, spread)
+        found = one if found is None else found.unionByName(one)
+    return found.distinct()
 
 
 def find_leaks(documents: DataFrame, items: DataFrame, size: int = WORDS) -> DataFrame:
     """(doc_id, item_id) of the documents that hold at least size words in a row of an item's passage."""
-    return find_matches(documents, items, size).select("doc_id", "item_id").distinct()
+    return find_matches(documents, items, size, None).select("doc_id", "item_id").distinct()
