@@ -100,25 +100,34 @@ _IGNORABLE = re.compile(f"[{_INVISIBLE}]")
 _BLANK = re.compile(f"[{_BLANKS}]")
 #: What a step from one script to another costs, a letter other than the written one, and a letter of another script than the line's.
 SWITCH, CHANGE, FOREIGN = 4.0, 1.0, 1.1
-#: Cost of a pair of letters that the fitted lines don't have.
+#: Cost of a pair of letters that the lines don't have.
 UNSEEN = 8.0
-#: Lines that the costs of pairs are fitted on, about (drawn by a hash of their text).
-FIT_LINES = 20_000
+#: Different words that a task counts before it hands their pairs on.
+COUNTED = 400_000
 
 
-def fit_pairs(texts: Iterator[str]) -> dict[str, float]:
-    """Cost (minus the logarithm of its share) of each pair of letters, word ends included, in words of one script."""
+def letter_pairs(words: dict[str, int]) -> Counter[str]:
+    """Pairs of letters, word ends included, in words of one script."""
     pairs: Counter[str] = Counter()
-    for text in texts:
-        for w in _LETTERS.findall(text):
-            if len({_script(c) for c in w}) == 1 and _script(w[0]) in "LC":
-                pairs.update(map("".join, zip(f"^{w.lower()}", f"{w.lower()}$")))
+    for w, n in words.items():
+        if len({_script(c) for c in w}) == 1 and _script(w[0]) in "LC":
+            for p in map("".join, zip(f"^{w.lower()}", f"{w.lower()}$")):
+                pairs[p] += n
+    return pairs
+
+
+def pair_costs(pairs: dict[str, int]) -> dict[str, float]:
+    """Cost of each pair: minus the logarithm of its share in the pairs with the same first letter."""
     heads: Counter[str] = Counter()
     for p, n in pairs.items():
         heads[p[0]] += n
     return {p: -math.log(n / heads[p[0]]) for p, n in pairs.items()}
 
 
+def fit_pairs(texts: Iterator[str]) -> dict[str, float]:
+    return pair_costs(letter_pairs(Counter(w for t in texts for w in _LETTERS.findall(t))))
+
+
 def best_path(token: str, base: str, scores: dict[str, float] | None = None) -> str:
     """The cheapest path through the look-alike lattice of token, in a line whose other words are written in base.
 
@@ -217,15 +226,25 @@ _KEY = pa.schema([("doc_id", pa.int64()), ("page_no", pa.int32()), ("line_id", p
 
 
 def pair_scores(lines: DataFrame) -> dict[str, float]:
-    """fit_pairs of about FIT_LINES lines, in one task; the alphabets bound its size."""
+    """Costs of pairs over all lines: counted in each task, summed by pair. The alphabets of two scripts bound how many there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = fit_pairs(t for b in batches for t in b.column(0).to_pylist())
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.float64())], names=["pair", "cost"])
+        words: Counter[str] = Counter()
 
-    texts = lines.where("text is not null").select("text")
-    share = max(1, -(-texts.count() // FIT_LINES))
-    return dict(texts.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).repartition(1).mapInArrow(run, "pair string, cost double").collect())
+        def done() -> pa.RecordBatch:
+            found = letter_pairs(words)
+            words.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["pair", "n"])
+
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                words.update(_LETTERS.findall(text))
+            if len(words) > COUNTED:
+                yield done()
+        yield done()
+
+    texts = lines.where(F.col("text").rlike("[A-Za-zÀ-ɏЀ-ԯ]")).select("text")
+    return pair_costs(dict(texts.mapInArrow(run, "pair string, n bigint").groupBy("pair").agg(F.sum("n")).collect()))
 
 
 def find_lookalikes(lines: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 1. One pass over all lines counts word forms under their confusable-glyph skeleton (and, in spaceless
    scripts, the contexts of confusable glyphs). Forms of one skeleton meet in one group; the frequent
    ones are good, rare ones that a known confusion derives from a far more frequent one are misread.
-2. These verdicts go into ONE Bloom filter of fixed size, which is all that is sent to the tasks.
+2. These verdicts go into ONE Bloom filter of blocks, sized by their number; it is all that is sent to the tasks, and its fill is checked.
 3. A second pass goes page by page over the blocks in reading order: division marks at line ends,
    misread words, page numbers, and single lines that may be running titles.
 4. Running titles are lines that, with digits masked, stand on two or more pages of a file.
@@ -42,17 +42,21 @@ _STROKES = {
     "é": "6", "б": "6", "b": "6", "ü": "ii", "2": "z", "v": "v", "w": "vv", "г": "т", "н": "и", "8": "в", "3": "з", "щ": "ш", "л": "п", "ы": "ьи", "м": "тп", "о": "o", "ё": "е",
 }
 #: Glyphs of spaceless scripts: printed, read.
-_GLYPHS = "はほ を き 了丁 的旳 日曰 员贠 ンソ 页贞 入人 理埋 見貝 未末 シツ 己已 土士 へヘ ロ口 カ力 大太 ばぱ"
+_GLYPHS = "はほ をき 了丁 的旳 日曰 员贠 ンソ 页贞 入人 理埋 見貝 未末 シツ 己已 土士 へヘ ロ口 カ力 大太 ばぱ"
 STRAY = "·~¦^|"
 # ------------------------------------------------------------------------------------------------
-GLYPH = {p[1]: p[0] for p in _GLYPHS.replace("を き", "をき").split()}
+GLYPH = {p[1]: p[0] for p in _GLYPHS.split()}
 PRINTED = frozenset(GLYPH.values())
 #: A form is good from this count on, unless it derives from a far more frequent one.
 LEAST = 3
 #: How much more frequent the printed form must be than the misread one.
 RATIO = 10
-#: Bits of the filter that all tasks get (8 MB), and its hash functions.
-BITS, HASHES = 1 << 26, 4
+#: Bits of a block of the filter (1 MB), bits a key is given, and hash functions: one key in 500 or fewer is there by chance.
+BLOCK, BITS_A_KEY, HASHES = 1 << 23, 16, 5
+#: Share of set bits of a block beyond which the filter would let too much through; it is refused then.
+MOST_FILL = 0.5
+#: Different tokens that a task counts before it hands them on.
+COUNTED = 400_000
 
 _CJK = re.compile("[々぀-ヿㇰ-ㇿ㐀-䶿一-鿿豈-﫿]")
 _SKELETON = str.maketrans(_STROKES)
@@ -104,11 +108,12 @@ def token_form(token: str) -> str:
     if len(form) < 2 or not _FORM.match(form):
         return ""
     letters = sum(map(str.isalpha, form))
-    return form if letters * 2 >= len(form) and letters >= 1 and len(form) < 40 else ""
+    return form if letters * 2 >= len(form) and letters >= 1 else ""
 
 
 def _count_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tokens: Counter[str] = Counter()
+    firsts: set[str] = set()
     contexts: Counter[str] = Counter()
     marks = set(GLYPH) | PRINTED
 
@@ -118,11 +123,16 @@ def _count_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             form = token_form(t)
             if form:
                 forms[form] += n
+        for t in firsts:  # seen, but maybe only the rest of a divided word: no evidence for itself
+            form = token_form(t)
+            if form:
+                forms[form] += 0
         out = [(skeleton(_STRAY_IN.sub("", f)), f, n) for f, n in forms.items()]
         for c, n in contexts.items():  # side, context, glyph
             glyph = c[-1]
             out.append((f"\t{c[:-1]}{GLYPH.get(glyph, glyph)}", c, n))
         tokens.clear()
+        firsts.clear()
         contexts.clear()
         return out
 
@@ -140,8 +150,9 @@ def _count_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own = text.split()
                 if own and _DIVIDES.search(own[-1]):
                     own.pop()
-                tokens.update(own[1:])  # the first may be the rest of a divided word
-        if len(tokens) > 400_000:
+                tokens.update(own[1:])
+                firsts.update(own[:1])
+        if len(tokens) + len(firsts) + len(contexts) > COUNTED:
             yield common.to_batch(rows(), _FORMS)
     yield common.to_batch(rows(), _FORMS)
 
@@ -164,7 +175,7 @@ def verdicts(group: dict[str, int]) -> Iterator[str]:
         return
     good: list[tuple[str, int]] = []
     for f, n in sorted(group.items(), key=lambda x: (-x[1], x[0])):
-        printed = next((g for g, v in good if v >= RATIO * n and derives(g, f)), None)
+        printed = next((g for g, v in good if v >= RATIO * max(n, 1) and derives(g, f)), None)
         if printed is not None:
             yield f"m:{f}"
             yield f"p:{f}>{printed}"
@@ -176,54 +187,82 @@ def verdicts(group: dict[str, int]) -> Iterator[str]:
                 yield f"h:{f.split('-')[0]}"
 
 
-def _positions(key: str) -> list[int]:
-    h = xxhash.xxh64_intdigest(key)
+def _key_hash(key: str) -> int:
+    """63 bits of a key."""
+    return xxhash.xxh64_intdigest(key) >> 1
+
+
+def _places(h: int, blocks: int) -> tuple[int, list[int]]:
+    """The block of a key's hash, and its bits there."""
     a, b = h & 0xFFFFFFFF, (h >> 32) | 1
-    return [(a + i * b) % BITS for i in range(HASHES)]
+    return (h >> 23) % blocks, [(a + i * b) % BLOCK for i in range(HASHES)]
 
 
-def _fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One compressed bitmap of fixed size for each partition of forms sorted by skeleton."""
-    bits = np.zeros(BITS // 8, dtype=np.uint8)
+def _judge_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of the keys of each group of forms with one skeleton."""
     group: dict[str, int] = {}
     last = None
-
-    def close() -> None:
-        if group:
-            at = np.array([p for k in verdicts(group) for p in _positions(k)], dtype=np.int64)
-            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-            group.clear()
-
+    out: list[int] = []
     for b in batches:
         for sk, form, n in zip(*(b.column(i).to_pylist() for i in range(3))):
             if sk != last:
-                close()
+                if group:
+                    out += {_key_hash(k) for k in verdicts(group)}
+                    group = {}
                 last = sk
-            group[form] = group.get(form, 0) + n
-    close()
-    yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(bits.tobytes(), 1)], type=pa.binary())], names=["bits"])
+            group[form] = n
+        if len(out) > common.OUT_ROWS:
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["h"])
+            out = []
+    if group:
+        out += {_key_hash(k) for k in verdicts(group)}
+    yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["h"])
 
 
-#: Tasks that fill the filter; the driver gets as many bitmaps of at most BITS / 8 bytes.
-FILLERS = 12
+def _fill(blocks: int):
+    """The bits of each block, from hashes that come sorted by block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(BLOCK // 8, dtype=np.uint8)
+        last = None
+        schema = pa.schema([("block", pa.int32()), ("fill", pa.float64()), ("bits", pa.binary())])
+        done = lambda: common.to_batch([(last, float(np.unpackbits(bits).mean()), zlib.compress(bits.tobytes(), 1))], schema)
+        for b in batches:
+            for block, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if block != last:
+                    if last is not None:
+                        yield done()
+                        bits[:] = 0
+                    last = block
+                for p in _places(h, blocks)[1]:
+                    bits[p >> 3] |= 1 << (p & 7)
+        if last is not None:
+            yield done()
+
+    return run
 
 
-def build_filter(lines: DataFrame) -> bytes:
-    """The filter over all lines, compressed. Its size doesn't depend on the data."""
+def build_filter(lines: DataFrame) -> list[bytes]:
+    """The blocks of the filter over all lines, compressed. Their number follows from the number of keys: two bytes a key."""
     texts = lines.where("text is not null").select("text")
-    forms = texts.mapInArrow(_count_forms, "skeleton string, form string, n bigint")
-    parts = forms.repartition(FILLERS, "skeleton").sortWithinPartitions("skeleton").mapInArrow(_fill, "bits binary")
-    bits = np.zeros(BITS // 8, dtype=np.uint8)
-    for row in parts.toLocalIterator():
-        bits |= np.frombuffer(zlib.decompress(row[0]), dtype=np.uint8)
-    return zlib.compress(bits.tobytes(), 1)
+    forms = texts.mapInArrow(_count_forms, "skeleton string, form string, n bigint").groupBy("skeleton", "form").agg(F.sum("n").alias("n"))
+    keys = common.staged(forms.repartition("skeleton").sortWithinPartitions("skeleton").mapInArrow(_judge_groups, "h bigint"), "noise_keys")
+    blocks = max(1, -(-keys.count() * BITS_A_KEY // BLOCK))
+    block = F.pmod(F.shiftright("h", 23), F.lit(blocks)).cast("int")
+    parts = keys.distinct().select(block.alias("block"), "h").repartition("block").sortWithinPartitions("block").mapInArrow(_fill(blocks), "block int, fill double, bits binary")
+    out = [b""] * blocks
+    for no, fill, bits in parts.toLocalIterator():
+        if fill > MOST_FILL:
+            raise RuntimeError(f"block {no} of the filter is filled to {fill:.2f}")
+        out[no] = bytes(bits)
+    return out
 
 
 class Filter:
     """Read side of the filter, with a cache of what was asked."""
 
-    def __init__(self, packed: bytes):
-        self.bits = zlib.decompress(packed)
+    def __init__(self, packed: list[bytes]):
+        self.blocks = [zlib.decompress(x) if x else bytes(BLOCK // 8) for x in packed]
         self.known: dict[str, bool] = {}
         self.tokens: dict[str, int] = {}
         self.fixed: dict[tuple[str, bool], str] = {}
@@ -233,8 +272,9 @@ class Filter:
         if found is None:
             if len(self.known) > 1_000_000:
                 self.known.clear()
-            bits = self.bits
-            found = self.known[key] = all(bits[p >> 3] >> (p & 7) & 1 for p in _positions(key))
+            block, places = _places(_key_hash(key), len(self.blocks))
+            bits = self.blocks[block]
+            found = self.known[key] = all(bits[p >> 3] >> (p & 7) & 1 for p in places)
         return found
 
     def token(self, token: str) -> int:
@@ -535,6 +575,11 @@ _ROWS_DDL = "doc_id bigint, page_no int, line_id int, noise string, key string,
 _NO_BLOCK = (None,) * 7
 
 
+def _title_end(text: str) -> tuple:
+    """No block's columns, but for open, which is false where the line ends as a sentence does (short titles don't)."""
+    return None, None, None, None, None, False if _TERMINATED.search(text) else None, None
+
+
 def _page(packed, with_text: bool = False):
     """Rows of a page: noise; "maybe" a running title; "cut", a mark at the end of the last block; "block", at the ends of the page.
 
@@ -555,7 +600,7 @@ def _page(packed, with_text: bool = False):
                 continue
             text = own[0][1]
             plain = is_list_item(text) or is_table_row(text) or is_contact(text) or is_junk(text)
-            maybe = len(own) == 1 and kind == "Paragraph" and (k < 2 or k > len(blocks) - 3) and len(text) < 120 and not plain
+            maybe = len(own) == 1 and kind == "Paragraph" and (k < 2 or k > len(blocks) - 3) and not plain
             body.append((no, kind, own, maybe, kind == "Paragraph" and not (len(own) == 1 and plain)))
         firm = [n for n, b in enumerate(body) if not b[3]]
         top, bottom = (firm[0], firm[-1]) if firm else (len(body), -1)
@@ -569,11 +614,11 @@ def _page(packed, with_text: bool = False):
                 continue
             if with_text:
                 if maybe:
-                    yield doc, page_no, last, "maybe", running_key(text), False, *_NO_BLOCK
+                    yield doc, page_no, last, "maybe", running_key(text), False, *_title_end(text)
                 continue
             wrong = misread_lines(texts, known)
             if maybe:
-                yield doc, page_no, last, "maybe", running_key(text), bool(wrong), *_NO_BLOCK
+                yield doc, page_no, last, "maybe", running_key(text), bool(wrong), *_title_end(text)
             else:
                 for j in wrong:
                     if not is_junk(texts[j]):
@@ -581,11 +626,11 @@ def _page(packed, with_text: bool = False):
             for j, (i, text) in enumerate(own):
                 if text.rstrip()[-1:] in "-‐¬\xad" or text[-1:] == "\xad":
                     if j + 1 == len(own) and n >= bottom:
-                        if len(own) > 1 or len(text) > 20:
+                        if len(text.split()) > 1:
                             yield doc, page_no, i, "cut", text.split()[-1] if text.split() else "", False, no, *_NO_BLOCK[1:]
                         continue
                     rest = texts[j + 1].split() if j + 1 < len(own) else [""]
-                    if (len(own) > 1 or len(text) > 20) and divides(text, rest[0] if rest else "", known):
+                    if divides(text, rest[0] if rest else "", known):
                         yield doc, page_no, i, "hyphen", None, False, *_NO_BLOCK
 
     return page
@@ -619,10 +664,10 @@ def _judge_cuts(packed):
 
 def _titles(rows: DataFrame) -> DataFrame:
     """Lines that may be running titles, with noise running, misread or null."""
-    maybe = rows.where("noise = 'maybe'").select("doc_id", "page_no", "line_id", "key", "misread")
+    maybe = rows.where("noise = 'maybe'").select("doc_id", "page_no", "line_id", "key", "misread", F.col("open").isNotNull().alias("ended"))
     size = F.lit(5)  # a misread letter leaves one end of the title as it is
     ends = F.explode(F.array(F.concat(F.lit("<"), F.left("key", size)), F.concat(F.lit(">"), F.right("key", size))))
-    keys = maybe.where("length(key) >= 8").groupBy("doc_id", "key").agg(F.count_distinct("page_no").alias("pages"))
+    keys = maybe.where("length(key) >= 4 and (length(key) >= 8 or not ended)").groupBy("doc_id", "key").agg(F.count_distinct("page_no").alias("pages"))
     ended = keys.withColumn("end", ends)
     titles = ended.groupBy("doc_id", "end").agg(F.sum("pages").alias("n"), F.max_by("key", F.struct("pages", "key")).alias("title")).where("n >= 2").drop("n")
     near = (F.col("title") == F.col("key")) | (F.levenshtein("title", "key") * 6 <= F.length("title"))
