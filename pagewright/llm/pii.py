@@ -1,11 +1,12 @@
 """Problem 2: personal information in lines of text, and its replacement by typed placeholders.
 
-Entities are found in the text of a block, so that one broken over lines is seen whole. Shapes that
-only personal items have (an address with @, an identity number with letters) are protected entities
-of their own. A number whose shape orders and files share is judged by information: over the whole
-corpus, the words before numbers are counted together with numbers of protected and of innocent
-shape; a term whose numbers are mostly protected ones discloses, and ambiguous numbers behind such a
-term are generalised to their type.
+Candidates are found in the text of a block, so that one broken over lines is seen whole. Shapes that
+only personal items have (an address with @, an identity number with letters, a name from the table beside
+another or an initial) are protected entities of their own, which no count overrides. A number whose shape
+orders and files share is judged by information: over the whole corpus, the terms before numbers are counted
+together with protected and with innocent ones. A term's disclosure is how many bits it adds to the share of
+protected numbers; an ambiguous number behind a term that discloses is generalised to its type. The longest
+term that was seen decides, a shorter one where it wasn't, and without any the share of the type.
 """
 
 from __future__ import annotations
@@ -44,9 +45,9 @@ PHONE = re.compile(
     "|(?<=电话)[\\d()+ -]{9,}\\d|(?<=電話は)[\\d()+ -]{9,}\\d)(?![\\w]|[-/.]\\d)",
     re.ASCII,
 )
-#: Numbers of protected (p), ambiguous (a) and innocent (i) shape.
+#: Numbers of protected (p), ambiguous (a: identity numbers, q: telephone numbers) and innocent (i) shape.
 NUMBERS = re.compile(
-    f"{_B}(?=[A-Z\\d])(?:(?P<p>\\d{{11}}|[A-Z]{{2}} ?\\d{{2}} ?\\d{{2}} ?\\d{{2}} ?[A-Z]|[A-Z]{{2}}\\d{{7}}|\\d{{3}}\\.\\d{{3}}\\.\\d{{3}}/[\\dA-Z])|(?P<a>\\d{{2}}-\\d{{5}}-\\d)"
+    f"{_B}(?=[A-Z\\d])(?:(?P<p>\\d{{11}}|[A-Z]{{2}} ?\\d{{2}} ?\\d{{2}} ?\\d{{2}} ?[A-Z]|[A-Z]{{2}}\\d{{7}}|\\d{{3}}\\.\\d{{3}}\\.\\d{{3}}/[\\dA-Z])|(?P<a>\\d{{2}}-\\d{{5}}-\\d)|(?P<q>\\d{{3}}-\\d{{4}})"
     f"|(?P<i>\\d{{8}}|\\d{{4}} \\d{{5}}|\\d{{2}}-\\d{{6}}-\\d|\\d{{5}}/\\d{{2}}|[A-Z]\\d{{3}}-\\d{{2,3}}|[A-Z]-\\d{{5}})){_E}"
 )
 _CITY = "[A-ZÀ-Þ][\\w'’-]+"
@@ -209,21 +210,21 @@ class Names:
         return s
 
 
-def _cue(text: str, s: int) -> str:
-    """The term before a number: the last two words, or in spaceless text the last three letters."""
-    head = text[max(0, s - 40) : s]
-    m = _CUE.search(head)
+def _cues(text: str, s: int) -> list[str]:
+    """The terms before a number, the longest first: the last two words and the last one, or in spaceless text the last three letters and two; none without a word."""
+    m = _CUE.search(text[max(0, s - 40) : s])
     if not m:
-        return ""
-    word = m.group(2)
+        return []
+    word = m.group(2).lower()
     if _CJK.search(word):
-        return word[-3:]
-    return f"{(m.group(1) or '').rstrip('.')} {word}".strip().lower()
+        return [word[-3:], word[-2:]] if len(word) > 2 else [word]
+    before = (m.group(1) or "").rstrip(".").lower()
+    return [f"{before} {word}", word] if before else [word]
 
 
-def find_items(text: str, names: Names) -> list[tuple[int, int, str, str | None, int]]:
-    """(start, end, type, term, shape) of the items in a block's text; shape: 2 no number, 1 protected, 0 ambiguous, -1 innocent."""
-    out: list[tuple[int, int, str, str | None, int]] = []
+def find_items(text: str, names: Names) -> list[tuple[int, int, str, list[str] | None, int]]:
+    """(start, end, type, terms, shape) of the items in a block's text; shape: 2 no number, 1 protected, 0 ambiguous, -1 innocent."""
+    out: list[tuple[int, int, str, list[str] | None, int]] = []
     if _QUICK.search(text):
         if _AT.search(text):
             clear = text
@@ -240,11 +241,13 @@ def find_items(text: str, names: Names) -> list[tuple[int, int, str, str | None,
             for m in PHONE.finditer(text):
                 s, e = m.span()
                 if sum(map(str.isdigit, m.group())) >= 7 and text[max(0, s - 1) : s] != "〒":
-                    out.append((s, e, "phone", None, 2))
+                    out.append((s, e, "phone", _cues(text, s), 2))
                     clear = clear[:s] + "\0" * (e - s) + clear[e:]
             text = clear
             for m in NUMBERS.finditer(text):
-                out.append((*m.span(), "national_id", _cue(text, m.start()), 1 if m["p"] else 0 if m["a"] else -1))
+                if m["q"] and text[: m.start()].rstrip()[-1:] == "〒":
+                    continue
+                out.append((*m.span(), "phone" if m["q"] else "national_id", _cues(text, m.start()), 1 if m["p"] else -1 if m["i"] else 0))
         if _LATIN_HINT.search(text):
             out += [(*m.span(), "address", None, 2) for m in ADDRESS_LATIN.finditer(text)]
         if not text.isascii():
@@ -257,16 +260,17 @@ def find_items(text: str, names: Names) -> list[tuple[int, int, str, str | None,
     return out
 
 
-_SCHEMA = pa.schema([("doc_id", pa.int64()), ("page_no", pa.int32()), ("line_id", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("pii_type", pa.string()), ("term", pa.string()), ("shape", pa.int32())])
-_DDL = "doc_id bigint, page_no int, line_id int, start int, stop int, pii_type string, term string, shape int"
+_SCHEMA = pa.schema([("doc_id", pa.int64()), ("page_no", pa.int32()), ("line_id", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("pii_type", pa.string()), ("terms", pa.list_(pa.string())), ("shape", pa.int32())])
+_DDL = "doc_id bigint, page_no int, line_id int, start int, stop int, pii_type string, terms array<string>, shape int"
 
 
-def _page(parts: list[tuple[str, str]]):
+def _page(sent):
+    """Rows of a page; sent: a broadcast of name parts."""
     state: list[Names] = []
 
     def page(doc: int, page_no: int, lines: dict[int, str], blocks: list) -> Iterator[tuple]:
         if not state:
-            state.append(Names(parts))
+            state.append(Names(sent.value))
         names = state[0]
         free = dict(lines)
         groups = []
@@ -285,7 +289,7 @@ def _page(parts: list[tuple[str, str]]):
                 text, starts, maps = own[0][1], [0], [None]
             else:
                 text, starts, maps = flatten([t for _, t in own])
-            for s, e, kind, term, shape in find_items(text, names):
+            for s, e, kind, terms, shape in find_items(text, names):
                 while s < e and text[s].isspace():
                     s += 1
                 while e > s and text[e - 1].isspace():
@@ -300,29 +304,53 @@ def _page(parts: list[tuple[str, str]]):
                     start, stop = a - starts[k], last - starts[k]
                     if maps[k]:
                         start, stop = maps[k][start], maps[k][min(stop, len(maps[k]) - 1)]
-                    yield doc, page_no, own[k][0], start, stop + 1, kind, term, shape
+                    yield doc, page_no, own[k][0], start, stop + 1, kind, terms, shape
                     a = b
 
     return page
 
 
-#: Share of protected numbers among those behind a term from which the term discloses.
-DISCLOSURE = 0.5
+#: Share of protected numbers behind a term from which an ambiguous one is taken as protected, and weight of the type's own share in it.
+DISCLOSURE, BACK_OFF = 0.5, 1.0
+
+
+def term_disclosure(rows: DataFrame) -> DataFrame:
+    """(pii_type, term, protected, n, share, bits): of the numbers behind each term those of the type, and how many bits the term adds to the type's share of all.
+
+    For each type, its clear items are protected and numbers of innocent shape are not.
+    """
+    seen = rows.where("terms is not null and shape != 0").select("doc_id", "page_no", "line_id", "start", "pii_type", "terms", "shape")
+    clear = seen.where("shape > 0").select("pii_type", F.explode("terms").alias("term"), F.lit(1).alias("yes"))
+    innocent = seen.where("shape < 0").select(F.explode(F.array(F.lit("phone"), F.lit("national_id"))).alias("pii_type"), "terms")
+    other = seen.where("shape > 0").select(F.when(F.col("pii_type") == "phone", "national_id").otherwise("phone").alias("pii_type"), "terms")
+    rest = innocent.unionByName(other).select("pii_type", F.explode("terms").alias("term"), F.lit(0).alias("yes"))
+    counts = clear.unionByName(rest).groupBy("pii_type", "term").agg(F.sum("yes").alias("protected"), F.count("*").alias("n"))
+    base = counts.groupBy("pii_type").agg((F.sum("protected") / F.sum("n")).alias("base"))
+    both = counts.join(base, "pii_type").withColumn("share", (F.col("protected") + BACK_OFF * F.col("base")) / (F.col("n") + BACK_OFF))
+    return both.select("pii_type", "term", "protected", "n", "base", "share", F.log2(F.col("share") / F.col("base")).alias("bits"))
+
+
+def candidates(lines: DataFrame, blocks: DataFrame, name_parts: DataFrame) -> DataFrame:
+    parts = [(r[0], r[1]) for r in common.small_set(name_parts.where("name_part is not null and part_kind is not null and length(name_part) > 0").select("name_part", "part_kind").distinct(), 1_000_000)]
+    sent = lines.sparkSession.sparkContext.broadcast(parts)
+    rows = common.page_rows(lines, blocks).mapInArrow(common.page_kernel(_page(sent), _SCHEMA), _DDL)
+    return common.staged(rows, "pii")
 
 
 def find_spans(lines: DataFrame, blocks: DataFrame, name_parts: DataFrame) -> DataFrame:
     """(doc_id, page_no, line_id, start, stop, pii_type): places in the original line of each personal item or its part in that line."""
-    parts = [(r[0], r[1]) for r in common.small_set(name_parts.where("name_part is not null and part_kind is not null and length(name_part) > 0").select("name_part", "part_kind").distinct(), 1_000_000)]
-    rows = common.page_rows(lines, blocks).mapInArrow(common.page_kernel(_page(parts), _SCHEMA), _DDL)
-    rows = common.staged(rows, "pii")
-    numbers = rows.where("shape < 2")
-    terms = numbers.where("shape != 0").groupBy("term").agg(F.count_if(F.col("shape") == 1).alias("protected"), F.count("*").alias("n"))
-    innocent = terms.where(F.col("protected") < DISCLOSURE * F.col("n")).select("term")
-    seen = terms.where(F.col("protected") >= DISCLOSURE * F.col("n")).select("term")
-    ambiguous = numbers.where("shape = 0").join(seen, "term", "left_semi")
-    protected = numbers.where("shape = 1").join(innocent, "term", "left_anti")
+    rows = candidates(lines, blocks, name_parts)
+    known = term_disclosure(rows)
     keep = ["doc_id", "page_no", "line_id", "start", "stop", "pii_type"]
-    return rows.where("shape = 2").select(keep).unionByName(ambiguous.select(keep)).unionByName(protected.select(keep)).distinct()
+    # the items of a term meet in one small row for each distinct list of terms, so a hot term is no hot key of items
+    asked = rows.where("shape = 0").select("pii_type", F.coalesce("terms", F.array().cast("array<string>")).alias("terms"))
+    asked = asked.distinct().select("pii_type", "terms", F.posexplode_outer("terms").alias("k", "term"))
+    judged = asked.join(known.select("pii_type", "term", "share"), ["pii_type", "term"], "left")
+    judged = judged.groupBy("pii_type", "terms").agg(F.min_by("share", F.when(F.col("share").isNotNull(), F.col("k"))).alias("share"))
+    base = known.select("pii_type", "base").distinct()
+    judged = judged.join(base, "pii_type", "left").where(F.coalesce("share", "base", F.lit(0.0)) >= DISCLOSURE).select("pii_type", "terms")
+    ambiguous = rows.where("shape = 0").withColumn("terms", F.coalesce("terms", F.array().cast("array<string>"))).join(judged, ["pii_type", "terms"], "left_semi")
+    return rows.where("shape > 0").select(keep).unionByName(ambiguous.select(keep)).distinct()
 
 
 def find_pii(lines: DataFrame, blocks: DataFrame, name_parts: DataFrame) -> DataFrame:

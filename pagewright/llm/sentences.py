@@ -5,8 +5,11 @@ lattice; a node is an end unless the word before it is an abbreviation, an initi
 date, or what follows shows that the sentence goes on. Nodes inside a quotation count only when the
 quotation itself ends a sentence.
 
-Spaceless scripts: a gap is classified by the word before it and the word behind it, which a
-longest-path search over a small word lattice (final particles, predicates, openers) provides.
+Spaceless scripts: the text between marks is segmented by the best path through a lattice of words that
+are counted from the corpus (wordlattice). A gap between two words is then classified by what stands in it
+(a terminator, one with closers, a blank, nothing) and by its words: how much more often than others the
+one before it ends, and the one behind it opens a sentence. So a particle behind a closing quotation mark
+carries the sentence on, and a final word before an opening one ends it without any mark.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from pyspark.sql import DataFrame
 
 from . import common
 from .lookalike import unify
+from .wordlattice import CJK, Lattice, fit
 
 # --- fixed values -----------------------------------------------------------------------------
 #: Abbreviations (lower case, without the last period) after which a sentence goes on.
@@ -35,14 +39,13 @@ FINAL_ABBREVIATIONS = frozenset("etc usw p.m a.m al ff uam др проч".split(
 MONTHS = frozenset("januar jänner februar märz april mai juni juli august september oktober november dezember".split())
 SPEECH_ZH = ("问道", "说道", "写道", "喊道", "答道", "问", "说", "写着")
 #: Words that carry a sentence on behind a closing quotation mark.
-GO_ON_JA = ("と", "って", "という", "とは", "の", "を", "が", "は", "に", "、")
 GO_ON_KO = ("라고", "이라고", "고 ", "하고", "라는", "라며", "는 ", "은 ")
-#: Final particles and predicate ends, and words that open a clause, of the spaceless scripts.
-FINALS = ("了", "吗", "呢", "吧", "啊", "过", "た", "だ", "です", "ます", "ました", "ません", "ください", "か", "ね", "よ", "る", "い")
-OPENERS = ("昨天", "今天", "本周", "第二次", "夜里", "月底", "会议之前", "换班之后", "搬迁以后", "检查期间", "请", "标签", "联系人", "包裹", "身份证", "ページ", "製本機", "担当", "荷物", "身分証", "箱", "新しい", "古い", "二つ目", "左の")
 # ----------------------------------------------------------------------------------------------
 
-CJK = "々〇぀-ヿㇰ-ㇿ㐀-䶿一-鿿豈-﫿ｦ-ﾟ"
+#: What a gap of a spaceless script is worth before its words are looked at, by what stands in it: a full terminator, an ASCII one,
+#: a terminator with closers behind it, a blank, nothing (asked only where a block has no terminator at all), and speech that goes on.
+FULL, ASCII_MARK, CLOSED, BLANK, BARE, SPEECH = 10.5, 9.0, 3.0, -6.0, -8.5, -8.0
+
 _CJK = re.compile(f"[{CJK}]")
 _HANGUL = re.compile("[가-힣]")
 _NODE = re.compile("[.!?…]+(?:[”“\"»’'\\)\\]]|[   \n]»)*(?=\\s)")
@@ -54,15 +57,6 @@ _INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 _OPEN_ONLY = re.compile("^\\s*[(\\[]?(?:\\d{1,3}|[A-Za-z]|[ivxIVX]{1,5})[.)]$")
 
 
-def _word_lattice(text: str, words: tuple[str, ...], backwards: bool) -> str:
-    """The longest word of the lattice's edge at the gap, or ''."""
-    best = ""
-    for w in words:
-        if len(w) > len(best) and (text.endswith(w) if backwards else text.startswith(w)):
-            best = w
-    return best
-
-
 def _spaced_end(text: str, start: int, end: int, span: tuple[int, int] | None) -> bool:
     rest = text[end : end + 40]
     tail = rest[_LEAD.match(rest).end() :]
@@ -107,52 +101,93 @@ def _spaced_end(text: str, start: int, end: int, span: tuple[int, int] | None) -
     return True
 
 
-def _spaceless_end(text: str, end: int, cluster: str) -> bool:
-    rest = text[end : end + 80].lstrip("\n ")
-    if not rest:
-        return True
-    if rest[0] in "，、,；;：:）)":
-        return False
-    if cluster[-1] in "”」』\"»":
-        if _word_lattice(rest, GO_ON_JA, False) and re.search("[ぁ-ヿ]", text):
-            return _word_lattice(rest, OPENERS, False) != ""
-        clause = re.split("[。！？，!?,]", rest.replace("\n", ""), maxsplit=1)[0]
-        if clause.endswith(SPEECH_ZH) or (rest[0] in "的是字" and not _word_lattice(rest, OPENERS, False)):
-            return False
-    return True
-
-
-def _silent_gaps(text: str) -> Iterator[int]:
-    """Ends without a terminator in spaceless text: a blank between a final particle and an opener."""
-    for m in re.finditer(f"(?<=[{CJK}])[ 　]+(?=[{CJK}])", text):
-        left, right = text[max(0, m.start() - 6) : m.start()], text[m.end() : m.end() + 8].replace("\n", "")
-        if _word_lattice(left, FINALS, True) and _word_lattice(right, OPENERS, False):
-            yield m.start()
-
-
-def sentence_ends(text: str) -> list[int]:
+_CLOSERS = "”」』\"»"
+_RUN_BEHIND = re.compile(f"[\\s“「『（(]*([{CJK}]+)")
+_CLAUSE_END = re.compile("[。！？，!?,]")
+
+
+def _words_at(flat: str, start: int, end: int, lattice: Lattice) -> tuple[str, str]:
+    """The word before start and the one behind end, on the best path of their clauses; '' for none."""
+    left = right = ""
+    k = start
+    while k and _CJK.match(flat[k - 1]):
+        k -= 1
+    if k < start:
+        ends = lattice.segment(flat[k:start])
+        left = flat[k + (ends[-2] if len(ends) > 1 else 0) : start]
+    m = _RUN_BEHIND.match(flat, end)
+    if m:
+        right = m.group(1)[: lattice.segment(m.group(1))[0]]
+    return left, right
+
+
+def _spaceless_ends(text: str, lattice: Lattice) -> list[tuple[int, int, bool]]:
+    """(start of the terminator, end, whether it is one) of the gaps of spaceless text that end a sentence."""
+    at = [i for i, c in enumerate(text) if c != "\n"]
+    flat = "".join(text[i] for i in at)
+    flat_at = {p: i for i, p in enumerate(at)}
+
+    def place(p: int) -> int:
+        while p < len(text) and text[p] == "\n":
+            p += 1
+        return flat_at.get(p, len(flat))
+
+    out = []
+    nodes = [(m.start(), m.end()) for m in _NODE_CJK.finditer(text)]
+    for s, e in nodes:
+        rest = text[e:].lstrip("\n ")
+        if rest and rest[0] in "，、,；;：:）)":
+            continue
+        a, b = place(s), place(e)
+        worth = FULL if text[s] in "。！？｡" else ASCII_MARK
+        if text[e - 1] in _CLOSERS:
+            clause = _CLAUSE_END.split(flat[b : b + 200], maxsplit=1)[0]
+            worth = CLOSED + (SPEECH if clause.endswith(SPEECH_ZH) else 0.0)
+        if rest and lattice:
+            left, right = _words_at(flat, a, b, lattice)
+            worth += (lattice.score(left, 0) if worth > CLOSED else 0.0) + (0.0 if rest[0] in "“「『" else lattice.score(right, 1))  # a quotation opens a sentence whatever its first word
+        if worth > 0:
+            out.append((s, e, True))
+    if lattice and not nodes:
+        for m in re.finditer(f"[{CJK}]+", flat):
+            ends = lattice.segment(m.group())
+            words = [m.group()[a:b] for a, b in zip([0, *ends], ends)]
+            for w, nxt, e in zip(words, words[1:], ends):
+                if BARE + lattice.score(w, 0) + lattice.score(nxt, 1) > 0:
+                    p = at[m.start() + e - 1] + 1
+                    out.append((p, p, False))
+    if lattice and " " in text or "　" in text:
+        for m in re.finditer(f"(?<=[{CJK}])[ 　]+(?=[{CJK}])", text):
+            left, right = _words_at(flat, place(m.start()), place(m.end()), lattice)
+            if BLANK + lattice.score(left, 0) + lattice.score(right, 1) > 0:
+                out.append((m.start(), m.start(), False))
+    return sorted(set(out))
+
+
+NO_WORDS = Lattice({})
+
+
+def sentence_ends(text: str, lattice: Lattice = NO_WORDS) -> list[int]:
     """Offsets behind the last character of every sentence but the last of a block's lines, joined by line feeds."""
-    hits = re.search("[.!?…。！？｡．]", text)
-    if not hits:
-        return []
-    cjk = len(_CJK.findall(text))
+    cjk = len(_CJK.findall(text)) if not text.isascii() else 0
     spaceless = cjk * 4 > len(text) and not (len(_HANGUL.findall(text)) > cjk)
+    if not spaceless and not re.search("[.!?…。！？｡．]", text):
+        return []
     spans = [(m.start(), m.end()) for m in _QUOTE.finditer(text)] if re.search("[“„«「『\"]", text) else []
     ends: list[tuple[int, tuple[int, int] | None]] = []
     k = 0
-    for m in (_NODE_CJK if spaceless else _NODE).finditer(text):
-        s, e = m.span()
+    if spaceless:
+        found = _spaceless_ends(text, lattice)
+    else:
+        found = [(m.start(), m.end(), True) for m in _NODE.finditer(text)]
+    for s, e, _ in found:
         while k < len(spans) and spans[k][1] <= s:
             k += 1
         span = spans[k] if k < len(spans) and spans[k][0] < s < spans[k][1] else None
         if span and e > span[1]:  # closers that belong to nothing: an opening mark stuck to the end
             e = span[1]
-        ok = _spaceless_end(text, e, m.group()) if spaceless else _spaced_end(text, s, e, span)
-        if ok:
+        if spaceless or _spaced_end(text, s, e, span):
             ends.append((e, span))
-    if spaceless and " " in text:
-        ends += [(e, None) for e in _silent_gaps(text)]
-        ends.sort(key=lambda x: x[0])
     accepted = {e for e, _ in ends}
     return [e for e, span in ends if span is None or e >= span[1] or span[1] in accepted]
 
@@ -160,28 +195,36 @@ def sentence_ends(text: str) -> list[int]:
 _UNIT = re.compile("^\\s*(?:[•◦▪‣·●○■□–—*-]\\s|\\(?\\d{1,3}[.)]\\s|\\(?[a-zA-Zivx]{1,4}\\)\\s)|\t|[^\\s.]  +\\S|[<✉]|^(?:E-?mail|Tel|ID|Lot|Ref|Order|No)\\b")
 
 
-def page_sentences(doc: int, page: int, lines: dict[int, str], blocks: list) -> Iterator[tuple]:
-    for _, kind, ids in blocks:
-        if kind != "Paragraph":
-            continue
-        own = [(i, lines[i]) for i in dict.fromkeys(ids) if i is not None and lines.get(i)]
-        if not own:
-            continue
-        text = "\n".join(t for _, t in own)
-        if len(own) == 1 and (_UNIT.search(text) or sum(map(str.isalpha, text)) * 2 < len(text)):
-            yield doc, page, own[0][0], len(text)
-            continue
-        k, base, last = 0, 0, own[-1]
-        total = len(text)
-        for e in sentence_ends(text):
-            if e >= total or not text[e:].strip():
-                break
-            while e > base + len(own[k][1]):
-                base += len(own[k][1]) + 1
-                k += 1
-            if e > base:
-                yield doc, page, own[k][0], e - base
-        yield doc, page, last[0], len(last[1])
+def page_sentences(words):
+    """Rows of a page, with the words of a broadcast dictionary (None: without)."""
+    state: list[Lattice] = []
+
+    def page(doc: int, page_no: int, lines: dict[int, str], blocks: list) -> Iterator[tuple]:
+        if not state:
+            state.append(Lattice(words.value) if words is not None else NO_WORDS)
+        for _, kind, ids in blocks:
+            if kind != "Paragraph":
+                continue
+            own = [(i, lines[i]) for i in dict.fromkeys(ids) if i is not None and lines.get(i)]
+            if not own:
+                continue
+            text = "\n".join(t for _, t in own)
+            if len(own) == 1 and (_UNIT.search(text) or sum(map(str.isalpha, text)) * 2 < len(text)):
+                yield doc, page_no, own[0][0], len(text)
+                continue
+            k, base, last = 0, 0, own[-1]
+            total = len(text)
+            for e in sentence_ends(text, state[0]):
+                if e >= total or not text[e:].strip():
+                    break
+                while e > base + len(own[k][1]):
+                    base += len(own[k][1]) + 1
+                    k += 1
+                if e > base:
+                    yield doc, page_no, own[k][0], e - base
+            yield doc, page_no, last[0], len(last[1])
+
+    return page
 
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("page_no", pa.int32()), ("line_id", pa.int32()), ("end_pos", pa.int32())])
@@ -193,5 +236,6 @@ def find_sentence_ends(lines: DataFrame, blocks: DataFrame) -> DataFrame:
     Repeated rows count once. A block without any line that has a text yields nothing; lines that are
     missing, null or empty are skipped; empty tables give an empty result. Extra columns are ignored.
     """
+    words = lines.sparkSession.sparkContext.broadcast(fit(lines))
     rows = common.page_rows(lines, blocks, "kind = 'Paragraph'")
-    return rows.mapInArrow(common.page_kernel(page_sentences, _SCHEMA), "doc_id bigint, page_no int, line_id int, end_pos int")
+    return rows.mapInArrow(common.page_kernel(page_sentences(words), _SCHEMA), "doc_id bigint, page_no int, line_id int, end_pos int")
