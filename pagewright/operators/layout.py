@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geometry import upper_median
+from ..functions.text import flow, trimmed
 
 PAGE = ("doc_id", "page_no")
 ORDER = ("t", "l", "line_id")
@@ -30,6 +31,22 @@ def body_font_size(lines: DataFrame) -> DataFrame:
     return by.groupBy(*PAGE).agg(F.max_by("half_pt", F.struct(F.col("w"), (-F.col("first")).alias("f"))).alias("half_pt"), F.max("w").alias("weight"))
 
 
+def size_anchors(lines: DataFrame) -> DataFrame:
+    """Sizes snapped to the frequent ones of their page: by text, a half-point size is an anchor unless it is within 9 % of a kept one; a line within 9 % of its nearest anchor takes that.
+
+    Which sizes are kept depends on those kept before, so this is a fold over the page's few sizes.
+    """
+    size = F.coalesce(F.col("size_pt").cast("double"), F.lit(11.0))
+    own = lines.select(*PAGE, "line_id", size.alias("size"), F.length(F.coalesce("text", F.lit(""))).alias("n"))
+    by = own.groupBy(*PAGE, (F.bround(F.col("size") * 2, 0) / 2).alias("half")).agg(F.sum("n").alias("w"), F.min("line_id").alias("first"))
+    order = F.array_sort(F.collect_list(F.struct((-F.col("w")).alias("w"), "first", "half")))
+    near = lambda a, s: F.abs(a - s) / a <= 0.09
+    kept = F.aggregate(order, F.array().cast("array<double>"), lambda acc, x: F.when(F.exists(acc, lambda a: near(a, x["half"])), acc).otherwise(F.concat(acc, F.array(x["half"]))))
+    pages = by.groupBy(*PAGE).agg(kept.alias("anchors"))
+    best = F.array_min(F.transform("anchors", lambda a, i: F.struct(F.abs(a - F.col("size")).alias("d"), i.alias("i"), a.alias("a"))))["a"]
+    return own.join(pages, list(PAGE)).select(*PAGE, "line_id", F.when(near(best, F.col("size")), best).otherwise(F.col("size")).alias("size"))
+
+
 def bounding_box(rows: DataFrame, *key: str) -> DataFrame:
     return rows.groupBy(*key).agg(F.min("l").alias("l"), F.min("t").alias("t"), F.max("r").alias("r"), F.max("b").alias("b"))
 
@@ -120,16 +137,41 @@ def renumber(lines: DataFrame) -> DataFrame:
 
 def block_lines(lines: DataFrame, blocks: DataFrame) -> DataFrame:
     """Lines of each block in the block's order."""
-    own = blocks.select(*PAGE, "block_no", "kind", F.posexplode("line_ids").alias("pos", "line_id"))
+    own = blocks.select(*PAGE, "block_no", "kind", "list_marker", F.posexplode("line_ids").alias("pos", "line_id"))
     return own.join(lines, [*PAGE, "line_id"])
 
 
+def block_features(lines: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Of each block with lines: rows, text, size of its longest line (the first of equals), bold by most letters."""
+    own = block_lines(lines, blocks)
+    n = F.length(F.coalesce("text", F.lit("")))
+    agg = own.groupBy(*PAGE, "block_no", "kind").agg(
+        F.count("*").alias("rows"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]), "\n").alias("raw"),
+        F.max_by(F.coalesce("size_pt", F.lit(11.0)), F.struct(n.alias("n"), (-F.col("pos")).alias("p"))).cast("double").alias("size"),
+        (F.sum(F.when(F.col("bold"), n).otherwise(0)) * 2 > F.sum(n)).alias("bold"),
+    )
+    return agg.withColumn("text", flow(F.col("raw"))).drop("raw")
+
+
 def heading_levels(lines: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Level of each heading by the rank of its rounded size, 1 to 3; none where headings are over 60 % of more than 4 blocks."""
-    sizes = block_lines(lines, blocks.where("kind = 'Heading'")).groupBy(*PAGE, "block_no").agg(F.max("size_pt").cast("double").alias("size"))
-    counts = blocks.groupBy(*PAGE).agg(F.count("*").alias("n"), F.count_if(F.col("kind") == "Heading").alias("k"))
-    ranked = sizes.where("size is not null").withColumn("rank", F.dense_rank().over(_page(F.bround("size", 0).desc())))
-    return ranked.join(counts, list(PAGE)).where("not (n > 4 and k * 10 > n * 6)").select(*PAGE, "block_no", F.least(F.lit(3), F.col("rank")).alias("level"))
+    """Which blocks are headings, and of which level 1 to 3: large ones, or bold ones of one short line; none where most blocks would be.
+
+    Looked for among paragraphs, given headings and ordered list items of one line; the body size is that of most letters of the page's blocks.
+    """
+    feats = block_features(lines, blocks.where("kind not in ('Table', 'Figure')")).join(blocks.select(*PAGE, "block_no", F.coalesce("ordered_list", F.lit(False)).alias("ordered")), [*PAGE, "block_no"])
+    body = body_font_size(block_lines(lines, blocks.where("kind not in ('Table', 'Figure')")).withColumn("size_pt", F.coalesce("size_pt", F.lit(11.0)))).select(*PAGE, (F.col("half_pt") / 2).alias("body"))
+    own = feats.where("kind in ('Paragraph', 'Heading') or (kind = 'ListItem' and ordered and rows = 1)").join(body, list(PAGE))
+    large = F.col("size") >= F.col("body") * 1.18
+    short = F.col("bold") & (F.col("rows") == 1) & (F.col("size") >= F.col("body") * 0.95) & (F.size(F.split("text", " ")) <= 12) & ~F.endswith(trimmed(F.col("text")), F.lit("."))
+    fits = F.length("text").between(1, 160) & (F.col("rows") <= 3)
+    own = own.withColumn("candidate", fits & (large | short) & ((F.col("kind") != "ListItem") | large | F.col("bold"))).withColumn("r", F.bround("size", 0))
+    page = W.partitionBy(*PAGE)
+    own = own.withColumn("n", F.count("*").over(page)).withColumn("k", F.count_if("candidate").over(page))
+    found = own.where("candidate and not (n > 4 and k * 10 > n * 6)")
+    above = F.size(F.collect_set(F.when(F.col("r") >= F.col("body") * 1.18, F.col("r"))).over(page))
+    ranked = found.withColumn("rank", F.dense_rank().over(_page(F.col("r").desc()))).withColumn("above", above)
+    level = F.when(F.col("size") < F.col("body") * 1.18, F.greatest(F.col("rank"), F.least(F.lit(3), F.col("above") + 1))).otherwise(F.col("rank"))
+    return ranked.select(*PAGE, "block_no", F.least(F.lit(3), level).alias("level"))
 
 
 def bold_majority(lines: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -142,12 +184,28 @@ def bold_majority(lines: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def align(lines: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Spread of left edges, right edges and centres of blocks of several lines, and the alignment that the least spread shows."""
-    own = block_lines(lines, blocks).groupBy(*PAGE, "block_no").agg(
-        F.count("*").alias("n"), (F.max("l") - F.min("l")).alias("left_spread"), (F.max("r") - F.min("r")).alias("right_spread"), (F.max(F.col("l") + F.col("r")) - F.min(F.col("l") + F.col("r"))).alias("center2")
-    ).where("n > 1")
-    kind = F.when((F.col("left_spread") <= 6) & (F.col("right_spread") <= 6), "Justify").when(F.col("left_spread") <= 6, "Left").when(F.col("right_spread") <= 6, "Right").when(F.col("center2") <= 12, "Center").otherwise("Left")
-    return own.select(*PAGE, "block_no", "left_spread", "right_spread", "center2", kind.alias("align"))
+    """Alignment of each text block with its spreads: by the margins of its column for one line, else by the spread of left edges (but the first), right edges (but the last) and centres, in line heights."""
+    column = W.partitionBy(*PAGE, "section_no", "column_no")
+    cols = blocks.select(*PAGE, "block_no", "kind", "line_ids", F.min("l").over(column).alias("cl"), F.max("r").over(column).alias("cr"))
+    own = cols.where("kind not in ('Table', 'Figure')").select(*PAGE, "block_no", "kind", "cl", "cr", F.posexplode("line_ids").alias("pos", "line_id")).join(lines, [*PAGE, "line_id"])
+    agg = own.groupBy(*PAGE, "block_no", "kind", "cl", "cr").agg(F.array_sort(F.collect_list(F.struct("pos", "l", "r", "t", "b"))).alias("x"))
+    n = F.size("x")
+    values = lambda a, f: F.transform(a, lambda v: f(v))
+    spread = lambda a: F.when(F.size(a) > 1, F.array_max(a) - F.array_min(a)).otherwise(0.0)
+    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v) / F.size(a)
+    lefts, rights = values(F.slice("x", 2, F.greatest(n - 1, F.lit(0))), lambda v: v["l"]), values(F.slice("x", 1, n - 1), lambda v: v["r"])
+    agg = agg.select(
+        *PAGE, "block_no", "kind", "cl", "cr", n.alias("n"), spread(lefts).alias("left_spread"), spread(rights).alias("right_spread"), spread(values(F.col("x"), lambda v: v["l"] + (v["r"] - v["l"]) / 2)).alias("center_spread"),
+        mean(values(F.col("x"), lambda v: v["b"] - v["t"])).alias("h"), F.when(n > 1, mean(rights)).alias("right"), (F.col("x")[0]["l"] - F.col("cl")).alias("lm"), (F.col("cr") - F.col("x")[0]["r"]).alias("rm"), F.greatest(F.lit(1.0), F.col("cr") - F.col("cl")).alias("w"),
+    )
+    single = F.when((F.col("lm") > F.col("w") * 0.1) & (F.abs(F.col("lm") - F.col("rm")) < F.greatest(F.col("w") * 0.06, "h")), "Center").when((F.col("lm") > F.col("w") * 0.3) & (F.col("rm") < F.greatest(F.col("w") * 0.03, F.col("h") * 0.5)), "Right").otherwise("Left")
+    several = (
+        F.when((F.col("center_spread") < F.col("h") * 0.8) & (F.col("left_spread") > F.col("h") * 1.2), "Center")
+        .when((F.col("right_spread") < F.col("h") * 0.5) & (F.col("left_spread") > F.col("h") * 1.5), "Right")
+        .when((F.col("right_spread") < F.col("h") * 0.6) & (F.col("n") >= 3) & (F.col("right") > F.col("cr") - F.col("h") * 1.5), "Justify").otherwise("Left")
+    )
+    kind = F.when(F.col("kind") == "ListItem", "Left").when(F.col("n") == 1, single).otherwise(several)
+    return agg.select(*PAGE, "block_no", "left_spread", "right_spread", "center_spread", kind.alias("align"))
 
 
 def list_runs(blocks: DataFrame) -> DataFrame:

@@ -56,25 +56,12 @@ def mean_confidence(spark, d):
 
 @_query
 def confidence_filter(spark, d):
-    kept = S.lines(spark, d).where("text rlike '\\\\S' and confidence >= 0.5 and confidence <= 1")
-    return layout.renumber(kept)
-
-
-@_query
-def uncertain_lines(spark, d):
-    rows = S.lines(spark, d).where("not edited and confidence < 0.75")
-    return rows.groupBy("doc_id").agg(F.count("*").alias("uncertain"))
-
-
-@_query
-def confidence_filter_scaled(spark, d):
-    """confidence_filter with confidences on the 0-100 scale read as such."""
+    """Lines with a text and a confidence of at least 0.5, numbered anew; confidences above 1 are on the 0-100 scale."""
     return layout.renumber(S.lines(spark, d).where("text rlike '\\\\S' and (confidence between 0.5 and 1 or confidence >= 50)"))
 
 
 @_query
-def uncertain_lines_scaled(spark, d):
-    """uncertain_lines with confidences on the 0-100 scale read as such."""
+def uncertain_lines(spark, d):
     rows = S.lines(spark, d).where("not edited and (confidence < 0.75 or confidence > 1 and confidence < 75)")
     return rows.groupBy("doc_id").agg(F.count("*").alias("uncertain"))
 
@@ -185,16 +172,16 @@ def rule_intersections(spark, d):
     return joins.rule_intersections(joins.rules(S.blocks(spark, d).where("kind in ('Table', 'Figure')")))
 
 
-@_query
-def flow_text(spark, d):
-    own = layout.block_lines(S.lines(spark, d), _kind(spark, d, "Paragraph"))
-    return export.block_text(own).select("doc_id", "page_no", "block_no", "text")
-
-
 def _texts(spark, d) -> DataFrame:
     return export.block_text(layout.block_lines(S.lines(spark, d), S.blocks(spark, d)))
 
 
+@_query
+def flow_text(spark, d):
+    own = layout.block_lines(S.lines(spark, d), S.blocks(spark, d).where("kind in ('Paragraph', 'Heading', 'ListItem')"))
+    return export.block_text(own).select("doc_id", "page_no", "block_no", F.col("flow").alias("text"))
+
+
 @_query
 def page_plain_text(spark, d):
     return export.page_text(_texts(spark, d))
@@ -205,6 +192,12 @@ def document_text_parts(spark, d):
     return export.document_text(export.page_text(_texts(spark, d)))
 
 
+@_query
+def copied_text(spark, d):
+    """Text of a file's pages for the clipboard, as parts in order."""
+    return export.page_text(_texts(spark, d)).select("doc_id", "page_no", F.concat("text", F.lit("\n")).alias("part"))
+
+
 @_query
 def html_blocks(spark, d):
     levels = S.blocks(spark, d).select("doc_id", "page_no", "block_no", "heading_level")
@@ -213,32 +206,31 @@ def html_blocks(spark, d):
 
 @_query
 def layout_dump(spark, d):
-    own = _texts(spark, d)
-    return own.select("doc_id", "page_no", "block_no", F.concat(F.lit("["), "kind", F.lit("] "), F.left("text", F.lit(60))).alias("line"))
-
-
-@_query
-def layout_dump_full(spark, d):
-    """Each block with kind, heading level, column, align and box, and its whole text; figures have none. Styles and table sizes are not in layout_blocks."""
-    key = ["doc_id", "page_no", "block_no"]
-    own = S.once(S.read(spark, d, "layout_blocks").where("bounds is not null"), key, ["kind", "space_before"])
-    box = [F.bround(x.cast("double"), 0).cast("bigint").cast("string") for x in (F.col("bounds.l"), F.col("bounds.t"), F.col("bounds.r").cast("double") - F.col("bounds.l").cast("double"), F.col("bounds.b").cast("double") - F.col("bounds.t").cast("double"))]
-    level = F.when(F.col("kind") == "Heading", F.coalesce(F.col("heading_level").cast("string"), F.lit(""))).otherwise("")
-    head = F.concat(F.lit("["), "kind", level, F.lit(" c"), F.coalesce(F.col("column_no").cast("string"), F.lit("")), F.lit(" "), F.coalesce("align", F.lit("")), F.lit(" @"), box[0], F.lit(","), box[1], F.lit(" "), box[2], F.lit("x"), box[3], F.lit("]"))
-    gap = F.when(F.col("kind") == "Table", "\n").otherwise(" ")
-    rows = own.select(*key, "kind", head.alias("head")).join(_texts(spark, d).select(*key, "text"), key, "left")
-    return rows.select(*key, F.when((F.col("kind") == "Figure") | F.col("text").isNull(), F.col("head")).otherwise(F.concat("head", gap, "text")).alias("line"))
+    """Listing of pages, sections and blocks, with whole texts. section_no and block_no are -1 in rows of a page or section. Styles and tables' sizes are not in layout_blocks."""
+    key = ["doc_id", "page_no"]
+    own = S.blocks(spark, d)
+    n = lambda c: F.bround(c.cast("double"), 0).cast("bigint").cast("string")
+    empty = F.lit("")
+    level = F.when(F.col("kind") == "Heading", F.coalesce(F.col("heading_level").cast("string"), empty)).otherwise(empty)
+    head = F.concat(F.lit("["), "kind", level, F.lit(" c"), F.coalesce(F.col("column_no").cast("string"), empty), F.lit(" "), F.coalesce("align", empty), F.lit(" @"), n(F.col("l")), F.lit(","), n(F.col("t")), F.lit(" "), n(F.col("r") - F.col("l")), F.lit("x"), n(F.col("b") - F.col("t")), F.lit("]"))
+    rows = own.select(*key, "section_no", "block_no", "kind", head.alias("head")).join(_texts(spark, d).select(*key, "block_no", "text", "flow"), [*key, "block_no"], "left")
+    shown = F.when((F.col("kind") == "Figure") | F.col("text").isNull(), F.col("head")).when(F.col("kind") == "Table", F.concat("head", F.lit("\n"), "text")).otherwise(F.concat("head", F.lit(" "), "flow"))
+    blocks = rows.select(*key, "section_no", "block_no", shown.alias("line"))
+    section = own.groupBy(*key, "section_no").agg((F.max("column_no") + 1).alias("cols"), F.min("t").alias("t"), F.max("b").alias("b"), F.count("*").alias("n"))
+    sections = section.select(*key, "section_no", F.lit(-1).alias("block_no"), F.concat(F.lit("--- section cols="), F.col("cols").cast("string"), F.lit(" y="), n(F.col("t")), F.lit("-"), n(F.col("b"))).alias("line"))
+    counts = section.groupBy(*key).agg(F.sum("n").alias("blocks"), F.count("*").alias("sections"))
+    pages = S.pages(spark, d).join(counts, key, "left")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), empty)
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("string")
+    title = F.concat(F.lit("=== "), text("page_label"), F.lit("  "), text("width"), F.lit("x"), text("height"), F.lit(" @"), n(F.coalesce(F.col("dpi").cast("double"), F.lit(96.0))), F.lit("dpi  blocks="), zero("blocks"), F.lit(" sections="), zero("sections"))
+    return pages.select(*key, F.lit(-1).alias("section_no"), F.lit(-1).alias("block_no"), title.alias("line")).unionByName(sections).unionByName(blocks)
 
 
 @_query
 def table_to_text(spark, d):
-    nation, region = S.read(spark, d, "nation"), S.read(spark, d, "region")
-    cells = nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey)
-    from pyspark.sql import Window as W
-
-    cells = cells.select(F.lit(0).alias("table_no"), F.col("n_regionkey").alias("row"), F.row_number().over(W.partitionBy("n_regionkey").orderBy("n_nationkey")).alias("col"), F.col("n_name").alias("text"))
-    heads = region.select(F.lit(0).alias("table_no"), F.col("r_regionkey").alias("row"), F.lit(0).alias("col"), F.col("r_name").alias("text"))
-    return export.grid_text(cells.unionByName(heads))
+    """Table blocks as text: their lines are rows, cells end at tabs and double blanks."""
+    own = layout.block_lines(S.lines(spark, d), _kind(spark, d, "Table")).where("text is not null")
+    return export.grid_text(export.split_cells(own))
 
 
 @_query
@@ -252,13 +244,9 @@ def parse_numbers(spark, d):
 
 @_query
 def column_names(spark, d):
-    n = S.read(spark, d, "part").select(F.col("p_partkey").cast("int").alias("i")).where("i <= 18278")
-    return n.select("i", F.when(F.col("i") == 0, "@").otherwise(T.column_name(F.col("i"))).alias("name"))  # the SQL names 0, which is no column, so
-
-
-@_query
-def column_names_all(spark, d):
-    return S.read(spark, d, "part").select(F.col("p_partkey").cast("bigint").alias("i")).select("i", T.column_name(F.col("i")).alias("name"))
+    i = S.read(spark, d, "part").select(F.col("p_partkey").cast("bigint").alias("i"))
+    name = T.column_name(F.col("i"))
+    return i.select("i", name.alias("name"), T.column_index(name).alias("back"), T.cell_reference(F.col("i"), F.col("i") + 1).alias("ref"))
 
 
 @_query
@@ -293,7 +281,7 @@ def effective_dpi(spark, d):
 @_query
 def page_units(spark, d):
     """Boxes of blocks in points, twips and English metric units."""
-    pages = S.pages(spark, d).where("dpi is not null").select("doc_id", "page_no", F.col("dpi").cast("double").alias("dpi"))
+    pages = S.pages(spark, d).select("doc_id", "page_no", F.coalesce(F.col("dpi").cast("double"), F.lit(96.0)).alias("dpi"))
     own = S.blocks(spark, d).join(pages, ["doc_id", "page_no"])
     w, dpi = F.col("r") - F.col("l"), F.col("dpi")
     return own.select("doc_id", "page_no", "block_no", F.round(G.px_to_pt(w, dpi), 6).alias("width_pt"), G.twips(w, dpi).alias("width_twips"), G.emu(w, dpi).alias("width_emu"))
@@ -312,7 +300,7 @@ def language_lookup(spark, d):
     models = S.read(spark, d, "language_models")
     names = models.select("lang", "rec_model", F.explode(F.array("lang", "ocr_language", "display_name", "culture")).alias("label")).withColumn("label", F.lower("label")).distinct()
     opts = S.read(spark, d, "export_options").select("doc_id", "ocr_language").distinct().withColumn("label", F.lower(F.trim("ocr_language")))
-    joined = opts.join(F.broadcast(names), "label", "left")
+    joined = opts.join(names, "label", "left")
     return joined.select("doc_id", "ocr_language", F.coalesce("lang", F.lit("en")).alias("lang"), F.col("lang").isNull().alias("fallback"))
 
 
@@ -320,7 +308,8 @@ def language_lookup(spark, d):
 def missing_models(spark, d):
     models = S.read(spark, d, "language_models")
     required = models.select(F.explode(F.array("rec_model", "dictionary", F.lit("det\\det.onnx"), F.lit("cls\\cls.onnx"))).alias("path"))
-    present = models.where("lang in ('en', 'de', 'fr')").select(F.explode(F.array("rec_model", "dictionary")).alias("path")).where("path is not null")
+    used = S.read(spark, d, "history_entries").select(F.lower(F.trim("ocr_language")).alias("lang")).distinct()
+    present = models.join(used, "lang", "left_semi").select(F.explode(F.array("rec_model", "dictionary")).alias("path")).where("path is not null")
     return edits.missing_files(required, present)
 
 
