@@ -43,8 +43,10 @@ GO_ON_KO = ("라고", "이라고", "고 ", "하고", "라는", "라며", "는 ",
 # ----------------------------------------------------------------------------------------------
 
 #: What a gap of a spaceless script is worth before its words are looked at, by what stands in it: a full terminator, an ASCII one,
-#: a terminator with closers behind it, a blank, nothing (asked only where a block has no terminator at all), and speech that goes on.
-FULL, ASCII_MARK, CLOSED, BLANK, BARE, SPEECH = 10.5, 9.0, 3.0, -6.0, -8.5, -8.0
+#: a terminator with closers behind it, and speech that goes on behind it.
+FULL, ASCII_MARK, CLOSED, SPEECH = 10.5, 9.0, 3.0, -8.0
+#: What is added to the odds of any gap where a blank stands, and where nothing does (asked only where a block has no terminator at all).
+BLANK, BARE = 0.0, -1.0
 
 _CJK = re.compile(f"[{CJK}]")
 _HANGUL = re.compile("[가-힣]")
@@ -153,13 +155,13 @@ def _spaceless_ends(text: str, lattice: Lattice) -> list[tuple[int, int, bool]]:
             ends = lattice.segment(m.group())
             words = [m.group()[a:b] for a, b in zip([0, *ends], ends)]
             for w, nxt, e in zip(words, words[1:], ends):
-                if BARE + lattice.score(w, 0) + lattice.score(nxt, 1) > 0:
+                if lattice.odds + BARE + lattice.score(w, 0) + lattice.score(nxt, 1) > 0:
                     p = at[m.start() + e - 1] + 1
                     out.append((p, p, False))
     if lattice and " " in text or "　" in text:
         for m in re.finditer(f"(?<=[{CJK}])[ 　]+(?=[{CJK}])", text):
             left, right = _words_at(flat, place(m.start()), place(m.end()), lattice)
-            if BLANK + lattice.score(left, 0) + lattice.score(right, 1) > 0:
+            if lattice.odds + BLANK + lattice.score(left, 0) + lattice.score(right, 1) > 0:
                 out.append((m.start(), m.start(), False))
     return sorted(set(out))
 

@@ -32,7 +32,7 @@ MOST_SCORE = 5.0
 #: Different runs that a task counts before it hands their pieces on.
 COUNTED = 100_000
 
-_RUN = re.compile(f"(?P<before>[。！？]\n?)?(?P<run>[{CJK}]+)(?P<after>[。！？])?")
+_RUN = re.compile(f"(?P<before>(?<=[。！？])|(?<=[。！？]\n))?(?P<run>[{CJK}]+)(?P<after>(?=[。！？]))?")
 
 
 def pieces(runs: dict[tuple[str, bool, bool], int]) -> dict[str, list[int]]:
@@ -73,7 +73,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(lines: DataFrame) -> dict[str, tuple[float, float, float]]:
-    """word -> (cost, final score, opening score) over all lines."""
+    """word -> (cost, final score, opening score) over all lines; '' has the logarithms of the shares of characters that end and open a sentence."""
     texts = lines.where(F.col("text").rlike(f"[{CJK}]")).select("text")
     found = texts.mapInArrow(_count, "piece string, n bigint, final bigint, opening bigint").groupBy("piece").agg(*[F.sum(c).alias(c) for c in ("n", "final", "opening")])
     found = common.staged(found, "words")
@@ -98,12 +98,14 @@ def scored(counts: dict[str, tuple[int, int, int]], total: tuple[int, int, int])
         return found
 
     score = lambda w, k: max(-MOST_SCORE, min(MOST_SCORE, math.log(rate(w, k) / base[k])))
-    return {w: (-math.log(n / total[0]), score(w, 0), score(w, 1)) for w, (n, _, _) in counts.items()}
+    return {"": (0.0, math.log(base[0]), math.log(base[1]))} | {w: (-math.log(n / total[0]), score(w, 0), score(w, 1)) for w, (n, _, _) in counts.items()}
 
 
 class Lattice:
     def __init__(self, words: dict[str, tuple[float, float, float]]):
         self.words = words
+        #: Logarithm of the odds that any gap between two words ends a sentence.
+        self.odds = words[""][1] if "" in words else -MOST_SCORE
         self.unknown = max((c for c, _, _ in words.values()), default=10.0) + 2.0
         self.memo: dict[str, list[int]] = {}
 
