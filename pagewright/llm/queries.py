@@ -22,6 +22,11 @@ def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redact(table(spark, d, "text_lines"), table(spark, d, "layout_blocks"), table(spark, d, "person_names"))
 
 
+def p2_terms(spark: SparkSession, d: str) -> DataFrame:
+    rows = pii.candidates(table(spark, d, "text_lines"), table(spark, d, "layout_blocks"), table(spark, d, "person_names"))
+    return pii.term_disclosure(rows)
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return scan_noise.find_noise(table(spark, d, "text_lines"), table(spark, d, "layout_blocks"))
 
@@ -35,7 +40,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_languages(spark: SparkSession, d: str) -> DataFrame:
-    return langid.languages(*(table(spark, d, n) for n in ("text_lines", "layout_blocks", "documents")))
+    return langid.languages(*(table(spark, d, n) for n in ("text_lines", "layout_blocks", "language_models", "documents")))
+
+
+def p4_segments(spark: SparkSession, d: str) -> DataFrame:
+    return langid.language_segments(*(table(spark, d, n) for n in ("text_lines", "layout_blocks", "language_models", "documents")))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
