@@ -72,13 +72,21 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_matches(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.find_matches(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return leakage.find_matches(table(spark, d, "documents"), table(spark, d, "eval_items"), spread=None).drop("kind")
+
+
+def p8_near(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.find_matches(table(spark, d, "documents"), table(spark, d, "eval_items")).where("kind = 'near'").drop("kind")
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.find_pairs(table(spark, d, "documents"))
 
 
+def p9_classes(spark: SparkSession, d: str) -> DataFrame:
+    return shared_spans.link_classes(table(spark, d, "documents"))
+
+
 def p9_spans(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.find_spans(table(spark, d, "documents"))
 

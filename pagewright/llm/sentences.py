@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 
 from . import common
 from .lookalike import unify
-from .wordlattice import CJK, Lattice, fit
+from .wordlattice import CJK, MOST_SCORE, Lattice, fit
 
 # --- fixed values -----------------------------------------------------------------------------
 #: Abbreviations (lower case, without the last period) after which a sentence goes on.
@@ -38,7 +38,8 @@ ABBREVIATIONS = frozenset(
 FINAL_ABBREVIATIONS = frozenset("etc usw p.m a.m al ff uam др проч".split())
 MONTHS = frozenset("januar jänner februar märz april mai juni juli august september oktober november dezember".split())
 SPEECH_ZH = ("问道", "说道", "写道", "喊道", "答道", "问", "说", "写着")
-#: Words that carry a sentence on behind a closing quotation mark.
+#: Particles that carry a sentence on behind a closing quotation mark, whatever the corpus has counted.
+PARTICLES = ("と", "って", "という", "とは", "の", "を", "が", "は", "に", "的")
 GO_ON_KO = ("라고", "이라고", "고 ", "하고", "라는", "라며", "는 ", "은 ")
 # ----------------------------------------------------------------------------------------------
 
@@ -145,9 +146,12 @@ def _spaceless_ends(text: str, lattice: Lattice) -> list[tuple[int, int, bool]]:
         if text[e - 1] in _CLOSERS:
             clause = _CLAUSE_END.split(flat[b : b + 200], maxsplit=1)[0]
             worth = CLOSED + (SPEECH if clause.endswith(SPEECH_ZH) else 0.0)
+        right = ""
         if rest and lattice:
             left, right = _words_at(flat, a, b, lattice)
             worth += (lattice.score(left, 0) if worth > CLOSED else 0.0) + (0.0 if rest[0] in "“「『" else lattice.score(right, 1))  # a quotation opens a sentence whatever its first word
+        if worth <= FULL and text[e - 1] in _CLOSERS and (right in PARTICLES if right else rest.startswith(PARTICLES)):
+            worth -= MOST_SCORE
         if worth > 0:
             out.append((s, e, True))
     if lattice and not nodes:

@@ -179,12 +179,33 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _reaches():
-    """Keys of which two surroundings of a node share one if they share SPAN characters: left a characters, right the rest but REACH."""
+    """(at, key) of which two surroundings of a node share one if they share SPAN characters: left at characters, right the rest but REACH."""
     rest = SPAN - (REACH - 1)
-    return F.array(*[
-        F.when((F.length("left") >= a) & (F.length("right") >= rest - a), F.xxhash64("fp", F.lit(a), F.right("left", F.lit(a)) if a else F.lit(""), F.left("right", F.lit(rest - a))))
+    return F.array_compact(F.array(*[
+        F.when((F.length("left") >= a) & (F.length("right") >= rest - a), F.struct(F.lit(a).alias("at"), F.xxhash64("fp", F.lit(a), F.right("left", F.lit(a)) if a else F.lit(""), F.left("right", F.lit(rest - a))).alias("key")))
         for a in range(0, WINDOW, REACH)
-    ])
+    ]))
+
+
+def _fine_reaches():
+    """The same without REACH, for each place that a coarse key at "at" stands for: who shares one shares SPAN characters."""
+    n = lambda i: F.col("at") + i
+    fits = lambda i: (F.length("left") >= n(i)) & (F.length("right") >= SPAN - n(i))
+    key = lambda i: F.struct(n(i).alias("at"), F.xxhash64("fp", n(i), F.right("left", n(i)), F.left("right", SPAN - n(i))).alias("key"))
+    return F.transform(F.filter(F.sequence(F.lit(0), F.lit(REACH - 1)), fits), key)
+
+
+#: Classes of one key from which on they are no longer compared in pairs but by the keys of all SPAN characters.
+HOT = 64
+
+
+def _keyed(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(classes with their coarse keys, those of hot keys with fine keys instead). A hot key, as of a letterhead almost as long as a span, gives no pairs but real ones."""
+    keyed = classes.withColumn("x", F.explode(_reaches())).select("*", "x.at", "x.key").drop("x")
+    hot = keyed.groupBy("key", "fp").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("key", "fp")
+    cold = keyed.join(hot, ["key", "fp"], "left_anti")
+    fine = keyed.join(hot, ["key", "fp"], "left_semi").withColumn("x", F.explode(_fine_reaches())).drop("at", "key").select("*", "x.at", "x.key").drop("x")
+    return cold, fine.dropDuplicates(["class", "at", "key"])
 
 
 def find_pairs(documents: DataFrame) -> DataFrame:
@@ -204,10 +225,12 @@ def find_pairs(documents: DataFrame) -> DataFrame:
     classes = around.groupBy("class").agg(F.first("fp").alias("fp"), F.first("left").alias("left"), F.first("right").alias("right"))
     members = around.select("class", "doc_id", (size >= SPAN).alias("long"))
     # two classes whose equal characters reach SPAN agree on some reach: left a characters, right the rest but REACH
-    keyed = classes.withColumn("key", F.explode(F.array_compact(_reaches())))
-    x, y = keyed.alias("x"), keyed.alias("y")
-    near = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") == F.col("y.fp")) & (F.col("x.class") < F.col("y.class")))
-    near = near.select("x.class", F.col("y.class").alias("other"), "x.left", F.col("y.left").alias("left2"), "x.right", F.col("y.right").alias("right2"))
+    near = None
+    for keyed in _keyed(classes):
+        x, y = keyed.alias("x"), keyed.alias("y")
+        own = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") == F.col("y.fp")) & (F.col("x.class") < F.col("y.class")))
+        own = own.select("x.class", F.col("y.class").alias("other"), "x.left", F.col("y.left").alias("left2"), "x.right", F.col("y.right").alias("right2"))
+        near = own if near is None else near.unionByName(own)
     links = near.mapInArrow(_verify, "a bigint, b bigint").distinct()
     own = members.where("long").select(F.col("class").alias("a"), F.col("class").alias("b")).distinct()
     m = members.select("class", "doc_id")
@@ -285,11 +308,14 @@ def find_spans(documents: DataFrame) -> DataFrame:
     classes = common.staged(classes, "shared_classes")
     # a class of several texts is shared as it stands; one of a single text as far as it agrees with another class
     whole = members.join(classes.where("many").select("class"), "class", "left_semi").select("doc_id", (F.col("pos") - F.col("before")).alias("a"), (F.col("pos") + F.col("after")).alias("b"))
-    keyed = classes.withColumn("key", F.explode(F.array_compact(_reaches())))
+    keyed, fine = _keyed(classes)
     x, y = keyed.where("not many").alias("x"), keyed.alias("y")
     near = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") == F.col("y.fp")) & (F.col("x.class") != F.col("y.class")) & (F.col("y.many") | (F.col("x.doc") != F.col("y.doc"))))
     near = near.select("x.class", "x.left", F.col("y.left").alias("left2"), "x.right", F.col("y.right").alias("right2"))
-    agreed = near.mapInArrow(_agree, "class bigint, before int, after int").distinct()
+    agreed = near.mapInArrow(_agree, "class bigint, before int, after int")
+    group = fine.groupBy("key", "fp").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.bool_or("many").alias("some")).where("lo != hi or some").select("key", "fp")
+    exact = fine.where("not many").join(group, ["key", "fp"], "left_semi").select("class", F.col("at").cast("int").alias("before"), (SPAN - F.col("at")).cast("int").alias("after"))
+    agreed = agreed.unionByName(exact).distinct()
     part = members.select("class", "doc_id", "pos").join(agreed, "class").select("doc_id", (F.col("pos") - F.col("before")).alias("a"), (F.col("pos") + F.col("after")).alias("b"))
     spans = whole.unionByName(part).groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("at"))
     return spans.mapInArrow(_merge, "doc_id bigint, start int, length int")
@@ -301,3 +327,16 @@ def shared_share(documents: DataFrame) -> DataFrame:
     own = documents.where("doc_id is not null").select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n_chars"))
     n = F.coalesce("shared_chars", F.lit(0))
     return own.join(shared, "doc_id", "left").select("doc_id", "n_chars", n.alias("shared_chars"), F.when(F.col("n_chars") > 0, n / F.col("n_chars")).otherwise(0.0).alias("share"))
+
+
+def link_classes(documents: DataFrame) -> DataFrame:
+    """(doc_id, class_id, links): texts that are equal are one class, named by its smallest doc_id; links counts the other classes with a common stretch of SPAN characters.
+
+    Copies aren't expanded into pairs. A null or short text is in a class without links; rows without a doc_id are left out.
+    """
+    own = documents.where("doc_id is not null").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"), "text")
+    heads = common.staged(own.groupBy("h").agg(F.min("doc_id").alias("class_id"), F.first("text").alias("text")), "shared_texts")
+    pairs = find_pairs(heads.select(F.col("class_id").alias("doc_id"), "text"))
+    ends = pairs.select(F.explode(F.array("doc_id_a", "doc_id_b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("links"))
+    members = own.select("doc_id", "h").distinct().join(heads.select("h", "class_id"), "h")
+    return members.join(ends, "class_id", "left").select("doc_id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))

@@ -5,8 +5,10 @@ import re
 from collections import defaultdict
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
-from pagewright.llm import encode, langid, leakage, linekinds, lookalike, pii, quality, scan_noise, sentences, shared_spans
+from pagewright.llm import encode, langid, leakage, linekinds, lookalike, pii, quality, scan_noise, sentences, shared_spans, wordlattice
 from pyspark.sql import functions as F
 
 LINES = "doc_id bigint, page_no int, line_id int, text string, confidence float"
@@ -164,8 +166,16 @@ def test_encoding_equals_the_library(spark):
     assert got == {i: t.encode(x or "", add_special_tokens=False).ids for i, x in enumerate(texts)}
     path = encode.vocabulary_path()
     for x in texts[:5]:
-        assert encode.encode_text(x, path, size=16) == t.encode(x, add_special_tokens=False).ids
-        assert "".join(encode.cut(x, encode.load(path)[1], 16)) == x
+        assert encode.encode_text(x, path) == t.encode(x, add_special_tokens=False).ids
+        parts = encode.cut(x.encode(), encode.load(path)[1])
+        assert b"".join(parts) == x.encode() and (len(x) < 9 or len(parts) > 1)  # short texts are cut as well
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list("ab1 '\n\ts é中😀.-\u3000\u00a0\u2003ll")), max_size=40))
+def test_cuts_change_no_id(text):
+    path = encode.vocabulary_path()
+    assert encode.encode_text(text, path) == encode.load(path)[0].encode_ordinary(text)
 
 
 def test_leaks_equal_brute_force(spark):
@@ -241,3 +251,181 @@ def test_shared_spans_and_share_equal_brute_force(spark):
     got = {r.doc_id: r for r in shared_spans.shared_share(docs).collect()}
     assert {d: (r.n_chars, r.shared_chars) for d, r in got.items()} == share
     assert all(r.share == (r.shared_chars / r.n_chars if r.n_chars else 0) for r in got.values())
+
+
+def spaceless(spark, extra):
+    """A corpus of short Chinese sentences with full stops, and the extra blocks behind it."""
+    known = ["今天上午整理员放回了旧书架。", "昨天下午管理员退回了新清单。", "会议之前值班员检查了灰信封。"]
+    texts = [known[k % 3] + known[(k + 1) % 3] for k in range(60)] + extra
+    lines = [(1, i, 1, t, 0.9) for i, t in enumerate(texts, 1)]
+    return spark.createDataFrame(lines, LINES), spark.createDataFrame([(1, i, 1, "Paragraph", [1]) for i in range(1, len(texts) + 1)], BLOCKS)
+
+
+def test_spaceless_gaps_need_the_lattice(spark):
+    """Sentences without any mark are found by their words; without the dictionary they are not."""
+    silent = ["今天上午整理员放回了旧书架 昨天下午管理员退回了新清单", "会议之前值班员检查了灰信封今天上午整理员放回了旧书架"]
+    lines, blocks = spaceless(spark, silent)
+    rows = lambda df: {tuple(r) for r in df.collect() if r.page_no > 60}
+    ends = [silent[0].index(" "), silent[1].index("今天")]
+    assert rows(sentences.find_sentence_ends(lines, blocks)) == {(1, 61, 1, ends[0]), (1, 61, 1, len(silent[0])), (1, 62, 1, ends[1]), (1, 62, 1, len(silent[1]))}
+    assert [sentences.sentence_ends(t) for t in silent] == [[], []]
+    words = wordlattice.fit(lines)
+    lattice = wordlattice.Lattice(words)
+    assert words[""][1] < 0 and lattice.score("信封", 0) > 1 and lattice.score("今天", 1) > 1 > lattice.score("信封", 1)
+    assert wordlattice.fit(lines.limit(0)) == {}
+
+
+def test_best_path_equals_brute_force():
+    rnd = random.Random(4)
+    words = {"".join(rnd.choice("今天昨书架") for _ in range(rnd.randint(1, 4))): (rnd.random() * 9, 0.0, 0.0) for _ in range(40)}
+    lattice = wordlattice.Lattice(words)
+    cost = lambda w: words[w][0] if w in words else lattice.unknown if len(w) == 1 else float("inf")
+
+    def best(run):
+        return 0.0 if not run else min(cost(run[:k]) + best(run[k:]) for k in range(1, min(4, len(run)) + 1))
+
+    for _ in range(60):
+        run = "".join(rnd.choice("今天昨书架") for _ in range(rnd.randint(1, 9)))
+        ends = lattice.segment(run)
+        assert ends[-1] == len(run) and abs(sum(cost(run[a:b]) for a, b in zip([0, *ends], ends)) - best(run)) < 1e-9
+
+
+def test_disclosure_decides_ambiguous_numbers(spark):
+    """The same shape is personal behind a term that clear items have, and none behind one that innocent ones have; clear shapes stay whatever the term."""
+    texts = ["Passport no. 33376747838 came.", "passport no. 11112222333 left.", "order no. 28233095 came.", "order no. 28233096 left.", "passport no. 26-97454-3 is here.", "order no. 26-97454-4 is here.", "order no. 33376747839 is odd.", "call +44 7700 9004301 now", "call 312-4477 now", "order no. 312-4478 now", "〒435-9828"]
+    lines, blocks = page(spark, texts)
+    blocks = spark.createDataFrame([(1, 1, i, "Paragraph", [i]) for i in range(1, len(texts) + 1)], BLOCKS)
+    names = spark.createDataFrame(NAMES, "name_part string, part_kind string, script string")
+    got = {(r.line_id, r.pii_type) for r in pii.find_pii(lines, blocks, names).collect()}
+    assert got == {(1, "national_id"), (2, "national_id"), (5, "national_id"), (7, "national_id"), (8, "phone"), (9, "phone"), (11, "address")}
+    bits = {(r.pii_type, r.term): r.bits for r in pii.term_disclosure(pii.candidates(lines, blocks, names)).collect()}
+    assert bits["national_id", "passport no"] > 0 > bits["national_id", "order no"]
+    clear = lines.where("line_id > 4")  # without clear items behind it, a term discloses nothing
+    assert (5, "national_id") not in {(r.line_id, r.pii_type) for r in pii.find_pii(clear, blocks, names).collect()}
+
+
+def test_quality_ties_go_by_rules_and_words_over_page_ends_count_once(spark):
+    rows, blocks = [], []
+    for doc, texts in enumerate((["The lamp of the hall is in the box of the clerk, as it is", "- lamp", "- tray", "The tray of the hall is in the lamp"], ["The lamp stood in the hall beside the old cata-"]), 1):
+        for i, t in enumerate(texts, 1):
+            rows.append((doc, 1, i, t, 0.9))
+            blocks.append((doc, 1, i, "Paragraph", [i]))
+    rows += [(2, 2, 1, "logue of the house, and it stood there for long.", 0.9)]
+    blocks += [(2, 2, 1, "Paragraph", [1])]
+    docs = spark.createDataFrame([(1,), (2,)], "doc_id bigint")
+    frequent = lambda words: spark.createDataFrame([("en", w, 1) for w in words], "lang string, word string, word_rank int")
+    own = docs, spark.createDataFrame(rows, LINES), spark.createDataFrame(blocks, BLOCKS)
+    stats = {r.doc_id: r for r in quality.text_statistics(*own, frequent(["the", "of", "is", "in"])).collect()}
+    assert (stats[1].prose_lines, stats[1].list_lines) in ((1, 3), (2, 2)) and stats[1].words_common and stats[2].words == 19
+    assert not {r.doc_id: r for r in quality.text_statistics(*own, frequent(["zzz"])).collect()}[1].words_common
+
+
+def test_noise_filter_keeps_its_recall_in_a_large_vocabulary(spark):
+    """Half a million forms beside the planted ones: the filter grows, nothing is lost, and hardly anything is there by chance."""
+    word = F.concat_ws(" ", F.lit("x"), *[F.concat(F.lit(c), F.translate(F.conv((F.col("id") * 8 + k).cast("string"), 10, 20), "0123456789", "klmnopqrst")) for k, c in enumerate("abdefghi")])
+    vocabulary = spark.range(0, 60_000).select(word.alias("text"))
+    planted = spark.createDataFrame([("a oversized template stood here",)] * 40 + [("a ovcrsized ternplate",)], "text string")
+    lines = vocabulary.unionByName(vocabulary).unionByName(vocabulary).unionByName(planted)
+    packed = scan_noise.build_filter(lines)
+    known = scan_noise.Filter(packed)
+    assert all(f"g:{w}" in known for w in ("oversized", "template")) and all(f"m:{w}" in known for w in ("ovcrsized", "ternplate"))
+    assert len(packed) >= 2 and sum(f"m:never{i}" in known for i in range(20_000)) < 100
+    some = [r[0].split()[3] for r in vocabulary.limit(2000).collect()]
+    assert all(f"g:{scan_noise.token_form(w)}" in known for w in some)
+
+
+def test_near_matches_equal_brute_force(spark):
+    rnd = random.Random(6)
+    vocab = [f"w{i}" for i in range(14)]
+    items = [(i, [rnd.choice(vocab) for _ in range(rnd.choice([12, 13, 18, 22]))]) for i in range(6)]
+    docs = []
+    for k in range(50):
+        own = [rnd.choice(vocab) for _ in range(rnd.randint(5, 30))]
+        src = list(items[k % 6][1])
+        for _ in range(rnd.randint(0, 4)):
+            at = rnd.randrange(len(src))
+            src[at : at + 1] = rnd.choice([[], ["zz"], [src[at], "zz"]])
+        docs.append((k, own + src + own[:4]))
+    lcs = leakage.common_words
+    want = {}
+    for d, text in docs:
+        for i, own in items:
+            if any(text[a : a + 12] == own[s : s + 12] for s in range(len(own) - 11) for a in range(len(text) - 11)):
+                continue
+            n = min(15, len(own))
+            best = max((lcs(own[s : s + n], text[q : q + n + 3]) for s in range(len(own) - n + 1) for q in range(len(text))), default=0)
+            if best >= 12:
+                want[d, i] = best
+    found = leakage.find_matches(spark.createDataFrame([(d, " ".join(t)) for d, t in docs], "doc_id bigint, text string"), spark.createDataFrame([(i, " ".join(p)) for i, p in items], "item_id bigint, passage string"))
+    assert {(r.doc_id, r.item_id): r.words for r in found.where("kind = 'near'").collect()} == want and len(want) > 5
+
+
+def test_common_words_is_a_longest_common_subsequence():
+    rnd = random.Random(7)
+    for _ in range(200):
+        a, b = ([rnd.randrange(5) for _ in range(rnd.randint(0, 12))] for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            prev = 0
+            for j, y in enumerate(b, 1):
+                prev, row[j] = row[j], prev + 1 if x == y else max(row[j], row[j - 1])
+        assert leakage.common_words(a, b) == row[-1]
+
+
+def test_case_of_passages_does_not_matter(spark):
+    words = "Die Straße liegt außen vor dem großen Haus und der Fluß ist weiß".split()
+    docs = spark.createDataFrame([(1, " ".join(words).upper())], "doc_id bigint, text string")
+    assert leakage.find_leaks(docs, spark.createDataFrame([(7, " ".join(words))], "item_id bigint, passage string")).count() == 1
+
+
+def test_items_in_several_passes(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "ITEMS_A_PASS", 2)
+    items = [(i, " ".join(f"w{i}x{k}" for k in range(12))) for i in range(7)]
+    found = leakage.find_leaks(spark.createDataFrame([(i, p) for i, p in items], "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, passage string"))
+    assert {tuple(r) for r in found.collect()} == {(i, i) for i in range(7)}
+
+
+def test_hot_letterheads_are_no_pairs(spark, monkeypatch):
+    """A letterhead just short of a span with many surroundings gives no candidates; one that is long enough gives all its pairs."""
+    monkeypatch.setattr(shared_spans, "HOT", 8)
+    rnd = random.Random(8)
+    noise = lambda n: "".join(rnd.choice("abcdefghij klmn") for _ in range(n))
+    short, long = noise(192), noise(215)
+    docs = [(k, noise(80) + short + noise(80)) for k in range(40)] + [(100 + k, noise(30) + long[: 200 + k] + noise(40)) for k in range(14)]
+    win = defaultdict(set)
+    for d, t in docs:
+        for i in range(len(t) - 199):
+            win[t[i : i + 200]].add(d)
+    want = {(a, b) for own in win.values() for a in own for b in own if a < b}
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert {tuple(r) for r in shared_spans.find_pairs(df).collect()} == want and len(want) == 91
+    spans = {(d, a, b - a) for d, t in docs for a, b in shared_spans.merged([(i, i + 200) for i in range(len(t) - 199) if len(win[t[i : i + 200]]) > 1])}
+    assert {tuple(r) for r in shared_spans.find_spans(df).collect()} == spans
+    classes = {r.doc_id: (r.class_id, r.links) for r in shared_spans.link_classes(df.unionByName(df.select((F.col("doc_id") + 1000).alias("doc_id"), "text"))).collect()}
+    assert classes[1100] == classes[100] == (100, 13) and classes[1] == (1, 0) and classes[1001] == (1, 0)
+
+
+def test_segments_of_mixed_blocks(spark):
+    words = {"en": "the lamp stands under a grey cover and no sheet of paper was lost", "de": "die Lampe steht unter dem grauen Deckel und kein Blatt fehlt"}
+    docs = spark.createDataFrame([(i * 2 + k, " ".join(w.split() * 3), lang) for i in range(20) for k, (lang, w) in enumerate(words.items())], "doc_id bigint, text string, lang string")
+    models = spark.createDataFrame([("en", "English", "English", "en-US"), ("de", "German", "Deutsch", "de-DE")], "lang string, ocr_language string, display_name string, culture string")
+    lines, blocks = page(spark, [words["en"], "12.5", words["de"], words["de"], words["en"]])
+    got = sorted(tuple(r)[3:6] for r in langid.language_segments(lines, blocks, models, docs).collect())
+    assert got in ([(1, 2, "en"), (3, 4, "de"), (5, 5, "en")], [(1, 1, "en"), (2, 4, "de"), (5, 5, "en")])
+    assert langid.segments([], 2) == []
+
+
+def test_shared_folder_is_asked_for_on_a_cluster(spark, monkeypatch):
+    from pagewright.llm import common
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        sparkContext = Context()
+        conf = type("C", (), {"get": staticmethod(lambda name, other: None)})
+
+    with pytest.raises(ValueError):
+        common.shared_dir(Session())
+    path = common.staged(spark.range(3), "gone")
+    assert path.count() == 3
