@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 import statistics
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 import pyarrow as pa
@@ -45,7 +45,8 @@ class Rect:
 
 
 def around(rects) -> Rect:
-    return reduce(Rect.__or__, rects)
+    """The box around some, never one of them itself."""
+    return replace(reduce(Rect.__or__, rects))
 
 
 @dataclass
