@@ -30,10 +30,13 @@ def covered_lines(lines: DataFrame, rects: DataFrame, tenths: int) -> DataFrame:
 
 
 def flow_items(lines: DataFrame, tables: DataFrame, figures: DataFrame) -> DataFrame:
-    """What is laid out: lines outside of tables and figures, and these themselves."""
-    key = [*PAGE, "line_id"]
-    rest = lines.join(covered_lines(lines, tables, 5).select(*key), key, "left_anti").join(covered_lines(lines, figures, 7).select(*key), key, "left_anti")
+    """What is laid out: lines outside of tables (half covered) and figures (0.7 covered), and these themselves. One anti-join on the page key."""
     item = lambda df, no, kind: df.select(*PAGE, F.lit(kind).alias("item"), F.col(no).alias("item_no"), "l", "t", "r", "b")
+    areas = _areas(tables).withColumn("tenths", F.lit(5)).unionByName(_areas(figures).withColumn("tenths", F.lit(7)))
+    both = overlap(F.col("l"), F.col("r"), F.col("xl"), F.col("xr")) * overlap(F.col("t"), F.col("b"), F.col("xt"), F.col("xb"))
+    covered = both * 10 > (F.col("r") - F.col("l")) * (F.col("b") - F.col("t")) * F.col("tenths")
+    a, x = lines.alias("a"), areas.alias("x")
+    rest = a.join(x, (F.col("a.doc_id") == F.col("x.doc_id")) & (F.col("a.page_no") == F.col("x.page_no")) & covered, "left_anti")
     return item(rest, "line_id", "line").unionByName(item(tables, "block_no", "table")).unionByName(item(figures, "block_no", "figure"))
 
 

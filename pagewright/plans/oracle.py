@@ -66,6 +66,18 @@ def oracle_sql() -> dict[str, str]:
         "uncertain_lines": l + "SELECT doc_id, count(*) AS uncertain FROM L WHERE NOT edited AND CASE WHEN confidence > 1 THEN CAST(confidence AS DOUBLE) / 100 ELSE CAST(confidence AS DOUBLE) END < 0.75 GROUP BY doc_id",
         "band_islands": l + """SELECT doc_id, page_no, line_id, sum(opens) OVER (PARTITION BY doc_id, page_no ORDER BY t, l, line_id) AS band FROM (SELECT *, CASE WHEN m IS NULL OR t >= m THEN 1 ELSE 0 END AS opens FROM
             (SELECT *, max(b) OVER (PARTITION BY doc_id, page_no ORDER BY t, l, line_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM L))""",
+        "band_fold": """WITH RECURSIVE """ + _L + """, O AS (SELECT doc_id, page_no, line_id, t, b, b - t AS h, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY t, l, line_id) AS k FROM L),
+            F AS (SELECT doc_id, page_no, line_id, k, 1 AS band, b AS bottom, h AS least FROM O WHERE k = 1 UNION ALL
+            SELECT O.doc_id, O.page_no, O.line_id, O.k, CASE WHEN O.t < F.bottom - 0.4 * least(O.h, CASE WHEN F.least > 0 THEN F.least ELSE O.h END) THEN F.band ELSE F.band + 1 END, CASE WHEN O.t < F.bottom - 0.4 * least(O.h, CASE WHEN F.least > 0 THEN F.least ELSE O.h END) THEN greatest(F.bottom, O.b) ELSE O.b END,
+            CASE WHEN O.t < F.bottom - 0.4 * least(O.h, CASE WHEN F.least > 0 THEN F.least ELSE O.h END) THEN least(F.least, O.h) ELSE O.h END FROM F JOIN O ON O.doc_id = F.doc_id AND O.page_no = F.page_no AND O.k = F.k + 1)
+            SELECT doc_id, page_no, line_id, band FROM F""",
+        "visual_lines": """WITH RECURSIVE """ + _L + """, O AS (SELECT doc_id, page_no, line_id, t, b, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY t, l, line_id) AS k, count(*) OVER (PARTITION BY doc_id, page_no) AS n FROM L),
+            F AS (SELECT doc_id, page_no, k, n, [{'t': t, 'b': b, 'ids': [line_id]}] AS v FROM O WHERE k = 1 UNION ALL
+            SELECT doc_id, page_no, k, n, CASE WHEN hit IS NULL THEN list_append(v, {'t': t, 'b': b, 'ids': [line_id]}) ELSE list_transform(v, lambda x, i: CASE WHEN i = hit THEN {'t': least(x.t, t), 'b': greatest(x.b, b), 'ids': list_append(x.ids, line_id)} ELSE x END) END
+            FROM (SELECT O.*, F.v, list_max(list_filter(list_transform(F.v, lambda x, i: CASE WHEN least(x.b - x.t, O.b - O.t) > 0 AND least(x.b, O.b) - greatest(x.t, O.t) > 0.55 * least(x.b - x.t, O.b - O.t) THEN i END), lambda i: i IS NOT NULL)) AS hit FROM F JOIN O ON O.doc_id = F.doc_id AND O.page_no = F.page_no AND O.k = F.k + 1)),
+            S AS (SELECT doc_id, page_no, list_sort(v) AS v FROM F WHERE k = n) SELECT doc_id, page_no, i AS vline_id, unnest(v[i].ids) AS line_id FROM (SELECT *, unnest(generate_series(1, len(v))) AS i FROM S)""",
+        "cluster_first": l + """, V AS (SELECT doc_id, page_no, list_transform(list_sort(list_distinct(list(l))), lambda x: [x]) AS v FROM L GROUP BY doc_id, page_no), K AS (SELECT doc_id, page_no, list_reduce(v, lambda acc, x: CASE WHEN x[1] - acc[-1] <= 8.0 THEN acc ELSE list_append(acc, x[1]) END) AS e FROM V)
+            SELECT doc_id, page_no, i - 1 AS i, e[i] AS edge FROM (SELECT *, unnest(generate_series(1, len(e))) AS i FROM K)""",
         "line_gaps": l + f"SELECT doc_id, page_no, line_id, t - lag(b) {_W} AS gap, t - lag(t) {_W} AS step FROM L",
         "line_spacing": l + f""", D AS (SELECT doc_id, page_no, b - t AS h, t - lag(t) {_W} AS s, t - lag(b) {_W} AS g FROM L)
             SELECT doc_id, page_no, coalesce({_MED('s')}, 1.2 * {_MED('h')}) AS spacing, coalesce({_MED('g')}, 0.3 * {_MED('h')}) AS median_gap FROM D GROUP BY doc_id, page_no""",

@@ -241,7 +241,11 @@ def block_confidence(spark, d):
     return agg.select(*PAGE, "block_no", _r(F.aggregate("x", F.lit(0.0), lambda a, v: a + v, lambda a: F.when(F.size("x") > 0, a / F.size("x")).otherwise(0.0))).alias("confidence"))
 
 
-@_query()
+@_query(_with(_L) + """, A AS (SELECT doc_id, page_no, line_id, coalesce(CAST(size_pt AS DOUBLE), 11.0) AS size, length(coalesce(text, '')) AS n FROM L WHERE regexp_matches(text, '\\S')),
+    B AS (SELECT doc_id, page_no, round_even(size * 2, 0) / 2 AS half, sum(n) AS w, min(line_id) AS f FROM A GROUP BY ALL), P AS (SELECT doc_id, page_no, list([half] ORDER BY w DESC, f) AS own FROM B GROUP BY ALL),
+    K AS (SELECT doc_id, page_no, list_reduce(own, lambda acc, x: CASE WHEN len(list_filter(acc, lambda a: abs(a - x[1]) / a <= 0.09)) > 0 THEN acc ELSE list_append(acc, x[1]) END) AS anchors FROM P),
+    N AS (SELECT A.*, list_min(list_transform(anchors, lambda a, i: {'d': abs(a - size), 'i': i, 'a': a})).a AS best FROM A JOIN K ON A.doc_id = K.doc_id AND A.page_no = K.page_no)
+    SELECT doc_id, page_no, line_id, CASE WHEN abs(best - size) / best <= 0.09 THEN best ELSE size END AS size FROM N""")
 def size_anchors(spark, d):
     """Sizes of lines snapped to the anchors of their page."""
     rows = S.lines(spark, d).where("text rlike '\\\\S'")
@@ -529,14 +533,25 @@ def html_plain_pages(spark, d):
     return _rendered(spark, d, lambda b, p, i: [(markup.plain_html(b, p, i),)], "doc_id bigint, page_no int, html string")
 
 
-@_query()
-def html_exact_pages(spark, d):
-    """Lines of each page at their places."""
+def _exact(spark, d, fn) -> DataFrame:
+    """fn of the lines of each page that stand outside of figures, and of the page."""
     rows = S.lines(spark, d).where("text is not null and not coalesce(in_figure, false)")
     lines = rows.groupBy(*PAGE).agg(F.collect_list(F.struct("t", "l", "r", "b", "text", F.col("size_pt").cast("double").alias("size_pt"), F.coalesce("bold", F.lit(False)).alias("bold"))).alias("lines"))
     pages = S.pages(spark, d).select(*PAGE, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in ("width", "height")], F.coalesce(F.col("dpi").cast("double"), F.lit(96.0)).alias("dpi"))
-    html = F.udf(lambda own, w, h, dpi, n: markup.exact_html([x.asDict() for x in own or []], {"width": w, "height": h, "dpi": dpi}, n - 1), "string", useArrow=True)
-    return pages.join(lines, PAGE, "left").select(*PAGE, html("lines", "width", "height", "dpi", "page_no").alias("html"))
+    out = F.udf(lambda own, w, h, dpi, n: fn([x.asDict() for x in own or []], {"width": w, "height": h, "dpi": dpi}, n - 1), "string", useArrow=True)
+    return pages.join(lines, PAGE, "left").select(*PAGE, out("lines", "width", "height", "dpi", "page_no").alias("body"))
+
+
+@_query()
+def html_exact_pages(spark, d):
+    """Lines of each page at their places."""
+    return _exact(spark, d, markup.exact_html)
+
+
+@_query()
+def word_exact_pages(spark, d):
+    """Lines of each page in frames at their places."""
+    return _exact(spark, d, lambda lines, page, n: markup.exact_xml(lines, page))
 
 
 @_query()

@@ -15,8 +15,8 @@ DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 SQL = oracle.oracle_sql() | structure.oracle_sql()
 #: Folds and kernels, which are tested against plain Python or by hand-worked cases.
 WITHOUT_SQL = {
-    "band_fold", "cluster_first", "visual_lines", "size_anchors", "ruled_cells", "sections", "columns", "paragraph_blocks", "lines_only_blocks", "borderless_tables",
-    "html_flow_pages", "html_plain_pages", "html_exact_pages", "word_pages", "word_plain_pages", "sheet_cells", "block_hulls",
+    "ruled_cells", "sections", "columns", "paragraph_blocks", "lines_only_blocks", "borderless_tables",
+    "html_flow_pages", "html_plain_pages", "html_exact_pages", "word_pages", "word_plain_pages", "word_exact_pages", "sheet_cells", "block_hulls",
 }
 
 
