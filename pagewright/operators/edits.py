@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranking import ranked
+
 LINE = ["doc_id", "page_no", "line_id"]
 
 
@@ -48,8 +50,7 @@ def unique_names(rows: DataFrame, name: str, order: str) -> DataFrame:
     clean = clean.withColumn("stem", part(1)).withColumn("ext", part(2))
     numbered = clean.select(F.regexp_extract("stem", "^(.*) \\(([0-9]{1,9})\\)$", 1).alias("stem"), "ext", F.regexp_extract("stem", "^(.*) \\(([0-9]{1,9})\\)$", 2).alias("k")).where("k != ''")
     taken = numbered.groupBy("stem", "ext").agg(F.array_sort(F.collect_set(F.col("k").cast("bigint"))).alias("taken"))
-    n = F.row_number().over(W.partitionBy("clean").orderBy(order)).cast("bigint")
-    own = clean.withColumn("n", n).join(taken, ["stem", "ext"], "left")
+    own = ranked(clean, ["clean"], [order], "n").join(taken, ["stem", "ext"], "left")
     free = F.aggregate(F.coalesce("taken", F.array().cast("array<bigint>")), F.col("n"), lambda k, t: F.when((t >= 2) & (t <= k), k + 1).otherwise(k))
     unique = F.when(F.col("n") == 1, F.col("clean")).otherwise(F.concat("stem", F.lit(" ("), free.cast("string"), F.lit(")"), "ext"))
     return own.withColumn("unique_name", unique)

@@ -48,8 +48,8 @@ def document_text(pages: DataFrame) -> DataFrame:
 
     The pages stay apart, as a document has no bound; a writer puts them behind each other.
     """
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("page_no")) == 1
-    return pages.select("doc_id", "page_no", F.concat(F.when(first, F.lit("\ufeff")).otherwise(F.lit("\f\n")), F.col("text")).alias("part"))
+    first = F.col("page_no") == F.col("_first")
+    return pages.join(pages.groupBy("doc_id").agg(F.min("page_no").alias("_first")), "doc_id").select("doc_id", "page_no", F.concat(F.when(first, F.lit("\ufeff")).otherwise(F.lit("\f\n")), F.col("text")).alias("part"))
 
 
 def block_html(blocks: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import text as T
 from ..operators import edits, export, joins, layout
+from ..operators.ranking import ranked
 from ..sources import tables as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -251,11 +252,8 @@ def column_names(spark, d):
 
 @_query
 def natural_sort_rank(spark, d):
-    from pyspark.sql import Window as W
-
-    docs = S.read(spark, d, "ocr_docs").where("doc_name is not null").select("doc_id", "doc_name", F.coalesce("station", F.lit("")).alias("station"))
-    key = T.natural_key(F.col("doc_name"))
-    return docs.select("doc_id", "station", F.row_number().over(W.partitionBy("station").orderBy(key, "doc_id")).alias("place"))
+    docs = S.read(spark, d, "ocr_docs").where("doc_name is not null").select("doc_id", F.coalesce("station", F.lit("")).alias("station"), T.natural_key(F.col("doc_name")).alias("key"))
+    return ranked(docs, ["station"], ["key", "doc_id"], "place").select("doc_id", "station", "place")
 
 
 @_query

@@ -515,3 +515,15 @@ def test_documents_as_files(spark, tmp_path):
     assert {r.status for r in failed} == {"Failed"} and all(r.error for r in failed)
     with pytest.raises(ValueError):
         files.export_documents(blocks, pages, str(tmp_path), "rtf")
+
+
+def test_places_in_hot_groups(spark):
+    """The places are those of a window, whatever tasks a group lies in; null keys are left out as joins do."""
+    from pyspark.sql import Window
+
+    from pagewright.operators.ranking import ranked
+
+    df = spark.range(0, 3000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), (F.col("id") % 50).cast("string"))).alias("k"), (F.col("id") * 7919 % 3000).alias("v"))
+    got = {(r.k, r.v): r.n for r in ranked(df, ["k"], ["v"], "n").collect()}
+    want = {(r.k, r.v): r.n for r in df.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("v"))).collect()}
+    assert got == want and ranked(df.limit(0), ["k"], ["v"], "n").count() == 0
