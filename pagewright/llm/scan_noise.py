@@ -55,6 +55,8 @@ RATIO = 10
 BLOCK, BITS_A_KEY, HASHES = 1 << 23, 16, 5
 #: Share of set bits of a block beyond which the filter would let too much through; it is refused then.
 MOST_FILL = 0.5
+#: Confidence of a line under which its forms are no evidence for themselves.
+UNSURE = 0.6
 #: Different tokens that a task counts before it hands them on.
 COUNTED = 400_000
 
@@ -123,7 +125,7 @@ def _count_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             form = token_form(t)
             if form:
                 forms[form] += n
-        for t in firsts:  # seen, but maybe only the rest of a divided word: no evidence for itself
+        for t in firsts:  # seen, but maybe only the rest of a divided word, or on a line that was hard to read: no evidence for itself
             form = token_form(t)
             if form:
                 forms[form] += 0
@@ -137,7 +139,7 @@ def _count_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return out
 
     for b in batches:
-        for text in b.column(0).to_pylist():
+        for text, sure in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             if _CJK.search(text):
                 t = re.sub("\\d", "9", compose(text))
                 for i, ch in enumerate(t):
@@ -150,8 +152,11 @@ def _count_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own = text.split()
                 if own and _DIVIDES.search(own[-1]):
                     own.pop()
-                tokens.update(own[1:])
-                firsts.update(own[:1])
+                if sure:
+                    tokens.update(own[1:])
+                    firsts.update(own[:1])
+                else:
+                    firsts.update(own)
         if len(tokens) + len(firsts) + len(contexts) > COUNTED:
             yield common.to_batch(rows(), _FORMS)
     yield common.to_batch(rows(), _FORMS)
@@ -244,7 +249,9 @@ def _fill(blocks: int):
 
 def build_filter(lines: DataFrame) -> list[bytes]:
     """The blocks of the filter over all lines, compressed. Their number follows from the number of keys: two bytes a key."""
-    texts = lines.where("text is not null").select("text")
+    c = F.col("confidence").cast("double") if "confidence" in lines.columns else F.lit(None).cast("double")
+    sure = F.coalesce(F.when(c > 1, c / 100).otherwise(c) >= UNSURE, F.lit(True))
+    texts = lines.where("text is not null").select("text", sure.alias("sure"))
     forms = texts.mapInArrow(_count_forms, "skeleton string, form string, n bigint").groupBy("skeleton", "form").agg(F.sum("n").alias("n"))
     keys = common.staged(forms.repartition("skeleton").sortWithinPartitions("skeleton").mapInArrow(_judge_groups, "h bigint"), "noise_keys")
     blocks = max(1, -(-keys.count() * BITS_A_KEY // BLOCK))

@@ -30,7 +30,7 @@ from .wordlattice import CJK, MOST_SCORE, Lattice, fit
 ABBREVIATIONS = frozenset(
     """no nos nr sec fig figs p pp vol ch art arts abs vgl cf ref refs approx ca env aprox ed eds bd s st vs esp incl tel fax ext dept
     mr mrs ms mx dr dra prof sr sra srta mme mlle mm. fr hr rev hon jr gen col capt bzw ggf inkl evtl sog str hg jg
-    jan feb mar apr jun jul aug sep sept oct nov dec janv févr avr juil déc ene abr ago dic mär mai okt dez
+    jan feb mar apr jun jul aug sep sept oct nov dec janv févr avr juil déc ene abr ago dic mär okt dez
     i.e e.g p.o z d.h u.a n.º núm pág págs av avda cía ud uds vd
     т п пп ст см ср прим рис табл стр с ул кв г д корп тел им гл проф акад тов обл пл пер наб янв фев мар апр авг сен сент окт ноя дек""".split()
 )

@@ -429,3 +429,12 @@ def test_shared_folder_is_asked_for_on_a_cluster(spark, monkeypatch):
         common.shared_dir(Session())
     path = common.staged(spark.range(3), "gone")
     assert path.count() == 3
+
+
+def test_unsure_lines_are_no_evidence_for_misread_forms(spark):
+    """A misread form that stands on many unsure lines stays misread; on sure lines as often, it is a word."""
+    texts = ["the oversized template stood here"] * 40 + ["the ovcrsized template stood here"] * 6
+    blocks = spark.createDataFrame([(1, 1, 1, "Paragraph", list(range(1, 47)))], BLOCKS)
+    for conf, n in ((0.4, 6), (0.95, 0), (40.0, 6)):
+        lines = spark.createDataFrame([(1, 1, i, t, conf if i > 40 else 0.95) for i, t in enumerate(texts, 1)], LINES)
+        assert sum(r.noise == "misread" for r in scan_noise.find_noise(lines, blocks).collect()) == n
