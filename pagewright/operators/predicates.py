@@ -83,10 +83,12 @@ def remapped_lines(lines: DataFrame, pages: DataFrame) -> DataFrame:
     return own.where((area > 0) & (both * 2 >= area)).select(*PAGE, "line_id", "l", "t", "r", "b", (_c("rot") == 0).alias("extents"))
 
 
-def positioned_lines(lines: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Lines outside of figures and tables in (top, left) order, and the drawn bullet of each unordered item whose marker is no part of its text: (page, place, text, box)."""
+def positioned_lines(lines: DataFrame, blocks: DataFrame, bullets: DataFrame | None = None) -> DataFrame:
+    """Lines outside of figures and tables, and a "•" without a line_id for each drawn bullet (page, box), with their places in (top, left) order."""
     tables = blocks.where("kind = 'Table'").select(*PAGE, F.explode("line_ids").alias("line_id")).distinct()
-    own = lines.where("not coalesce(in_figure, false)").join(tables, [*PAGE, "line_id"], "left_anti").select(*PAGE, "line_id", "text", "l", "t", "r", "b")
+    own = lines.where("not coalesce(in_figure, false)").join(tables, [*PAGE, "line_id"], "left_anti").select(*PAGE, "line_id", "text", "l", "t")
+    if bullets is not None:
+        own = own.unionByName(bullets.select(*PAGE, F.lit(None).cast("int").alias("line_id"), F.lit("•").alias("text"), "l", "t"))
     return own.select(*PAGE, "line_id", "text", F.row_number().over(W.partitionBy(*PAGE).orderBy("t", "l", "line_id")).alias("place"))
 
 

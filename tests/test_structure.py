@@ -527,3 +527,23 @@ def test_places_in_hot_groups(spark):
     got = {(r.k, r.v): r.n for r in ranked(df, ["k"], ["v"], "n").collect()}
     want = {(r.k, r.v): r.n for r in df.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("v"))).collect()}
     assert got == want and ranked(df.limit(0), ["k"], ["v"], "n").count() == 0
+
+
+def test_positioned_lines_with_drawn_bullets(spark):
+    lines = spark.createDataFrame([(1, 1, 1, "b", 20.0, 10.0, False), (1, 1, 2, "a", 20.0, 0.0, None), (1, 1, 3, "in a figure", 0.0, 0.0, True), (1, 1, 4, "cell", 0.0, 50.0, False)], "doc_id bigint, page_no int, line_id int, text string, l double, t double, in_figure boolean")
+    blocks = spark.createDataFrame([(1, 1, 1, "Table", [4]), (1, 1, 2, "Paragraph", None)], "doc_id bigint, page_no int, block_no int, kind string, line_ids array<int>")
+    bullets = spark.createDataFrame([(1, 1, 5.0, 10.0)], "doc_id bigint, page_no int, l double, t double")
+    assert [(r.line_id, r.text) for r in predicates.positioned_lines(lines, blocks, bullets).orderBy("place").collect()] == [(2, "a"), (None, "•"), (1, "b")]
+
+
+def test_predicates_on_empty_tables(spark):
+    """Every join and predicate of pages gives an empty result for empty tables, with its own columns."""
+    box = "doc_id bigint, page_no int, line_id int, text string, l double, t double, r double, b double, size_pt float, bold boolean, italic boolean, color int, in_figure boolean"
+    lines = spark.createDataFrame([], box)
+    blocks = spark.createDataFrame([], "doc_id bigint, page_no int, block_no int, kind string, line_ids array<int>, l double, t double, r double, b double")
+    pages = spark.createDataFrame([], "doc_id bigint, page_no int, width int, height int, dpi float, rotation int, crop struct<x:float,y:float,w:float,h:float>")
+    for df in (
+        predicates.style_changes(lines), predicates.centered_lines(lines), predicates.figures_of_size(blocks, pages), predicates.text_in_figures(lines, blocks), predicates.remapped_lines(lines, pages), predicates.positioned_lines(lines, blocks),
+        predicates.block_text_lines(blocks), predicates.alone_on_the_left(lines), predicates.table_rows(lines, blocks), predicates.aspect_batches(lines), predicates.first_boxes(lines), layout.size_anchors(lines), layout.band_fold(lines), layout.visual_lines(lines),
+    ):
+        assert df.count() == 0 and df.columns[:2] == ["doc_id", "page_no"]
