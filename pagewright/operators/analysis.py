@@ -24,6 +24,30 @@ _BULLET, _ORDERED = re.compile(BULLET_MARKER.replace("\\p{Z}", "  -   
 
 Span = tuple[float, float]
 
+# --- fixed values -------------------------------------------------------------------------------
+#: A band's overlap that keeps an item out, and the overlap that makes segments one row, in heights.
+BAND_SLACK, ROW_OVERLAP = 0.4, 0.55
+#: A gutter's least width in median heights and as a share of the page; bands that must have it; median height without lines, in inches.
+GUTTER_HEIGHTS, GUTTER_SHARE, GUTTER_BANDS, NO_HEIGHT = 1.1, 0.012, 2, 1 / 6
+#: A borderless table: bands, share of them in several columns, median length of texts, columns or the length that fewer need.
+TABLE_BANDS, TABLE_SHARE, TABLE_LENGTH, TABLE_COLUMNS, TABLE_SHORT = 3, 0.6, 30, 3, 16
+#: A gap in a row that is a tab, in heights; a marker's own segment, in heights.
+TAB_GAP, MARKER_WIDTH = 2.5, 1.6
+#: Styles: size tolerance of equal ones and within a paragraph, distance of colours.
+SAME_SIZE, PARAGRAPH_SIZE, SAME_COLOR = 0.12, 0.16, 60
+#: A paragraph's end: gap over the median in heights and pixels, short line in heights and as a share of the column, indent, outdent and shift in heights; median gap without any, in median heights.
+GAP_HEIGHTS, GAP_LEAST, SHORT_HEIGHTS, SHORT_SHARE, INDENT, OUTDENT, SHIFT, NO_GAP = 0.4, 4, 3, 0.12, 1.2, 0.8, 1.2, 0.3
+#: Centred rows: least margin and difference of margins, as shares of the column.
+CENTER_MARGIN, CENTER_DIFF = 0.08, 0.05
+#: Alignment of one row (margins as shares, or heights) and of several (spreads in heights).
+ONE_CENTER, ONE_DIFF, ONE_RIGHT, ONE_EDGE, ONE_EDGE_HEIGHT = 0.1, 0.06, 0.3, 0.03, 0.5
+CENTER_SPREAD, CENTER_LEFTS, RIGHT_SPREAD, RIGHT_LEFTS, JUSTIFY_SPREAD, JUSTIFY_ROWS, JUSTIFY_EDGE = 0.8, 1.2, 0.5, 1.5, 0.6, 3, 1.5
+#: Line spacing of one row, in heights; sizes that are one; half a height that makes lines one row of a cell.
+ONE_SPACING, SNAP, CELL_ROW = 1.2, 0.09, 0.5
+#: Headings: most characters, most rows, size over the body's; of bold ones least size, most words; share of blocks beyond which none are, of more than so many blocks; levels.
+HEAD_LENGTH, HEAD_ROWS, HEAD_SIZE, BOLD_SIZE, BOLD_WORDS, HEAD_SHARE, HEAD_BLOCKS, LEVELS = 160, 3, 1.18, 0.95, 12, 0.6, 4, 3
+# ------------------------------------------------------------------------------------------------
+
 
 @dataclass
 class Rect:
@@ -78,7 +102,7 @@ class Row:
     def text(self) -> str:
         out = self.items[0].text
         for a, b in zip(self.items, self.items[1:]):
-            out += ("\t" if b.rect.l - a.rect.r > 2.5 * self.rect.h else " ") + b.text
+            out += ("\t" if b.rect.l - a.rect.r > TAB_GAP * self.rect.h else " ") + b.text
         return out
 
     @property
@@ -158,7 +182,7 @@ def bands(items: list[Item], h_med: float) -> list[list[Item]]:
     out: list[list[Item]] = []
     bottom = least = 0.0
     for it in sorted(items, key=lambda i: (i.rect.t, i.rect.l)):
-        if out and it.rect.t < bottom - 0.4 * (min(it.rect.h, least) if least > 0 else it.rect.h):
+        if out and it.rect.t < bottom - BAND_SLACK * (min(it.rect.h, least) if least > 0 else it.rect.h):
             out[-1].append(it)
             bottom = max(bottom, it.rect.b)
             least = least if it.kind else min(least, it.rect.h)
@@ -183,18 +207,18 @@ def sections(found: list[list[Item]], region: Span, least: float, columns: bool
             out[-1][0].append(band)
             out[-1] = (out[-1][0], both)
             common = both
-    return [(bs, gutters(c, region, least) if columns and len(bs) >= 2 else []) for bs, c in out]
+    return [(bs, gutters(c, region, least) if columns and len(bs) >= GUTTER_BANDS else []) for bs, c in out]
 
 
 def borderless(found: list[list[Item]], edges: list[float]) -> bool:
     """Whether bands with gutters are a table: three bands or more, most in several columns, with short texts."""
     items = [i for b in found for i in b]
-    if len(found) < 3 or any(i.kind for i in items):
+    if len(found) < TABLE_BANDS or any(i.kind for i in items):
         return False
     column = lambda i: sum((i.rect.l + i.rect.r) / 2 > e for e in edges)
     several = sum(len({column(i) for i in b}) >= 2 for b in found)
     length = upper_median([len(i.text) for i in items], 0)
-    return several >= 0.6 * len(found) and length <= 30 and (len(edges) >= 2 or length <= 16)
+    return several >= TABLE_SHARE * len(found) and length <= TABLE_LENGTH and (len(edges) + 1 >= TABLE_COLUMNS or length <= TABLE_SHORT)
 
 
 def borderless_cells(found: list[list[Item]], edges: list[float], box: Rect) -> tuple[list[float], list[float], list[tuple[int, int, list[Item]]]]:
@@ -214,7 +238,7 @@ def visual_rows(items: list[Item]) -> list[Row]:
     """Segments of one line of print: a segment joins the latest row whose growing extent it overlaps by more than 0.55."""
     out: list[Row] = []
     for it in sorted(items, key=lambda i: (i.rect.t, i.rect.l)):
-        row = None if it.kind else next((v for v in reversed(out) if not v.special and overlap_ratio((v.rect.t, v.rect.b), (it.rect.t, it.rect.b)) > 0.55), None)
+        row = None if it.kind else next((v for v in reversed(out) if not v.special and overlap_ratio((v.rect.t, v.rect.b), (it.rect.t, it.rect.b)) > ROW_OVERLAP), None)
         if row is None:
             out.append(Row([it], it.rect))
         else:
@@ -238,7 +262,7 @@ def list_marker(row: Row, h_med: float) -> Marker | None:
     """The list marker that opens a row. One that is a tiny segment of its own is taken out of the row, whose box keeps it."""
     first = row.items[0]
     alone = first.text.strip()
-    if len(row.items) > 1 and first.rect.w < 1.6 * max(first.rect.h, h_med):
+    if len(row.items) > 1 and first.rect.w < MARKER_WIDTH * max(first.rect.h, h_med):
         loose = len(alone) == 1 and alone in LOOSE_BULLETS
         if loose or _ORDERED.match(alone + " x"):
             del row.items[0]
@@ -255,35 +279,35 @@ def list_marker(row: Row, h_med: float) -> Marker | None:
     return Marker(marker, ordered, prefix, first.rect.l + first.rect.w * prefix / max(1, len(first.text)))
 
 
-def same_style(a: Item, b: Item, tolerance: float = 0.12) -> bool:
+def same_style(a: Item, b: Item, tolerance: float = SAME_SIZE) -> bool:
     distance = sum(abs((a.color >> s & 255) - (b.color >> s & 255)) for s in (16, 8, 0))
-    return abs(a.size - b.size) / max(1.0, a.size, b.size) <= tolerance and a.bold == b.bold and a.italic == b.italic and distance <= 60
+    return abs(a.size - b.size) / max(1.0, a.size, b.size) <= tolerance and a.bold == b.bold and a.italic == b.italic and distance <= SAME_COLOR
 
 
 def centered(r: Rect, col: Rect) -> bool:
     left, right = r.l - col.l, col.r - r.r
-    return left > 0.08 * col.w and abs(left - right) < max(0.05 * col.w, r.h)
+    return left > CENTER_MARGIN * col.w and abs(left - right) < max(CENTER_DIFF * col.w, r.h)
 
 
 def breaks(prev: Row, row: Row, cur: Block, marker: Marker | None, col: Rect, h_med: float, med_gap: float) -> str | None:
     """Why a row opens a block rather than going on in the open one; None if it goes on."""
     lh = min(prev.rect.h, row.rect.h)
     shift = row.rect.l - prev.rect.l
-    if row.rect.t - prev.rect.b > med_gap + max(0.4 * lh, 4):
+    if row.rect.t - prev.rect.b > med_gap + max(GAP_HEIGHTS * lh, GAP_LEAST):
         return "gap"
-    if not same_style(row.style, prev.style, 0.16):
+    if not same_style(row.style, prev.style, PARAGRAPH_SIZE):
         return "style"
     if marker:
         return "marker"
     if cur.kind == "ListItem":
         return "item" if abs(row.rect.l - cur.text_left) > max(lh, h_med) else None
     middle = centered(prev.rect, col) and centered(row.rect, col)
-    if prev.rect.r < col.r - max(3 * lh, 0.12 * max(1.0, col.w)) and not middle:
+    if prev.rect.r < col.r - max(SHORT_HEIGHTS * lh, SHORT_SHARE * max(1.0, col.w)) and not middle:
         return "short"
-    if shift > 1.2 * lh and len(cur.rows) >= 2:
+    if shift > INDENT * lh and len(cur.rows) >= 2:
         return "indent"
-    first_indent = len(cur.rows) == 1 and shift < -0.8 * lh
-    return "shift" if not first_indent and abs(shift) > 1.2 * lh and not middle else None
+    first_indent = len(cur.rows) == 1 and shift < -OUTDENT * lh
+    return "shift" if not first_indent and abs(shift) > SHIFT * lh and not middle else None
 
 
 def alignment(b: Block, col: Rect) -> str:
@@ -294,17 +318,17 @@ def alignment(b: Block, col: Rect) -> str:
         return "Left"
     if len(rects) == 1:
         left, right = rects[0].l - col.l, col.r - rects[0].r
-        if left > 0.1 * w and abs(left - right) < max(0.06 * w, h):
+        if left > ONE_CENTER * w and abs(left - right) < max(ONE_DIFF * w, h):
             return "Center"
-        return "Right" if left > 0.3 * w and right < max(0.03 * w, 0.5 * h) else "Left"
+        return "Right" if left > ONE_RIGHT * w and right < max(ONE_EDGE * w, ONE_EDGE_HEIGHT * h) else "Left"
     spread = lambda v: max(v) - min(v) if len(v) > 1 else 0.0
     rights = [r.r for r in rects[:-1]]
     sl, sr, sc = spread([r.l for r in rects[1:]]), spread(rights), spread([(r.l + r.r) / 2 for r in rects])
-    if sc < 0.8 * h and sl > 1.2 * h:
+    if sc < CENTER_SPREAD * h and sl > CENTER_LEFTS * h:
         return "Center"
-    if sr < 0.5 * h and sl > 1.5 * h:
+    if sr < RIGHT_SPREAD * h and sl > RIGHT_LEFTS * h:
         return "Right"
-    return "Justify" if sr < 0.6 * h and len(rects) >= 3 and sum(rights) / len(rights) > col.r - 1.5 * h else "Left"
+    return "Justify" if sr < JUSTIFY_SPREAD * h and len(rects) >= JUSTIFY_ROWS and sum(rights) / len(rights) > col.r - JUSTIFY_EDGE * h else "Left"
 
 
 def finish(b: Block, col: Rect) -> None:
@@ -315,7 +339,7 @@ def finish(b: Block, col: Rect) -> None:
     b.size = main.size
     b.bold = 2 * sum(len(s.text) for s in segs if s.bold) > sum(len(s.text) for s in segs)
     tops = [r.rect.t for r in b.rows]
-    b.spacing = upper_median([y - x for x, y in zip(tops, tops[1:])], 1.2 * b.rows[0].rect.h)
+    b.spacing = upper_median([y - x for x, y in zip(tops, tops[1:])], ONE_SPACING * b.rows[0].rect.h)
     if b.kind == "ListItem":
         b.indent, b.rect.l = b.rect.l - b.text_left, b.text_left
     elif len(b.rows) > 1:
@@ -328,7 +352,7 @@ def paragraphs(items: list[Item], col: Rect, h_med: float) -> list[Block]:
     """Blocks of a column in order."""
     rows = visual_rows(items)
     between = [b.rect.t - a.rect.b for a, b in zip(rows, rows[1:]) if not a.special and not b.special]
-    med_gap = upper_median(between, 0.3 * h_med)
+    med_gap = upper_median(between, NO_GAP * h_med)
     out: list[Block] = []
     cur = prev = None
     for row in rows:
@@ -357,7 +381,7 @@ def lines_only(items: list[Item]) -> list[Block]:
     """One paragraph for each row; a line belongs to the last row whose first line it overlaps by more than 0.55."""
     rows: list[list[Item]] = []
     for it in sorted(items, key=lambda i: i.rect.t):
-        own = next((r for r in reversed(rows) if overlap_ratio((r[0].rect.t, r[0].rect.b), (it.rect.t, it.rect.b)) > 0.55), None)
+        own = next((r for r in reversed(rows) if overlap_ratio((r[0].rect.t, r[0].rect.b), (it.rect.t, it.rect.b)) > ROW_OVERLAP), None)
         if own is None:
             rows.append([it])
         else:
@@ -366,7 +390,7 @@ def lines_only(items: list[Item]) -> list[Block]:
     bottom = min((i.rect.t for i in items), default=0.0)
     for own in rows:
         row = Row(sorted(own, key=lambda i: i.rect.l), around(i.rect for i in own))
-        out.append(Block("Paragraph", [row], row.rect, size=row.style.size, bold=row.style.bold, spacing=1.2 * row.rect.h, space_before=max(0.0, row.rect.t - bottom)))
+        out.append(Block("Paragraph", [row], row.rect, size=row.style.size, bold=row.style.bold, spacing=ONE_SPACING * row.rect.h, space_before=max(0.0, row.rect.t - bottom)))
         bottom = row.rect.b
     return out
 
@@ -391,23 +415,23 @@ def headings(blocks: list[Block]) -> None:
     found = []
     for b in texts:
         text = b.flow
-        if not text or len(text) > 160 or len(b.rows) > 3:
+        if not text or len(text) > HEAD_LENGTH or len(b.rows) > HEAD_ROWS:
             continue
-        large = b.size >= 1.18 * body
-        short = b.bold and len(b.rows) == 1 and b.size >= 0.95 * body and text.count(" ") < 12 and not text.rstrip().endswith(".")
+        large = b.size >= HEAD_SIZE * body
+        short = b.bold and len(b.rows) == 1 and b.size >= BOLD_SIZE * body and text.count(" ") < BOLD_WORDS and not text.rstrip().endswith(".")
         if (large or short) and (b.kind == "Paragraph" or large or b.bold):
             found.append(b)
-    if not found or len(texts) > 4 and len(found) > 0.6 * len(texts):
+    if not found or len(texts) > HEAD_BLOCKS and len(found) > HEAD_SHARE * len(texts):
         return
     sizes = sorted({round(b.size) for b in found}, reverse=True)
-    above = sum(s >= 1.18 * body for s in sizes)
+    above = sum(s >= HEAD_SIZE * body for s in sizes)
     for b in found:
         if b.kind == "ListItem":  # the number stays in the heading's text
             b.marker, b.ordered, b.prefix, b.indent, b.rect = None, False, 0, 0.0, around(r.rect for r in b.rows)
         level = sizes.index(round(b.size)) + 1
-        if b.size < 1.18 * body:
-            level = max(level, min(3, above + 1))
-        b.kind, b.level = "Heading", max(1, min(3, level))
+        if b.size < HEAD_SIZE * body:
+            level = max(level, min(LEVELS, above + 1))
+        b.kind, b.level = "Heading", max(1, min(LEVELS, level))
 
 
 # ------------------------------------------------------------------------------ the page
@@ -421,11 +445,11 @@ def anchored_sizes(items: list[Item]) -> None:
         weight[k] = weight.get(k, 0) + len(i.text)
     anchors: list[float] = []
     for s in sorted(weight, key=lambda k: -weight[k]):
-        if not any(a and abs(a - s) / a <= 0.09 for a in anchors):
+        if not any(a and abs(a - s) / a <= SNAP for a in anchors):
             anchors.append(s)
     for i in items:
         a = min(anchors, key=lambda x: abs(x - i.size))
-        if a and abs(a - i.size) / a <= 0.09:
+        if a and abs(a - i.size) / a <= SNAP:
             i.size = a
 
 
@@ -434,11 +458,11 @@ def analyse(items: list[Item], width: float, dpi: float, columns: bool = True, s
     lines = [i for i in items if i.kind is None]
     if snap and lines:
         anchored_sizes(lines)
-    h_med = upper_median([i.rect.h for i in lines], dpi / 6)
+    h_med = upper_median([i.rect.h for i in lines], dpi * NO_HEIGHT)
     if not items:
         return [], [], []
     whole = around(i.rect for i in items)
-    region, least = (whole.l, whole.r), max(1.1 * h_med, 0.012 * width)
+    region, least = (whole.l, whole.r), max(GUTTER_HEIGHTS * h_med, GUTTER_SHARE * width)
     boxes: list[Rect] = []
     cols: list[list[Rect]] = []
     blocks: list[Block] = []
@@ -490,7 +514,7 @@ def cell_text(lines: list[Item]) -> str:
     rows: list[list[Item]] = []
     for it in sorted(lines, key=lambda i: i.rect.t + i.rect.b):
         first = rows[-1][0].rect if rows else None
-        if first and abs(first.t + first.b - it.rect.t - it.rect.b) / 2 < 0.5 * min(first.h, it.rect.h):
+        if first and abs(first.t + first.b - it.rect.t - it.rect.b) / 2 < CELL_ROW * min(first.h, it.rect.h):
             rows[-1].append(it)
         else:
             rows.append([it])

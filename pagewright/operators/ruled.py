@@ -14,6 +14,10 @@ from .kernel import page_kernel
 
 Rule = tuple[bool, float, float, float]  # horizontal, position, start, end
 
+# --- fixed values: rules of each direction that a grid has, its least width and height, share of an edge that a rule covers, pixels by which a column edge must lie within a line
+GRID_RULES, GRID_WIDTH, GRID_HEIGHT, EDGE_SHARE, INNER = 2, 40, 20, 0.5, 2
+# ------------------------------------------------------------------------------------------------
+
 
 class Groups:
     """Disjoint sets."""
@@ -46,7 +50,7 @@ def rule_groups(rules: list[Rule], tolerance: float) -> list[list[Rule]]:
             if h and not v and x0 - tolerance <= x <= x1 + tolerance and y0 - tolerance <= y <= y1 + tolerance:
                 sets.join(i, j)
     groups = [[rules[i] for i in g] for g in sets.members()]
-    return [g for g in groups if sum(r[0] for r in g) >= 2 and sum(not r[0] for r in g) >= 2]
+    return [g for g in groups if sum(r[0] for r in g) >= GRID_RULES and sum(not r[0] for r in g) >= GRID_RULES]
 
 
 def mean_clusters(values: list[float], tolerance: float) -> list[float]:
@@ -82,10 +86,10 @@ def find_table(rules: list[Rule], tolerance: float) -> dict | None:
     left, right = min([r[2] for r in hs] + [r[1] for r in vs]), max([r[3] for r in hs] + [r[1] for r in vs])
     top, bottom = min([r[2] for r in vs] + [r[1] for r in hs]), max([r[3] for r in vs] + [r[1] for r in hs])
     rows, cols = mean_clusters([r[1] for r in hs] + [top, bottom], tolerance), mean_clusters([r[1] for r in vs] + [left, right], tolerance)
-    if len(rows) < 2 or len(cols) < 2 or right - left < 40 or bottom - top < 20:
+    if len(rows) < 2 or len(cols) < 2 or right - left < GRID_WIDTH or bottom - top < GRID_HEIGHT:
         return None
     nr, nc = len(rows) - 1, len(cols) - 1
-    drawn = lambda own, at, a, b: any(abs(r[1] - at) <= tolerance and overlap_ratio((r[2], r[3]), (a, b)) > 0.5 for r in own)
+    drawn = lambda own, at, a, b: any(abs(r[1] - at) <= tolerance and overlap_ratio((r[2], r[3]), (a, b)) > EDGE_SHARE for r in own)
     gone = [(r * nc + c, r * nc + c + 1) for r in range(nr) for c in range(nc - 1) if not drawn(vs, cols[c + 1], rows[r], rows[r + 1])]
     gone += [(r * nc + c, (r + 1) * nc + c) for r in range(nr - 1) for c in range(nc) if not drawn(hs, rows[r + 1], cols[c], cols[c + 1])]
     cells = rectangles(nr, nc, gone)
@@ -94,7 +98,7 @@ def find_table(rules: list[Rule], tolerance: float) -> dict | None:
 
 def split_line(text: str, extents: list[tuple[float, float]] | None, left: float, right: float, edges: list[float]) -> list[tuple[str, float, float]]:
     """Pieces (text, left, right) of a line cut at the inner edges of its table by the centres of its characters; whole without extents."""
-    cuts = [x for x in edges[1:-1] if left + 2 < x < right - 2]
+    cuts = [x for x in edges[1:-1] if left + INNER < x < right - INNER]
     if not cuts or extents is None or len(extents) != len(text):
         return [(text, left, right)]
     out, start = [], 0

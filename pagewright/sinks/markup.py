@@ -139,8 +139,8 @@ def html_head(title: str, culture: str, font: str) -> str:
     """Everything before the first page; the language is the culture's first two letters."""
     name = font.replace("'", "")
     rules = (
-        f"body{{margin:0;padding:24px 12px;font-family:'{name}',sans-serif}}", ".page{background:#fff;margin:0 auto 24px;position:relative;box-sizing:border-box}", ".cols{display:grid;align-items:start}",
-        ".page ol.lit{list-style:none}", ".exact .l{position:absolute;white-space:pre}", ".plain{white-space:pre-wrap}", "@media print{.page{page-break-after:always}}",
+        f"body{{font-family:'{name}',sans-serif;margin:1em}}", ".page{position:relative;margin:0 0 2em}", ".page p,.page h1,.page h2,.page h3,.page ul,.page ol{margin:0}", ".cols{display:grid}",
+        "ol.lit{list-style-type:none}", ".exact .l{position:absolute;white-space:pre}", ".plain{white-space:pre-wrap}",
     )
     return f'<!DOCTYPE html>\n<html lang="{culture[:2]}">\n<head>\n<meta charset="utf-8">\n<title>{html_text(title)}</title>\n<style>\n' + "\n".join(rules) + "\n</style>\n</head>\n<body>\n"
 
@@ -149,6 +149,9 @@ HTML_TAIL = "</body>\n</html>\n"
 
 # ------------------------------------------------------------------------------ word-processor markup
 
+# --- fixed values, in twips: least and most margin, most of the bottom one, least width and space of columns, least cell, most space before a paragraph; header's place
+MARGIN, MARGIN_MOST, MARGIN_BOTTOM, COLUMN, COLUMN_SPACE, CELL, SPACE_MOST, HEADER = 360, 2880, 720, 720, 144, 120, 2880, 360
+# ------------------------------------------------------------------------------------------------
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
 
 
@@ -163,8 +166,8 @@ def _run(text: str, size: float, bold: bool = False, italic: bool = False) -> st
 
 def margins(page: Page, box: dict) -> tuple[int, int, int, int]:
     """Left, top, right, bottom in twips, from 360 to 2880, the bottom to 720."""
-    fit = lambda px, most: max(360, min(most, twips(px, page["dpi"])))
-    return fit(box["l"], 2880), fit(box["t"], 2880), fit(page["width"] - box["r"], 2880), fit(page["height"] - box["b"], 720)
+    fit = lambda px, most: max(MARGIN, min(most, twips(px, page["dpi"])))
+    return fit(box["l"], MARGIN_MOST), fit(box["t"], MARGIN_MOST), fit(page["width"] - box["r"], MARGIN_MOST), fit(page["height"] - box["b"], MARGIN_BOTTOM)
 
 
 def section_xml(page: Page, box: dict, columns: list[dict] | None, first: bool) -> str:
@@ -174,13 +177,13 @@ def section_xml(page: Page, box: dict, columns: list[dict] | None, first: bool)
     if columns and len(columns) > 1:
         own = ""
         for a, b in zip(columns, [*columns[1:], None]):
-            space = "" if b is None else f' w:space="{max(144, twips(b["l"] - a["r"], page["dpi"]))}"'
-            own += f'<w:col w:w="{max(720, twips(a["r"] - a["l"], page["dpi"]))}"{space}/>'
+            space = "" if b is None else f' w:space="{max(COLUMN_SPACE, twips(b["l"] - a["r"], page["dpi"]))}"'
+            own += f'<w:col w:w="{max(COLUMN, twips(a["r"] - a["l"], page["dpi"]))}"{space}/>'
         cols = f'<w:cols w:equalWidth="0" w:num="{len(columns)}">{own}</w:cols>'
     turn = ' w:orient="landscape"' if w > h else ""
     return (
         f'<w:sectPr><w:type w:val="{"nextPage" if first else "continuous"}"/><w:pgSz w:w="{w}" w:h="{h}"{turn}/>'
-        f'<w:pgMar w:top="{top}" w:right="{right}" w:bottom="{bottom}" w:left="{left}" w:header="360" w:footer="360" w:gutter="0"/>{cols}</w:sectPr>'
+        f'<w:pgMar w:top="{top}" w:right="{right}" w:bottom="{bottom}" w:left="{left}" w:header="{HEADER}" w:footer="{HEADER}" w:gutter="0"/>{cols}</w:sectPr>'
     )
 
 
@@ -189,7 +192,7 @@ def grid_table(b: dict, dpi: float) -> dict:
     cells = b["cells"] or []
     n_cols, n_rows = 1 + max((c["col"] for c in cells), default=-1), 1 + max((c["row"] for c in cells), default=-1)
     edges = b.get("col_edges") or [b["box"]["l"] + (b["box"]["r"] - b["box"]["l"]) * k / max(1, n_cols) for k in range(n_cols + 1)]
-    return {"cols": n_cols, "rows": n_rows, "widths": [max(120, twips(y - x, dpi)) for x, y in zip(edges, edges[1:])], "cells": {(c["row"], c["col"]): c for c in cells}}
+    return {"cols": n_cols, "rows": n_rows, "widths": [max(CELL, twips(y - x, dpi)) for x, y in zip(edges, edges[1:])], "cells": {(c["row"], c["col"]): c for c in cells}}
 
 
 def table_xml(b: dict, dpi: float, left: float) -> str:
@@ -219,7 +222,7 @@ def block_xml(b: dict, dpi: float, left: float, before: float) -> str:
     props = f'<w:pStyle w:val="{style}"/>' if style else ""
     bullet = b["kind"] == "ListItem" and not b["ordered_list"]
     props += '<w:numPr><w:ilvl w:val="0"/><w:numId w:val="1"/></w:numPr>' if bullet else ""
-    props += f'<w:spacing w:before="{min(twips(max(0.0, before), dpi), 2880)}" w:after="0"/>'
+    props += f'<w:spacing w:before="{min(twips(max(0.0, before), dpi), SPACE_MOST)}" w:after="0"/>'
     props += f'<w:ind w:left="{max(0, twips(b["box"]["l"] - left, dpi))}"/>'
     jc = {"Center": "center", "Right": "right", "Justify": "both"}.get(b["align"])
     props += f'<w:jc w:val="{jc}"/>' if jc else ""
