@@ -94,7 +94,7 @@ def fit_filter(documents: DataFrame, langs: tuple[str, ...]) -> bytes:
         pairs = ((t, lang) for b in batches for t, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
         yield pa.RecordBatch.from_arrays([pa.array([fit(pairs, langs)], type=pa.binary())], names=["rows"])
 
-    share = max(1, -(-labelled.count() // FIT_ROWS))  # one of so many rows, by hash
+    share = max(1, -(-documents.count() // FIT_ROWS))  # one of so many rows, by hash; counted from the files' footers
     found = labelled.where(F.pmod("h", F.lit(share)) == 0).select("text", "lang").repartition(1).mapInArrow(run, "rows binary").collect()
     return bytes(found[0][0]) if found else bytes(8 * ROWS)
 
