@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import queries  # noqa: F401  (without them there is nothing to check)
+
 
 def _words(key: str, column: str, source: str) -> str:
     return f"SELECT {key}, regexp_extract_all(replace(lower({column}), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}]+') AS w FROM {source}"

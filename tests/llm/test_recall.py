@@ -4,7 +4,6 @@ import random
 import unicodedata
 
 from pagewright.llm import langid, lookalike, pii, scan_noise, sentences
-from pyspark.sql import functions as F  # noqa: F401
 
 LINES = "doc_id bigint, page_no int, line_id int, text string, confidence float"
 BLOCKS = "doc_id bigint, page_no int, block_no int, kind string, line_ids array<int>"
