@@ -20,16 +20,15 @@ def text_layer_lines(chars: DataFrame, dpi: float = 72.0) -> DataFrame:
     """
     page = W.partitionBy(*PAGE).orderBy("char_no")
     ink = F.coalesce(F.col("ch").rlike(f"[^{BLANK}]"), F.lit(False))
-    before = F.coalesce(F.sum(ink.cast("int")).over(page.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    own = chars.select(*PAGE, "char_no", "ch", "l", "t", "r", "b", "font_pt", "bold", "italic", "color", "font", "hard_break", ink.alias("ink"), before.alias("k"))
-    group = W.partitionBy(*PAGE, "k")  # a character and the white space before it
-    own = own.withColumn("break", F.max(F.coalesce("hard_break", F.lit(False))).over(group)).withColumn("blank", F.max(~F.col("ink")).over(group)).where("ink")
+    so_far = page.rowsBetween(W.unboundedPreceding, W.currentRow)
+    breaks, place = F.sum(F.coalesce("hard_break", F.lit(False)).cast("int")).over(so_far), F.row_number().over(page)
+    own = chars.select(*PAGE, "char_no", "ch", "l", "t", "r", "b", "font_pt", "bold", "italic", "color", "font", ink.alias("ink"), breaks.alias("breaks"), place.alias("place")).where("ink")
     last = lambda c: F.lag(c).over(page)
     lh = F.greatest(F.lit(1.0), F.least(F.col("b") - F.col("t"), last("b") - last("t")))
     jump = F.abs((F.col("t") + F.col("b")) / 2 - (last("t") + last("b")) / 2) > lh * 0.6
     back, gap = F.col("l") < last("l") - lh, F.col("l") - last("r") > F.greatest(lh, F.col("font_pt") * dpi / 72) * 1.6
-    opens = F.when(last("char_no").isNull() | F.col("break") | jump | back | gap, 1).otherwise(0)
-    own = own.withColumn("opens", opens).withColumn("line_no", F.sum("opens").over(page))
+    opens = F.when(last("char_no").isNull() | (F.col("breaks") > last("breaks")) | jump | back | gap, 1).otherwise(0)
+    own = own.withColumn("opens", opens).withColumn("blank", F.col("place") - last("place") > 1).withColumn("line_no", F.sum("opens").over(page))
     piece = F.concat(F.when((F.col("opens") == 0) & F.col("blank"), " ").otherwise(""), F.col("ch"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("char_no", piece.alias("s")))), lambda x: x["s"]), "")
     lines = own.groupBy(*PAGE, "line_no").agg(text.alias("text"), F.min("l").alias("l"), F.min("t").alias("t"), F.max("r").alias("r"), F.max("b").alias("b"))
