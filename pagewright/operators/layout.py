@@ -136,9 +136,12 @@ def renumber(lines: DataFrame) -> DataFrame:
 
 
 def block_lines(lines: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Lines of each block in the block's order."""
+    """Lines of each block in the block's order.
+
+    The estimate that chooses a broadcast knows neither the length of line_ids nor compression, and would send a row for each line through the driver; hence the merge.
+    """
     own = blocks.select(*PAGE, "block_no", "kind", "list_marker", F.posexplode("line_ids").alias("pos", "line_id"))
-    return own.join(lines, [*PAGE, "line_id"])
+    return own.hint("merge").join(lines, [*PAGE, "line_id"])
 
 
 def block_features(lines: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -557,16 +557,26 @@ def word_exact_pages(spark, d):
 @_query()
 def block_hulls(spark, d):
     """Hull of the corners of each block's lines, and the smallest rectangle around it."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
     own = layout.block_lines(S.lines(spark, d), S.blocks(spark, d))
-    corner = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
-    pts = own.groupBy(*PAGE, "block_no").agg(F.flatten(F.collect_list(F.array(corner("l", "t"), corner("r", "t"), corner("r", "b"), corner("l", "b")))).alias("pts"))
+    boxes = own.groupBy(*PAGE, "block_no").agg(F.flatten(F.collect_list(F.array(*"ltrb"))).alias("boxes"))
+    schema = "doc_id bigint, page_no int, block_no int, corners int, cx double, cy double, w double, h double, angle double"
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
 
-    def measure(points):
-        hull = G.convex_hull([(p["x"], p["y"]) for p in points])
+    def measure(flat):
+        box = iter(flat)
+        hull = G.convex_hull([p for l, t, r, b in zip(box, box, box, box) for p in ((l, t), (r, t), (r, b), (l, b))])  # noqa: E741
         return (len(hull), *[round(v, 4) for v in G.min_area_rect(hull)])
 
-    rect = F.udf(measure, "struct<corners:int,cx:double,cy:double,w:double,h:double,angle:double>", useArrow=True)
-    return pts.select(*PAGE, "block_no", rect("pts").alias("x")).select(*PAGE, "block_no", "x.*")
+    def run(batches):
+        from pagewright.operators.kernel import to_batch
+
+        for x in batches:
+            yield to_batch([(*key, *measure(flat)) for *key, flat in zip(*[c.to_pylist() for c in x.columns])], arrow)
+
+    return boxes.mapInArrow(run, schema)
 
 
 @_query()
