@@ -144,11 +144,19 @@ def block_lines(lines: DataFrame, blocks: DataFrame) -> DataFrame:
     return own.hint("merge").join(lines, [*PAGE, "line_id"])
 
 
-def block_features(lines: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Of each block with lines: rows, text, size of its longest line (the first of equals), bold by most letters."""
-    own = block_lines(lines, blocks)
+def block_lines_of_pages(lines: DataFrame, blocks: DataFrame, *more: Column) -> DataFrame:
+    """Lines of each block, with more columns of the block, where all that follows is done within a page.
+
+    Ids are compared as a rest condition within the page: as part of the key they would have both sides, which are partitioned by page, exchanged again, and the result once more.
+    """
+    own = blocks.select(*PAGE, "block_no", "kind", *more, F.posexplode("line_ids").alias("pos", "own_id"))
+    return lines.hint("merge").join(own, list(PAGE)).where("line_id >= own_id and line_id <= own_id").drop("own_id")
+
+
+def block_features(own: DataFrame, *more: str) -> DataFrame:
+    """Of each block with lines (own, as of block_lines): rows, text, size of its longest line (the first of equals), bold by most letters; more are columns that are equal in a block."""
     n = F.length(F.coalesce("text", F.lit("")))
-    agg = own.groupBy(*PAGE, "block_no", "kind").agg(
+    agg = own.groupBy(*PAGE, "block_no", "kind", *more).agg(
         F.count("*").alias("rows"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]), "\n").alias("raw"),
         F.max_by(F.coalesce("size_pt", F.lit(11.0)), F.struct(n.alias("n"), (-F.col("pos")).alias("p"))).cast("double").alias("size"),
         (F.sum(F.when(F.col("bold"), n).otherwise(0)) * 2 > F.sum(n)).alias("bold"),
@@ -161,14 +169,16 @@ def heading_levels(lines: DataFrame, blocks: DataFrame) -> DataFrame:
 
     Looked for among paragraphs, given headings and ordered list items of one line; the body size is that of most letters of the page's blocks.
     """
-    feats = block_features(lines, blocks.where("kind not in ('Table', 'Figure')")).join(blocks.select(*PAGE, "block_no", F.coalesce("ordered_list", F.lit(False)).alias("ordered")), [*PAGE, "block_no"])
-    body = body_font_size(block_lines(lines, blocks.where("kind not in ('Table', 'Figure')")).withColumn("size_pt", F.coalesce("size_pt", F.lit(11.0)))).select(*PAGE, (F.col("half_pt") / 2).alias("body"))
-    own = feats.where("kind in ('Paragraph', 'Heading') or (kind = 'ListItem' and ordered and rows = 1)").join(body, list(PAGE))
+    page, size = W.partitionBy(*PAGE), W.partitionBy(*PAGE, "half_pt")
+    own = block_lines_of_pages(lines, blocks.where("kind not in ('Table', 'Figure')"), F.coalesce("ordered_list", F.lit(False)).alias("ordered"))
+    own = own.withColumn("half_pt", F.bround(F.coalesce("size_pt", F.lit(11.0)).cast("double") * 2, 0).cast("bigint"))
+    own = own.withColumn("w", F.sum(F.length(F.coalesce("text", F.lit("")))).over(size)).withColumn("first", F.min("line_id").over(size))
+    own = own.withColumn("body", F.max_by("half_pt", F.struct(F.col("w"), (-F.col("first")).alias("f"))).over(page) / 2)
+    own = block_features(own, "ordered", "body").where("block_no is not null and (kind in ('Paragraph', 'Heading') or (kind = 'ListItem' and ordered and rows = 1))")
     large = F.col("size") >= F.col("body") * 1.18
     short = F.col("bold") & (F.col("rows") == 1) & (F.col("size") >= F.col("body") * 0.95) & (F.size(F.split("text", " ")) <= 12) & ~F.endswith(trimmed(F.col("text")), F.lit("."))
     fits = F.length("text").between(1, 160) & (F.col("rows") <= 3)
     own = own.withColumn("candidate", fits & (large | short) & ((F.col("kind") != "ListItem") | large | F.col("bold"))).withColumn("r", F.bround("size", 0))
-    page = W.partitionBy(*PAGE)
     own = own.withColumn("n", F.count("*").over(page)).withColumn("k", F.count_if("candidate").over(page))
     found = own.where("candidate and not (n > 4 and k * 10 > n * 6)")
     above = F.size(F.collect_set(F.when(F.col("r") >= F.col("body") * 1.18, F.col("r"))).over(page))

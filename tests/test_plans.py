@@ -13,7 +13,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["block_hulls", "block_confidence"])
+@pytest.mark.parametrize("name", ["block_hulls", "block_confidence", "heading_levels"])
 def test_lines_of_blocks_are_not_sent_through_the_driver(spark, name):
     found = plan(entry.queries()[name](spark, DATA))
     assert "SortMergeJoin" in found and "Broadcast" not in found
